@@ -1,6 +1,10 @@
 """The queries of this package and their SQL."""
 
-from tidelog.llm import exact_dedup
+from tidelog.llm import bpe, exact_dedup, mixing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_bpe": bpe.op7_bpe,
+}
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
