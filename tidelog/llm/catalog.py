@@ -1,10 +1,11 @@
 """The queries of this package and their SQL."""
 
-from tidelog.llm import bpe, exact_dedup, mixing
+from tidelog.llm import bpe, exact_dedup, mixing, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_bpe": bpe.op7_bpe,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL}
