@@ -1,11 +1,12 @@
 """The queries of this package and their SQL."""
 
-from tidelog.llm import bpe, exact_dedup, mixing, url_filter
+from tidelog.llm import bpe, exact_dedup, mixing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_bpe": bpe.op7_bpe,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL, "op6_substring_dedup": substring_dedup.SQL}
