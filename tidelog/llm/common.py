@@ -56,3 +56,17 @@ def held_out(doc_id: Column) -> Column:
 def word_count(text: Column) -> Column:
     r"""Number of ``[^\x20\x09-\x0D]+`` in the text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def bounded_sample(df: DataFrame, stratum: str, bound: int, by: str = "doc_id") -> DataFrame:
+    """About ``bound`` rows of each value of ``stratum`` at most, by a hash of ``by``; all where there are fewer.
+
+    Only for fitting a model. The rate of each value follows from its count, so rows meet nowhere.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    whole = 1 << 30
+    chosen = F.lit(False)
+    for value, n in counts.items():
+        if value is not None:
+            chosen = chosen | ((F.col(stratum) == F.lit(value)) & (F.pmod(F.xxhash64(F.lit("sample"), by), F.lit(whole)) < int(whole * min(1.0, bound / n))))
+    return df.where(chosen)
