@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from tidelog.llm import bpe, exact_dedup, language_id, mixing, substring_dedup, url_filter
+from tidelog.llm import bpe, exact_dedup, language_id, mixing, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,5 +9,6 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": language_id.op8_language_id,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL, "op6_substring_dedup": substring_dedup.SQL}
