@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from tidelog.llm import ann, bpe, exact_dedup, language_id, mixing, quality, substring_dedup, toxicity, url_filter
+from tidelog.llm import ann, bpe, exact_dedup, jaccard, language_id, mixing, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": language_id.op8_language_id,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL, "op6_substring_dedup": substring_dedup.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_jaccard": jaccard.SQL}
