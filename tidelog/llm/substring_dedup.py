@@ -3,8 +3,9 @@ r"""Substring dedup: drop words covered by a window of words that starts earlier
 Words are ``[^\x20\x09-\x0D]+``. A window is ``WINDOW`` consecutive words of a document. Its
 minimiser is the least hash among its runs of ``MINIMISER`` words, so windows with the same
 words have the same minimiser. Consecutive windows that share a minimiser form a
-super-k-mer, which travels as one packed string (its words joined by spaces) to the bucket
-of its minimiser: some 8 windows for the words of 27, instead of 20 words for each.
+super-k-mer, which travels as one packed string to the bucket of its minimiser: some 9
+windows for the words of 28, instead of 20 words for each. A batch of strings for a bucket
+is compressed into one value.
 
 A task first folds equal super-k-mers of its own: the first stays, and all windows of the
 later ones are repeats already, since each starts later than its twin. So a passage that
@@ -15,20 +16,19 @@ word, and each window that isn't the first in (document, start) order is a repea
 Repeats come back as intervals (document, first start, number of starts), which are
 merged for each document and cut from the words of its text.
 
-Buckets hold about ``BUCKET_CHARS`` of text each; their number follows the input. A batch
-of strings for a bucket is compressed into one value.
+Buckets hold about ``BUCKET_CHARS`` of text each; their number follows the input.
 
 Defined results: null and empty text have no words; a document with fewer than ``WINDOW``
 words keeps all. Documents are in the order of doc_id, null first; rows that share a
 doc_id are told apart by an arbitrary but fixed number. Texts of any length are cut into
-words whole. Other columns are kept by ``drop_repeats`` and not read.
+words whole, and words that stay are joined by single spaces. Other columns are kept by
+``drop_repeats`` and not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import struct
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,32 +40,24 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import shuffle_width, staged, table
 
-WINDOW, MINIMISER = 20, 6
-#: Text that a bucket stands for, and text that a task packs at a time.
-BUCKET_CHARS, PACK_CHARS = 2_000_000, 6_000_000
-#: Words whose hashes a worker keeps.
-CACHED = 500_000
-SPACE = re.compile("[ \t-\r]+")
+WINDOW, MINIMISER = 20, 4
+#: Text that a bucket stands for, and words that a task packs at a time.
+BUCKET_CHARS, PACK_WORDS = 4_000_000, 2_000_000
+#: Words cut at a time, and distinct words that a task codes before it packs.
+CHUNK_WORDS, VOCABULARY = 500_000, 500_000
 
 
-def words_of(text: str | None) -> list[str]:
-    """The text's words; ``str.split`` would also cut at other white space."""
-    if not isinstance(text, str):
-        return []
-    found = SPACE.split(text)
-    if found and not found[-1]:
-        found.pop()
-    return found[1:] if found and not found[0] else found
+def words_of(text: str | None) -> list[bytes]:
+    """The text's words: of bytes, ``split`` cuts at these six characters and no others."""
+    return text.encode().split() if isinstance(text, str) else []
 
 
-class WordHashes(dict):
-    """A word's 64-bit hash, kept for the next time."""
+class Codes(dict):
+    """A number for each distinct word, in order of appearance."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return h
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -76,120 +68,168 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` words."""
-    out = np.zeros(max(0, len(words) - length + 1), np.uint64)
-    for i in range(length):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(words[i : i + len(out)] + np.uint64(i))
-    return mixed(out)
-
-
-def super_kmers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's word hashes: each super-k-mer's first window, number of windows, minimiser."""
-    windows = len(words) - WINDOW + 1
-    runs = run_hashes(words, MINIMISER)
-    least, width, want = runs, 1, WINDOW - MINIMISER + 1
+    """Hashes of all runs of ``length`` words: runs of powers of two, joined as the binary digits of the length ask."""
+    n = max(0, len(words) - length + 1)
+    out, covered, power, size = np.zeros(n, np.uint64), 0, mixed(words), 1
+    while covered < length:
+        if length & size:
+            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + power[covered : covered + n])
+            covered += size
+        power, size = mixed(power[: max(0, len(power) - size)] * np.uint64(0xD6E8FEB86659FD93) + power[size:]), 2 * size
+    return out
+
+
+def super_kmers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hashes: of the words of documents laid end to end; ends: where each ends. Each super-k-mer's first window, number of windows, minimiser."""
+    if len(hashes) < WINDOW:
+        return (np.empty(0, np.int64),) * 3
+    least, width, want = run_hashes(hashes, MINIMISER), 1, WINDOW - MINIMISER + 1
     while width < want:  # the least of two overlapping spans
         step = min(width, want - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return first, np.diff(np.append(first, windows)), least[first]
-
-
-def pack(strings: list[str], places: list[tuple[int, int]]) -> bytes:
-    """Strings with the (document, first start) of each, compressed."""
-    body = "\n".join(strings).encode()
-    where = np.array(places, "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(strings)) + where + body)
-
-
-def unpack(blob: bytes) -> tuple[list[str], np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    (n,) = struct.unpack_from("<q", raw)
-    return raw[8 + 16 * n :].decode().split("\n"), np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
-
-
-PACKED = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
+    # A window is one document's if no document ends within it.
+    inside = np.ones(len(least), bool)
+    for end in ends[:-1]:
+        inside[max(0, end - WINDOW + 1) : end] = False
+    at = np.flatnonzero(inside)
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])
+    first = np.flatnonzero(fresh)
+    return at[first], np.diff(np.append(first, len(at))), least[at[first]]
+
+
+def compressed(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def expanded(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def pack(strings: list[bytes], lengths: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
+    """Strings with their numbers of words, and the document and first start of each."""
+    head = np.array([len(strings)], "<i8"), lengths.astype("<i4"), np.diff(rows, prepend=0).astype("<i8"), starts.astype("<i8")
+    return compressed(b"".join(x.tobytes() for x in head) + b" ".join(strings), level=3)
+
+
+def unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """As ``pack`` takes them, but for the words of all strings in one list."""
+    raw = expanded(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    lengths = np.frombuffer(raw, "<i4", n, 8)
+    rows = np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 4 * n))
+    return raw[8 + 20 * n :].split(), lengths, rows, np.frombuffer(raw, "<i8", n, 8 + 12 * n)
+
+
+class Packer:
+    """A map task: documents' words in, packed super-k-mers by bucket out, with the task's own repeats in buckets under 0."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.hashes = np.empty(0, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes, self.kept, self.seen, self.repeats, self.words = Codes(), {}, {}, [], 0
+        self.hashed = 0
+
+    def add(self, rows: list[int], texts: list[list[bytes]]) -> None:
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(lengths)
+        words = [w for text in texts for w in text]
+        flat = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
+        first, count, minimiser = super_kmers(self.word_hashes()[flat], ends)
+        document = np.searchsorted(ends, first, side="right")
+        start = first - (ends - lengths)[document]
+        raw, stop = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begin = np.append(0, stop[:-1])[first]
+        end = stop[first + count + WINDOW - 2] - 1
+        row = np.array(rows, np.int64)[document]
+        for a, b, r, at, n, bucket in zip(begin.tolist(), end.tolist(), row.tolist(), start.tolist(), count.tolist(), (minimiser % np.uint64(self.buckets)).tolist(), strict=True):
+            string = raw[a:b]
+            place = self.seen.get(string)
+            if place is None:
+                self.seen[string] = place = [r, at]
+                self.kept.setdefault(bucket, []).append((string, n + WINDOW - 1, place))
+                self.words += n + WINDOW - 1
+            elif (r, at) < (place[0], place[1]):  # the earlier of the two stands for both
+                self.repeats.append((*place, n))
+                place[:] = r, at
+            else:
+                self.repeats.append((r, at, n))
+
+    def word_hashes(self) -> np.ndarray:
+        """The hash of each code's word; it must not depend on the task."""
+        if len(self.codes) > self.hashed:
+            fresh = itertools.islice(self.codes, self.hashed, None)
+            digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh)
+            self.hashes = np.concatenate([self.hashes[: self.hashed], np.frombuffer(digests, "<u8").astype(np.uint64)])
+            self.hashed = len(self.codes)
+        return self.hashes
+
+    def flush(self) -> pa.RecordBatch:
+        out: list[tuple[int, bytes]] = []
+        for bucket, strings in self.kept.items():
+            places = np.array([p for _, _, p in strings], np.int64)
+            out.append((bucket, pack([s for s, _, _ in strings], np.array([n for _, n, _ in strings]), places[:, 0], places[:, 1])))
+        if self.repeats:
+            out.append((-1 - self.repeats[0][0] % 1_000_003, compressed(np.array(self.repeats, "<i8").tobytes())))
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["bucket", "blob"])
 
 
 def packer(buckets: int):
-    """The function of a map task: (row, text) to packed super-k-mers by bucket, and its own repeats in buckets under 0, dealt by row."""
-
-    def flush(kept: dict[int, tuple[list[str], list[tuple[int, int]]]], repeats: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        rows = [(bucket, pack(*kept[bucket])) for bucket in sorted(kept)]
-        if repeats:
-            rows.append((-1 - rows[0][0], zstandard.ZstdCompressor(level=1).compress(np.array(repeats, "<i8").tobytes())))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=PACKED)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        kept, seen, repeats, size = {}, {}, [], 0
+        task = Packer(buckets)
         for batch in batches:
+            rows, texts, words = [], [], 0
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                if len(words) < WINDOW:
-                    continue
-                own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                for start, count, minimiser in zip(*(x.tolist() for x in super_kmers(own)), strict=True):
-                    string = " ".join(words[start : start + count + WINDOW - 1])
-                    twin = seen.get(string)
-                    if twin is None:
-                        size += len(string)
-                        strings, places = kept.setdefault(minimiser % buckets, ([], []))
-                        seen[string] = (strings, len(places))
-                        strings.append(string)
-                        places.append((row, start))
-                    else:
-                        places = kept[minimiser % buckets][1]
-                        if (row, start) < places[twin[1]]:  # the earlier of the two stands for both
-                            repeats.append((*places[twin[1]], count))
-                            places[twin[1]] = (row, start)
-                        else:
-                            repeats.append((row, start, count))
-                if size >= PACK_CHARS:
-                    yield flush(kept, repeats)
-                    kept, seen, repeats, size = {}, {}, [], 0
-        if kept:
-            yield flush(kept, repeats)
+                own = words_of(text)
+                if len(own) >= WINDOW:
+                    rows.append(row)
+                    texts.append(own)
+                    words += len(own)
+                if words >= CHUNK_WORDS:
+                    task.add(rows, texts)
+                    rows, texts, words = [], [], 0
+                    if task.words >= PACK_WORDS or len(task.codes) >= VOCABULARY:
+                        yield task.flush()
+            if texts:
+                task.add(rows, texts)
+        if task.kept:
+            yield task.flush()
 
     return run
 
 
-def repeats_in_bucket(strings: list[str], places: np.ndarray) -> np.ndarray:
-    """Rows (document, start) of the windows that aren't the first of their words."""
-    ids: dict[str, int] = {}
-    lengths = np.fromiter((s.count(" ") + 1 for s in strings), np.int64, len(strings))
-    flat = np.fromiter((ids.setdefault(w, len(ids)) for s in strings for w in s.split(" ")), np.int64, int(lengths.sum()))
-    ends = np.cumsum(lengths)
-    windows = lengths - WINDOW + 1
-    # at: where each window begins in flat; row and start: where it begins in the corpus
-    string = np.repeat(np.arange(len(strings)), windows)
+def repeats_in_bucket(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows (document, start) of the windows that aren't the first of their words. flat: word numbers of the strings, end to end."""
+    ends, windows = np.cumsum(lengths), lengths - WINDOW + 1
+    # at: where each window begins in flat
+    string = np.repeat(np.arange(len(lengths), dtype=np.int32), windows)
     step = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at, row, start = (ends - lengths)[string] + step, places[string, 0], places[string, 1] + step
+    at = (ends - lengths)[string] + step
     key = run_hashes(flat.astype(np.uint64), WINDOW)[at]
-    order = np.lexsort((start, row, key))
-    key = key[order]
-    same = np.flatnonzero(key[1:] == key[:-1]) + 1
-    if not len(same):
+    order = np.argsort(key)
+    ranked = key[order]
+    twin = np.zeros(len(key), bool)
+    twin[1:] = ranked[1:] == ranked[:-1]
+    twin[:-1] |= twin[1:]
+    some = order[twin]  # only windows whose hash occurs again go on
+    if not len(some):
         return np.empty((0, 2), np.int64)
-    # Windows of one hash are compared with the window before, word by word.
-    a, b = at[order[same]], at[order[same - 1]]
-    equal = np.ones(len(same), bool)
-    for i in range(WINDOW):
-        equal &= flat[a + i] == flat[b + i]
-    if not equal.all():  # different words under one hash: settle these runs by the words themselves
-        mixed_keys = np.unique(key[same[~equal]])
-        extra = []
-        for k in mixed_keys:
-            first: dict[bytes, bool] = {}
-            for j in order[key == k]:
-                words = flat[at[j] : at[j] + WINDOW].tobytes()
-                if words in first:
-                    extra.append(j)
-                first[words] = True
-        picked = np.concatenate([order[same[~np.isin(key[same], mixed_keys)]], np.array(extra, np.int64)])
-    else:
-        picked = order[same]
+    row, start, key, at = rows[string[some]], starts[string[some]] + step[some], key[some], at[some]
+    # Equal hashes stand for equal words once compared word by word; windows of other words with the same hash sort apart.
+    words = np.column_stack([flat[at + i] for i in range(WINDOW)])
+    fresh = np.ones(len(some), bool)
+    order = np.lexsort((start, row, key))
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    differs = ~fresh[1:] & (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    if differs.any():
+        order = np.lexsort((start, row, *words.T[::-1], key))
+        fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    picked = order[~fresh]
     return np.column_stack([row[picked], start[picked]])
 
 
@@ -203,13 +243,16 @@ def intervals(found: np.ndarray) -> np.ndarray:
 
 
 def open_bucket(group: pa.Table) -> pa.Table:
-    """What a bucket's packed strings, or a task's own repeats, come to."""
+    """What a bucket's packed strings, or tasks' own repeats, come to."""
     blobs = group.column("blob").to_pylist()
     if group.column("bucket")[0].as_py() < 0:
-        found = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i8").reshape(-1, 3) for b in blobs])
+        found = np.concatenate([np.frombuffer(expanded(b), "<i8").reshape(-1, 3) for b in blobs])
     else:
-        parts = [unpack(b) for b in blobs]
-        found = intervals(repeats_in_bucket([s for part, _ in parts for s in part], np.concatenate([p for _, p in parts])))
+        codes, parts = Codes(), []
+        for blob in blobs:
+            words, *rest = unpack(blob)
+            parts.append((np.fromiter(map(codes.__getitem__, words), np.int32, len(words)), *rest))
+        found = intervals(repeats_in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True))))
     return pa.table({"row": found[:, 0], "start": found[:, 1], "n": found[:, 2]})
 
 
@@ -233,7 +276,7 @@ def repeat_intervals(rows: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(open_bucket, "row long, start long, n long")
 
 
-def cut(words: list[str], spans: list[tuple[int, int]] | None) -> list[str]:
+def cut(words: list[bytes], spans: list[tuple[int, int]] | None) -> list[bytes]:
     """The words that no window of the spans (first start, number of starts) covers."""
     kept, at = [], 0
     for start, n in sorted(spans or ()):
@@ -244,33 +287,39 @@ def cut(words: list[str], spans: list[tuple[int, int]] | None) -> list[str]:
 
 
 def with_kept(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``df`` and n_words, n_removed and kept_text in place of columns so named."""
-    rows = numbered(df.drop("n_words", "n_removed", "kept_text"), id_col)
+    """``df`` with repeats cut from its text, and n_words and n_removed in place of columns so named."""
+    rows = numbered(df.drop("n_words", "n_removed"), id_col)
     spans = repeat_intervals(rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")))
     # A document's spans are at most one for each of its words, like its text.
     spans = spans.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
 
-    @F.pandas_udf("n_words long, n_removed long, kept_text string")
+    @F.pandas_udf("binary")
+    def squeeze(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: compressed(t.encode() if isinstance(t, str) else b""))
+
+    @F.pandas_udf("n_words long, n_removed long, text string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for text, found in zip(texts, spans, strict=True):
-            words = words_of(text)
+            words = expanded(text).split()
             left = words if found is None else cut(words, [(x["start"], x["n"]) for x in found])
-            out.append((len(words), len(words) - len(left), " ".join(left)))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
+            out.append((len(words), len(words) - len(left), b" ".join(left).decode()))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "text"])
 
-    joined = rows.join(spans, "__row", "left").withColumn("__kept", kept(F.col(text_col).cast("string"), F.col("__spans")))
-    return joined.select(*[c for c in rows.columns if c != "__row"], "__kept.*")
+    # Texts meet their spans compressed.
+    packed = rows.withColumn(text_col, squeeze(F.col(text_col).cast("string")))
+    joined = packed.join(spans, "__row", "left").withColumn("__kept", kept(F.col(text_col), F.col("__spans")))
+    return joined.select(*[F.col("__kept.text").alias(c) if c == text_col else c for c in rows.columns if c != "__row"], "__kept.n_words", "__kept.n_removed")
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` with repeats cut from its text."""
-    return with_kept(df, text_col, id_col).withColumn(text_col, F.col("kept_text")).select(*df.columns)
+    return with_kept(df, text_col, id_col).select(*df.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = r"""
