@@ -20,7 +20,8 @@ one task is a row per source, or per shard of one source; both are bounded.
 Defined results: null text has size 0, and a size of 0 takes nothing. Null is a source of
 its own, last in order. Ties of quotients go by source order, then seat; rows that tie in
 seeded order are equal in id and size, and which of them comes first changes no total.
-An empty table gives an empty result; other columns are kept by ``take`` and not read.
+An empty table gives an empty result; other columns are kept by ``take`` and ``mixed`` and
+not read.
 """
 
 from __future__ import annotations
@@ -122,9 +123,15 @@ def take(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_c
     return laid.withColumn("taken", taken).select(*[c for c in rows.columns if not c.startswith("__")], "source_size", "target", "taken")
 
 
-def keep_taken(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of ``df``, with its columns, from which the mix takes at least a word."""
-    return take(df, text_col, id_col, source_col).where("taken > 0").select(*df.columns)
+def mixed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix as whole documents, with the columns of ``df``: each row as often as the mix takes it.
+
+    A part of a document that is taken counts as its share's chance of one more copy, drawn by seed.
+    """
+    taken = take(df.select(F.struct(*df.columns).alias("whole_row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.col(source_col).alias("source")), "text", "id", "source")
+    chance = F.pmod(seeded(F.lit("copy"), "id"), F.lit(1 << 20)) / (1 << 20)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0).cast("int")
+    return taken.select("whole_row", F.explode(F.array_repeat(F.lit(1), copies))).select("whole_row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
