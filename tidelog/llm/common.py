@@ -58,15 +58,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def bounded_sample(df: DataFrame, stratum: str, bound: int, by: str = "doc_id") -> DataFrame:
-    """About ``bound`` rows of each value of ``stratum`` at most, by a hash of ``by``; all where there are fewer.
+def bounded_sample(df: DataFrame, stratum: str, bound: int, by: str = "doc_id") -> tuple[DataFrame, dict]:
+    """About ``bound`` rows of each value of ``stratum`` at most, by a hash of ``by``, all where there are fewer; and the values' counts.
 
     Only for fitting a model. The rate of each value follows from its count, so rows meet nowhere.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    counts = {r[0]: r[1] for r in df.where(F.col(stratum).isNotNull()).groupBy(stratum).count().collect()}
     whole = 1 << 30
     chosen = F.lit(False)
     for value, n in counts.items():
-        if value is not None:
-            chosen = chosen | ((F.col(stratum) == F.lit(value)) & (F.pmod(F.xxhash64(F.lit("sample"), by), F.lit(whole)) < int(whole * min(1.0, bound / n))))
-    return df.where(chosen)
+        chosen = chosen | ((F.col(stratum) == F.lit(value)) & (F.pmod(F.xxhash64(F.lit("sample"), by), F.lit(whole)) < int(whole * min(1.0, bound / n))))
+    return df.where(chosen), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> tuple[DataFrame, dict]:
+    """doc_id, text and the label (int) of about ``bound`` documents of each label at most, outside the held-out fold; and the labels' counts.
+
+    The sample is drawn from the labels alone, so what is broadcast has a bounded size.
+    """
+    known = labels.select("doc_id", F.col(column).cast("int").alias(column)).where(~held_out(F.col("doc_id")))
+    drawn, counts = bounded_sample(known, column, bound)
+    return staged(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")), counts

@@ -58,7 +58,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bin": at.astype(np.int32), "n": total[at]})
 
-    sample = bounded_sample(labelled.where("lang is not null and text is not null"), "lang", LEARN_FROM)
+    sample, _ = bounded_sample(labelled.where("lang is not null and text is not null"), "lang", LEARN_FROM)
     found = sample.select("text", "lang").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((1 << BITS, len(languages)))

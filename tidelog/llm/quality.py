@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_sample, held_out, table
+from tidelog.llm.common import held_out, labelled_sample, table
 from tidelog.llm.ngrams import counts_of
 
 ORDER, BITS = 3, 13
@@ -111,10 +111,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, shares: d
     return Model(known, theta[:d], np.maximum.accumulate(cuts + moved))
 
 
-def learn(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text and grade (int)."""
-    labelled = labelled.where("grade is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("grade").count().collect()}
+def learn(labelled: DataFrame, counts: dict[int, int]) -> Model:
+    """labelled: text and quality (int), a bounded sample; counts: how many labels there are of each grade."""
     total = sum(counts.values())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +120,7 @@ def learn(labelled: DataFrame) -> Model:
             found = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), batch.column(1)], names=["bins", "weights", "grade"])
 
-    sample = bounded_sample(labelled, "grade", LEARN_FROM).select("text", "grade").mapInArrow(rows, "bins binary, weights binary, grade int")
+    sample = labelled.select("text", F.col("quality").alias("grade")).mapInArrow(rows, "bins binary, weights binary, grade int")
     got = sample.toPandas()
     # In a fixed order, so that sums come out alike in each run.
     got = got.sort_values(["grade", "bins", "weights"], kind="stable")
@@ -151,8 +149,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", wanted: int = WAN
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents outside the held-out fold."""
-    rated = labels.select("doc_id", F.col("quality").cast("int").alias("grade")).where(~held_out(F.col("doc_id")))
-    return learn(docs.select("doc_id", "text").join(rated, "doc_id"))
+    return learn(*labelled_sample(docs, labels, "quality", LEARN_FROM))
 
 
 def keep_good(df: DataFrame, model: Model) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_sample, held_out, table
+from tidelog.llm.common import held_out, labelled_sample, table
 
 #: Labelled documents of a class to learn from, about, at most.
 LEARN_FROM = 6000
@@ -261,14 +261,14 @@ def lexicon_of(counts: pd.DataFrame, folds: list[int], documents: dict[tuple[int
     return Lexicon.of(dict(zip(best["entry"], best["odds"], strict=True)))
 
 
-def learn(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text and toxic (int)."""
-    labelled = labelled.where("toxic in (0, 1)")
-    true = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
-    if len(true) < 2:
-        only = float(next(iter(true), 0))
+def learn(labelled: DataFrame, true: dict[int, int]) -> Model:
+    """labelled: text and toxic (int), a bounded sample; true: how many labels there are of each class."""
+    true = {k: n for k, n in true.items() if k in (0, 1)}
+    classes = {r[0] for r in labelled.where("toxic in (0, 1)").select("toxic").distinct().collect()}
+    if len(classes) < 2:
+        only = float(next(iter(classes), 0))
         return Model(Lexicon.of({}), (0.0, []), np.array([0.0]), np.array([only]))
-    sample = bounded_sample(labelled, "toxic", LEARN_FROM).select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    sample = labelled.where("toxic in (0, 1)").select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int").alias("fold"))
     documents = {(r.fold, r.toxic): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +324,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents outside the held-out fold."""
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
-    return learn(docs.select("doc_id", "text").join(marked, "doc_id"))
+    return learn(*labelled_sample(docs, labels, "toxic", LEARN_FROM))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
