@@ -16,7 +16,9 @@ rows give equal rows; other columns are kept as they are.
 
 from __future__ import annotations
 
+import array
 import functools
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -42,27 +44,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """``symbols`` after all merges. ranks: the rank and the result of each pair."""
+#: A pair of symbols is one number, left << ID_BITS | right; a heap entry is rank << AT_BITS | position.
+ID_BITS, AT_BITS = 20, 40
+
+
+def merged(symbols: list[int], ranks: dict[int, int], results: list[int]) -> list[int]:
+    """``symbols`` after all merges. ranks: the rank of each pair; results: the symbol that each rank makes."""
     n = len(symbols)
     if n < 2:
         return symbols
-    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    heap = [(*found, i) for i in range(n - 1) if (found := ranks.get((symbols[i], symbols[i + 1])))]
+    rank_of, place = ranks.get, (1 << AT_BITS) - 1
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [rank << AT_BITS | i for i in range(n - 1) if (rank := rank_of(symbols[i] << ID_BITS | symbols[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, result, at = heapq.heappop(heap)
+        entry = heapq.heappop(heap)
+        at, rank = entry & place, entry >> AT_BITS
         right = after[at]
-        if symbols[at] < 0 or right < 0 or ranks.get((symbols[at], symbols[right]), (0, -1))[1] != result:
+        if right == n or rank_of(symbols[at] << ID_BITS | symbols[right]) != rank:
             continue  # stale: one side was merged away or changed
-        symbols[at], symbols[right] = result, -1
+        symbols[at] = made = results[rank]
+        symbols[right] = -1  # no pair with -1 has a rank
         after[at] = far = after[right]
-        if far >= 0:
+        if far < n:
             before[far] = at
-            if found := ranks.get((result, symbols[far])):
-                heapq.heappush(heap, (*found, at))
-        if (near := before[at]) >= 0 and (found := ranks.get((symbols[near], result))):
-            heapq.heappush(heap, (*found, near))
+            if (rank := rank_of(made << ID_BITS | symbols[far])) is not None:
+                heapq.heappush(heap, rank << AT_BITS | at)
+        if (near := before[at]) >= 0 and (rank := rank_of(symbols[near] << ID_BITS | made)) is not None:
+            heapq.heappush(heap, rank << AT_BITS | near)
     return [s for s in symbols if s >= 0]
 
 
@@ -74,7 +83,7 @@ class Pieces(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merged([self.codec.byte_ids[b] for b in piece.encode()], self.codec.ranks), "<u4").tobytes()
+        ids = array.array("I", merged([*map(self.codec.byte_ids.__getitem__, piece.encode())], self.codec.ranks, self.codec.results)).tobytes()
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED:
                 self.clear()
@@ -90,9 +99,10 @@ class Codec:
         self.byte_ids = [0] * 256
         for char, byte in alphabet.items():
             self.byte_ids[byte] = vocabulary[char]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.ranks.setdefault((vocabulary[a], vocabulary[b]), (rank, vocabulary[a + b]))
+            self.ranks.setdefault(vocabulary[a] << ID_BITS | vocabulary[b], rank)
+        self.results = [vocabulary[a + b] for a, b in spec["model"]["merges"]]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = [b""] * (1 + max([*vocabulary.values(), *special.values()]))
         for token, i in vocabulary.items():
@@ -152,6 +162,25 @@ def encode_documents(df: DataFrame, text_col: str = "text", vocabulary: str = VO
     return whole.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
+def round_trip(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The row's other columns with n_tokens, and the SHA-256 of its ids and of what they decode to.
+
+    Ids and decoded texts needn't leave the worker for that.
+    """
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = codec_of(vocabulary)
+        for texts in parts:
+            out = []
+            for text in texts:
+                ids = codec.encode(text) if isinstance(text, str) else b""
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kept = [c for c in df.columns if c not in (text_col, "n_tokens", "ids_sha256", "decoded_sha256")]
+    return df.withColumn("__out", digests(F.col(text_col).cast("string"))).select(*kept, "__out.*")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
