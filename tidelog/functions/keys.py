@@ -32,6 +32,6 @@ def packed(k: Column, seq: Column, op: Column) -> Column:
 
 def shared_prefix(a: Column, b: Column) -> Column:
     """Length of the common start of two strings, in characters; 0 where one is null."""
-    n = F.least(F.length(a), F.length(b))
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.length(a), F.length(b)))
     differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     return F.when((n > 0) & n.isNotNull(), F.coalesce(F.element_at(F.when(F.size(differs) > 0, differs), 1) - 1, n)).otherwise(0)
