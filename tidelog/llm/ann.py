@@ -6,7 +6,8 @@ alike. Each shard builds a graph: points are inserted in growing batches, a beam
 the graph so far proposes neighbours, and a point keeps a neighbour only where no kept one
 is nearer to it by the factor ``ALPHA`` (relaxed pruning keeps diverse edges). Reverse
 edges are added and pruned alike. One more edge a node forms a ring, so that every node can
-be reached. A component that makes all norms equal turns inner products into distances.
+be reached. A component that makes all norms equal turns inner products into distances; as
+that separates vectors of unlike norms, each shard has a graph for every band of norms.
 
 Graphs are written to the shared folder. Queries go in blocks of bounded size, each
 broadcast to all shards; a beam search in every shard finds its best nodes, whose scores
@@ -43,6 +44,8 @@ LEAST_IN_SHARD, SHARDS, MOST_IN_SHARD = 8192, 64, 250_000
 #: Queries broadcast at a time, and cells of the table of visited nodes.
 BLOCK, VISITED = 50_000, 1 << 22
 SEED_NODES, SEED = 256, 7
+#: Norms in a band differ by this factor at most, but for the last band, which has all the rest.
+BAND_RATIO, BANDS = 1.4, 16
 
 
 def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -206,11 +209,16 @@ class Graph:
         return ids, sims
 
 
+def norms_of(x: np.ndarray) -> np.ndarray:
+    """The rows' norms over the greatest component; squares of that can't overflow."""
+    x = x / np.abs(x).max()
+    return np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)
+
+
 def lifted(x: np.ndarray) -> np.ndarray:
     """Scaled rows with one more component that makes all norms equal, in single precision."""
-    norms = np.sqrt((x * x).sum(axis=1))
-    top = max(float(norms.max()), 1e-300)
-    x = x / top
+    x = x / np.abs(x).max()
+    x = x / norms_of(x).max()
     return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))]).astype(np.float32)
 
 
@@ -218,20 +226,26 @@ GRAPHS = "shard int, ids binary, counts binary, vectors binary, edges binary, en
 
 
 def build_shard(group: pa.Table) -> pa.Table:
+    """A graph for each band of norms: among vectors of like norms the largest inner products lie near."""
     vec, ids = group.column("vec").to_pylist(), group.column("ids").to_pylist()
-    order = sorted(range(len(vec)), key=lambda i: vec[i])  # the same graph whatever the order of rows
+    order = sorted(range(len(vec)), key=lambda i: vec[i])  # the same graphs whatever the order of rows
     vec, ids = [vec[i] for i in order], [ids[i] for i in order]
     x = np.frombuffer(b"".join(vec), "<f8").reshape(len(vec), -1)
-    graph = Graph(lifted(x))
-    flat = np.array([i for own in ids for i in own], "<i8")
-    return pa.table({
-        "shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "ids": [flat.tobytes()], "counts": [np.array([len(i) for i in ids], "<i4").tobytes()],
-        "vectors": [x.tobytes()], "edges": [graph.edges.tobytes()], "entry": pa.array([graph.entry], pa.int32()),
-    })
+    norms = norms_of(x)
+    band = np.minimum(BANDS - 1, np.floor(np.log(norms.max() / norms) / np.log(BAND_RATIO))).astype(int)
+    out = []
+    for b in np.unique(band):
+        own = np.flatnonzero(band == b)
+        graph = Graph(lifted(x[own]))
+        mine = [ids[i] for i in own.tolist()]
+        flat, counts = np.array([i for m in mine for i in m], "<i8"), np.array([len(m) for m in mine], "<i4")
+        out.append((group.column("shard")[0].as_py(), flat.tobytes(), counts.tobytes(), x[own].tobytes(), graph.edges.tobytes(), graph.entry))
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["shard", "ids", "counts", "vectors", "edges", "entry"])
 
 
 def graphs(distinct: DataFrame) -> DataFrame:
-    """distinct: as of ``nodes``. The staged graphs, a row per shard."""
+    """distinct: as of ``nodes``. The staged graphs, a row per shard and band of norms."""
     n = distinct.count()
     shards = max(1, min(-(-n // LEAST_IN_SHARD), max(SHARDS, -(-n // MOST_IN_SHARD))))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")).repartition(2 * shards, "shard")
@@ -239,7 +253,7 @@ def graphs(distinct: DataFrame) -> DataFrame:
 
 
 def search(found: DataFrame, ids: np.ndarray, vectors: np.ndarray, top: int) -> DataFrame:
-    """The ``top`` best of each shard for each query: query_id, vec_id, score."""
+    """The ``top`` best of each graph for each query: query_id, vec_id, score."""
     shared = found.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
