@@ -232,8 +232,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nda
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
     at = np.array([x for b in blocks for x in (b[2], b[3])])
-    # A half count of each kind keeps ends off 0 and 1.
-    level = np.array([x for b in blocks for x in [(b[1] + 0.5 * (b[1] / b[0])) / (b[0] + 0.5)] * 2])
+    # A half count of each kind keeps ends off 0 and 1; levels that this puts out of order are levelled up.
+    level = np.maximum.accumulate([x for b in blocks for x in [(b[1] + 0.5) / (b[0] + 1)] * 2])
     return at, level
 
 
