@@ -112,6 +112,30 @@ def test_runs_are_sorted_and_named_by_content(spark, path):
     assert len(db.runs) == n
 
 
+def test_seek_and_scan(spark, path):
+    db = Store.create(spark, path)
+    for i, k in enumerate(["b", "d", "b", "f"]):
+        db.put(k, f"v{i}")
+        if i == 1:
+            db.flush()
+    db.delete("d")
+    assert [(r.k, r.seq) for r in db.scan().collect()] == [("b", 2), ("b", 0), ("d", 4), ("d", 1), ("f", 3)]
+    assert [(r.k, r.seq, r.op) for r in db.seek("c").collect()] == [("d", 4, 1)]
+    assert db.seek("g").count() == 0
+
+
+def test_runs_have_bloom_filters_and_statistics(spark, path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    db = Store.create(spark, path)
+    db.load(spark.range(20000).selectExpr("concat('key', id) as k", "id as seq", "0 as op", "'v' as v"))
+    column = pq.ParquetFile(glob.glob(f"{path}/sst/*/*.parquet")[0]).metadata.row_group(0).column(0)
+    assert column.statistics.has_min_max and "PLAIN_DICTIONARY" not in column.encodings and "RLE_DICTIONARY" not in column.encodings
+    assert db.get("key19999")[0] == Status.OK and db.get("key20000")[0] == Status.NOT_FOUND
+
+
 def test_crash_keeps_what_was_synced(spark, path):
     db = Store.create(spark, path, Options(sync=True))
     db.put("a", "1")

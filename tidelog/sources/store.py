@@ -18,19 +18,23 @@ writer. Only Hadoop's file system is used, so any store that it knows will do.
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashing import chained_id, content_id
-from tidelog.functions.keys import KEY_OVERHEAD
+from tidelog.functions.keys import KEY_OVERHEAD, version_order
 from tidelog.model import DELETE, LEVELS, LOG, MANIFEST, PUT, Options, Status, StoreError
 from tidelog.operators import lww
 from tidelog.operators.runs import merge
 from tidelog.sources import wal
 
 
+LOGGER = logging.getLogger("tidelog.store")
+
+
 class Files:
     """What the store needs of a Hadoop file system."""
 
@@ -225,6 +229,7 @@ class Store:
         old, self.log, self.segment = self.log, self.log + 1, 0
         self.waiting = b""
         self.publish([*self.runs, run])
+        LOGGER.info("%s: flushed %d entries into %s", self.root, run.num_keys, run.sst)
         self.memtable, self.memtable_size = [], 0
         for name in self.files.names(f"{self.root}/wal"):
             if name.startswith(f"{old}-"):
@@ -253,6 +258,7 @@ class Store:
         while (level := next((n for n in range(LEVELS - 1) if sum(r.level == n for r in self.runs) > self.options.level_files), None)) is not None:
             old = [r for r in self.runs if r.level == level]
             run = self.write_run(merge(*[self.run(r.sst) for r in old]), level + 1)
+            LOGGER.info("%s: merged %d runs of level %d into %s, %d entries", self.root, len(old), level, run.sst, run.num_keys)
             tag = " ".join(sorted(t for r in old for t in r.tag.split(" ") if t))
             self.publish([*[r for r in self.runs if r.level != level], replace(run, tag=tag)])
 
@@ -302,10 +308,18 @@ class Store:
     def range(self, low: str, high: str) -> DataFrame:
         return lww.key_range(self.entries(low, high), low, high)
 
+    def seek(self, k: str) -> DataFrame:
+        """The first stored version, in version order, whose key isn't less than ``k``."""
+        return lww.seek(self.entries(low=k), k)
+
+    def scan(self) -> DataFrame:
+        """All stored versions in version order, deletes included."""
+        return self.entries().orderBy(*version_order())
+
     def manifest(self) -> DataFrame:
         """The current revision's runs."""
         return self.spark.createDataFrame([tuple(getattr(r, f.name) for f in MANIFEST) for r in self.runs], MANIFEST)
 
     def debug_run(self, sst: str) -> DataFrame:
         """A run in its order, deletes included."""
-        return self.run(sst).orderBy("k", F.desc("seq"), F.desc("op"))
+        return self.run(sst).orderBy(*version_order())
