@@ -121,9 +121,9 @@ def copy_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     marked = with_maybe(digests, *seen_again(digests, digests.count()))
     alone = marked.where("not __maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), DIGEST)
     repeats = marked.where("__maybe").drop("__maybe")
-    # Copies meet as one partial sum a task; joining them back has one row a group on the
-    # other side, so that Spark can split a large group's partition.
-    groups = repeats.groupBy(DIGEST).agg(F.max(F.struct("doc_id", "__row")).alias("best"), F.count("*").alias("group_size"))
+    # Copies meet as one partial sum a task. Groups are staged, so that a plain shuffle stands
+    # on both sides of the join back and Spark can split a large group's partition.
+    groups = staged(repeats.groupBy(DIGEST).agg(F.max(F.struct("doc_id", "__row")).alias("best"), F.count("*").alias("group_size")))
     met = repeats.join(groups, DIGEST).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("best.__row")).alias("kept"), DIGEST)
     return alone.unionByName(met).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex(DIGEST)).alias("text_sha256"))
 
