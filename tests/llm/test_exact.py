@@ -154,12 +154,15 @@ def test_one_of_each_component_is_kept(spark):
     assert ids == [-1, -1, 1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
-def test_chains_of_links(spark):
+@pytest.mark.parametrize("held", [10, 200_000])
+def test_chains_of_links(spark, held):
     from tidelog.llm.components import components
 
     links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 40)] + [(7, 7)]
-    found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    found = [(r.node, r.label) for r in components(frame, held).collect()]
+    assert sorted(found) == sorted([(i, 0) for i in range(61)] + [(100 + i, 100) for i in range(40)])
+    assert components(frame.limit(0), held).count() == 0
 
 
 # Urls.

@@ -16,7 +16,8 @@ or only decides the order of work.
 3. *Index lists.* Prefix tokens, rarest first by a counting sketch, index the components
    found so far: an entry holds a component's sizes and the most that can follow the
    token's position. Lists are sorted by size and walked in blocks; blocks whose size or
-   position rules out a link are skipped whole. Components already joined never meet.
+   position rules out a link are skipped whole. Components already joined never meet. In
+   a first walk each list's components only meet the one with most sets on the list.
 4. *Answers from answers.* Pairs of components that share a list are compared. A block's
    members have known overlaps with a pivot; from a set's own overlap with that pivot
    follow bounds for all members at once, and only members within them are counted.
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,15 +50,16 @@ from tidelog.llm.components import components
 from tidelog.llm.substring_dedup import Codes, compressed, expanded, mixed, numbered, run_hashes
 
 #: Words hashed at a time, and distinct words that a task keeps hashes of.
-CHUNK_WORDS, VOCABULARY = 500_000, 500_000
-#: Share, in hundredths, of a set's tokens that its prefix must have in common with others.
-COMMON = 10
+CHUNK_WORDS, VOCABULARY = 100_000, 200_000
+#: Share, in hundredths, of a set's tokens that its prefix must have in common with others:
+#: first of short prefixes of all sets, then of long ones of the sets that are left.
+COMMON, MORE_COMMON = 10, 80
 #: Postings that a task holds before it sends them, and postings that a bucket stands for.
-HELD, PER_BUCKET = 2_000_000, 4_000_000
+HELD, PER_BUCKET = 1_000_000, 1_500_000
 #: Bands of minimum hashes, hashes in a band, leaders that a class is compared with.
 BANDS, IN_BAND, LEADERS = 8, 3, 2
 #: Cells of the counting sketch, and slots of the filter of classes that can link.
-SKETCH, FILTER = 1 << 22, 1 << 27
+SKETCH, FILTER = 1 << 22, 1 << 26
 #: Entries of a list in a block; members of a component in a block; its partners in a chunk.
 BLOCK, MEMBERS, PARTNERS = 64, 512, 256
 
@@ -81,9 +83,15 @@ class Rule:
     def spare(self, n):
         return n - self.least_overlap(n)
 
-    def asked(self, n):
+    def asked(self, n, common):
         """Common tokens asked of a prefix of a set of ``n`` or more."""
-        return np.maximum(1, -(-COMMON * n // 100))
+        return np.maximum(1, -(-common * n // 100))
+
+
+def values(column: pa.Array) -> Iterator:
+    """The column's values, a few at a time in Python's memory."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
 
 
 class Shingler:
@@ -92,7 +100,7 @@ class Shingler:
     def __init__(self, words: int):
         self.length, self.codes, self.hashes, self.hashed = words, Codes(), np.empty(0, np.uint64), 0
 
-    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def sets(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Texts are hashed many at a time."""
         held, n = [], 0
         for text in texts:
@@ -133,7 +141,7 @@ def described(rows: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule.words)
         for batch in batches:
-            found = [(len(s), class_of(s) if len(s) else None) for s in shingler.sets(batch.column(2).to_pylist())]
+            found = [(len(s), class_of(s) if len(s) else None) for s in shingler.sets(values(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["row", "doc_id", "n", "cls"])
 
     return rows.mapInArrow(run, "row long, doc_id long, n long, cls binary")
@@ -202,55 +210,88 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-SHARED = "cls binary, n long, shared long"
+COUNTS = "part int, blob binary"
+
 
+def _by_class(keys: np.ndarray, sizes: np.ndarray, shared: np.ndarray, parts: int) -> pa.Table:
+    """Counts of classes, packed by part of the classes."""
+    part = keys.view("<u4").reshape(-1, CLASS // 4)[:, 0] % np.uint32(parts)
+    rows = [(int(p), _pack(keys[own], sizes[own], shared[own])) for p in np.unique(part) for own in [np.flatnonzero(part == p)]]
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-def _count_shared(group: pa.Table) -> pa.Table:
+
+def _count_shared(parts: int):
     """Of a bucket: how many of each class's prefix tokens occur in another class."""
-    parts = [_unpack(b) for b in group.column("blob").to_pylist()]
-    if group.column("bucket")[0].as_py() < 0:
-        keys, sizes, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
-    else:
+
+    def run(group: pa.Table) -> pa.Table:
+        found = [_unpack(b) for b in group.column("blob").to_pylist()]
+        if group.column("bucket")[0].as_py() < 0:
+            return _by_class(*(np.concatenate(x) for x in zip(*found, strict=True)), parts)
         classes = Codes()
-        ids = [np.fromiter(map(classes.__getitem__, p[0].tolist()), np.int64, len(p[0]))[p[3]] for p in parts]
-        sizes_of = dict(itertools.chain.from_iterable(zip(p[0].tolist(), p[1].tolist(), strict=True) for p in parts))
-        tokens, owner, met = np.concatenate([p[2] for p in parts]), np.concatenate(ids), np.concatenate([p[4] for p in parts])
-        order = np.lexsort((owner, tokens))
+        owner = np.concatenate([np.fromiter(map(classes.__getitem__, f[0].tolist()), np.int32, len(f[0]))[f[3]] for f in found])
+        sizes_of = dict(itertools.chain.from_iterable(zip(f[0].tolist(), f[1].tolist(), strict=True) for f in found))
+        tokens, met = np.concatenate([f[2] for f in found]), np.concatenate([f[4] for f in found])
+        del found
+        order = np.argsort(tokens)
         tokens, owner, met = tokens[order], owner[order], met[order]
-        head = np.append(True, tokens[1:] != tokens[:-1])
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         # A token counts if it was met by several classes in some task, or comes from several here.
-        first, group_of = np.flatnonzero(head), np.cumsum(head) - 1
-        last = np.append(first[1:], len(tokens)) - 1
-        many = (owner[first] != owner[last]) | (np.bincount(group_of, met) > 0)
+        several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(met, first)
+        many = np.repeat(several, np.diff(np.append(first, len(tokens))))
         # Postings that a task met several of have been counted there.
-        hit = owner[many[group_of] & ~met]
-        count = np.bincount(hit, minlength=len(classes))
-        every = list(classes)
-        some = np.flatnonzero(count)
-        keys, sizes, shared = [every[i] for i in some.tolist()], np.array([sizes_of[every[i]] for i in some.tolist()], np.int64), count[some]
-    return pa.table({"cls": pa.array([bytes(k) for k in (keys if isinstance(keys, list) else keys.tolist())], pa.binary()), "n": pa.array(sizes, pa.int64()), "shared": pa.array(shared, pa.int64())})
+        count = np.bincount(owner[many & ~met], minlength=len(classes))
+        some, every = np.flatnonzero(count), list(classes)
+        keys = np.frombuffer(b"".join(every[i] for i in some.tolist()), f"V{CLASS}")
+        return _by_class(keys, np.array([sizes_of[every[i]] for i in some.tolist()], "<i8"), count[some].astype("<i8"), parts)
+
+    return run
+
+
+def _enough(rule: Rule, common: int):
+    """Of a part of the classes: those whose counts from all buckets are enough."""
 
+    def run(group: pa.Table) -> pa.Table:
+        keys, sizes, shared = (np.concatenate(x) for x in zip(*(_unpack(b) for b in group.column("blob").to_pylist()), strict=True))
+        words = keys.view("<u8").reshape(-1, CLASS // 8)
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        words, sizes, shared, keys = words[order], sizes[order], shared[order], keys[order]
+        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+        # The other set may be smaller, and then asks for fewer.
+        able = first[np.add.reduceat(shared, first) >= rule.asked(rule.least_overlap(sizes[first]), common)]
+        return pa.table({"cls": pa.array([keys[i].tobytes() for i in able.tolist()], pa.binary())})
 
-def able(rows: DataFrame, rule: Rule, postings: int) -> DataFrame:
-    """The classes (cls) with enough prefix tokens in other classes to link to any."""
-    buckets = max(1, postings // PER_BUCKET)
+    return run
+
+
+def able(found: DataFrame, rule: Rule, tokens: int, common: int) -> DataFrame:
+    """The classes (cls) with enough prefix tokens in other classes to link to any.
+
+    found: cls and tokens of sets, or text, whose sets are then made here; tokens: how many there are.
+    """
+    buckets = max(1, int(tokens * (100 - rule.percent + common) / 100) // PER_BUCKET)
+
+    def sets(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[tuple[bytes | None, np.ndarray]]:
+        if batch.num_columns == 1:
+            for own in shingler.sets(values(batch.column(0))):
+                yield class_of(own), own
+        else:
+            for cls, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
+                yield cls, np.frombuffer(raw, "<u8")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held = Shingler(rule.words), Postings(buckets)
         for batch in batches:
-            for tokens in shingler.sets(batch.column(0).to_pylist()):
-                if n := len(tokens):
-                    held.add(class_of(tokens), n, tokens[: rule.spare(n) + int(rule.asked(n))])
+            for cls, own in sets(batch, shingler):
+                if n := len(own):
+                    held.add(cls, n, own[: rule.spare(n) + int(rule.asked(n, common))])
                 if held.held >= HELD:
                     yield held.flush()
         if held.held:
             yield held.flush()
 
-    found = rows.select("text").mapInArrow(send, "bucket long, blob binary").groupBy("bucket").applyInArrow(_count_shared, SHARED)
-    # The other set may be smaller, and then asks for fewer.
-    smallest = F.ceil(F.col("n") * rule.percent / 100)
-    asked = F.greatest(F.lit(1), F.ceil(smallest * COMMON / 100))
-    return found.groupBy("cls", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= asked).select("cls")
+    chosen = found.select(*(["text"] if "text" in found.columns else ["cls", "tokens"]))
+    counted = chosen.mapInArrow(send, "bucket long, blob binary").groupBy("bucket").applyInArrow(_count_shared(buckets), COUNTS)
+    return counted.groupBy("part").applyInArrow(_enough(rule, common), "cls binary")
 
 
 def filtered(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -293,7 +334,7 @@ def sets_of(rows: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule.words)
         for batch in batches:
-            found = list(shingler.sets(batch.column(1).to_pylist()))
+            found = list(shingler.sets(values(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "n", "tokens"])
 
     return rows.select("cls", "text").mapInArrow(run, "cls binary, n long, tokens binary")
@@ -309,7 +350,7 @@ def leaders(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw in batch.column(1).to_pylist():
+            for raw in values(batch.column(1)):
                 tokens = np.frombuffer(raw, "<u8").astype(np.uint64)
                 least = np.full(BANDS * IN_BAND, ~np.uint64(0))
                 for at in range(0, len(tokens), 4096):
@@ -411,7 +452,7 @@ def sketch_of(sets: DataFrame) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for raw in values(batch.column(0)):
                 own[(np.frombuffer(raw, "<u8") & np.uint64(SKETCH - 1)).astype(np.int64)] += 1
         for k in range(SKETCH // segment):
             part = own[k * segment : (k + 1) * segment]
@@ -429,15 +470,18 @@ def sketch_of(sets: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-def meeting(placed: DataFrame, sketch: bytes, rule: Rule) -> DataFrame:
-    """placed: cls, comp, n, tokens. Pairs (a, b) of components that share a prefix token and whose sizes and positions allow a link."""
+def meeting(placed: DataFrame, sketch: bytes, rule: Rule, heaviest: bool) -> DataFrame:
+    """placed: cls, comp, n, tokens. Pairs (a, b) of components that share a prefix token and whose sizes and positions allow a link.
+
+    heaviest: only pairs with the component that has the most sets on the list.
+    """
     shared = placed.sparkSession.sparkContext.broadcast(sketch)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, "<u2")
         for batch in batches:
             comps, parts = [], []
-            for comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for comp, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 tokens = np.frombuffer(raw, "<u8")
                 n = len(tokens)
                 order = np.lexsort((tokens, counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]))[: rule.spare(n) + 1]
@@ -449,34 +493,47 @@ def meeting(placed: DataFrame, sketch: bytes, rule: Rule) -> DataFrame:
 
     listed = placed.select("comp", "tokens").mapInArrow(entries, "comp binary, token long, n long, rest long")
     # A component is one entry of a list, however many of its sets are on it.
-    listed = listed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    listed = listed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.count("*").alias("weight"))
 
     def walk(group: pa.Table) -> pa.Table:
-        token, low, high, rest = (group.column(c).to_numpy() for c in ("token", "low", "high", "rest"))
+        token, low, high, rest, weight = (group.column(c).to_numpy() for c in ("token", "low", "high", "rest", "weight"))
         comp = group.column("comp").to_pylist()
         order = np.lexsort((high, token))
-        token, low, high, rest = token[order], low[order], high[order], rest[order]
+        token, low, high, rest, weight = (x[order] for x in (token, low, high, rest, weight))
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         pairs: set[tuple[bytes, bytes]] = set()
+
+        def fitting(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which entries (rows and columns) can hold sets that link."""
+            need = rule.overlap(low[mine][:, None], low[other][None, :])
+            fits = (np.minimum(rest[mine][:, None], rest[other][None, :]) >= need) & (high[other][None, :] >= rule.least_overlap(low[mine])[:, None]) & (high[mine][:, None] >= rule.least_overlap(low[other])[None, :])
+            return np.nonzero(fits & (mine[:, None] != other[None, :]))
+
+        def add(mine: np.ndarray, other: np.ndarray) -> None:
+            i, j = fitting(mine, other)
+            for x, y in zip(order[mine[i]].tolist(), order[other[j]].tolist(), strict=True):
+                pairs.add((comp[x], comp[y]) if comp[x] < comp[y] else (comp[y], comp[x]))
+
         for a, b in zip(first.tolist(), np.append(first[1:], len(token)).tolist(), strict=True):
-            # Sorted by greatest size: from a block on, earlier blocks whose sets are all too small are skipped.
-            starts = range(a, b, BLOCK)
-            for at in starts if b - a > 1 else ():
+            if b - a == 1:
+                continue
+            if heaviest:
+                top = max(range(a, b), key=lambda i: (weight[i], comp[order[i]]))
+                add(np.arange(a, b), np.array([top]))
+                continue
+            # Entries lie by greatest size; a block meets itself and the blocks before it.
+            for at in range(a, b, BLOCK):
                 mine = np.arange(at, min(at + BLOCK, b))
                 floor, reach = rule.least_overlap(low[mine].min()), rest[mine].max()
                 for to in range(a, at + 1, BLOCK):
                     other = np.arange(to, min(to + BLOCK, b))
-                    if high[other].max() < floor or min(reach, rest[other].max()) < rule.overlap(low[mine].min(), low[other].min()):
-                        continue
-                    fits = (np.minimum(rest[mine][:, None], rest[other][None, :]) >= rule.overlap(low[mine][:, None], low[other][None, :])) & (high[other][None, :] >= rule.least_overlap(low[mine])[:, None]) & (high[mine][:, None] >= rule.least_overlap(low[other])[None, :]) & (mine[:, None] > other[None, :])
-                    i, j = np.nonzero(fits)
-                    for x, y in zip(order[mine[i]].tolist(), order[other[j]].tolist(), strict=True):
-                        pairs.add((comp[x], comp[y]) if comp[x] < comp[y] else (comp[y], comp[x]))
+                    if high[other].max() >= floor and min(reach, rest[other].max()) >= rule.overlap(low[mine].min(), low[other].min()):
+                        add(mine, other)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
     width = groups(placed)
     bucket = F.pmod(F.xxhash64("token"), F.lit(width)).cast("int").alias("bucket")
-    return listed.select(bucket, "token", "comp", "low", "high", "rest").groupBy("bucket").applyInArrow(walk, "a binary, b binary").distinct()
+    return listed.select(bucket, "token", "comp", "low", "high", "rest", "weight").groupBy("bucket").applyInArrow(walk, "a binary, b binary").distinct()
 
 
 # Step 4.
@@ -508,16 +565,20 @@ def memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
     # The least of (id is null, id, row) stands for a class, and for a component.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "row")).alias("first")
     classes = staged(documents.where("cls is not null").groupBy("cls").agg(first, F.max("n").alias("n")))
-    postings = classes.agg(F.sum(F.col("n") * (100 - percent + COMMON) / 100)).first()[0] or 0
-    chosen = staged(classes.join(able(rows, rule, int(postings)), "cls").select("cls", "first.row"))
+    tokens = classes.agg(F.sum("n")).first()[0] or 0
+    chosen = staged(classes.join(able(rows, rule, tokens, COMMON), "cls").select("cls", "first.row"))
     label = spark.createDataFrame([], "node binary, label binary")
     if n := chosen.count():
         sets = staged(sets_of(filtered(rows, chosen, n).join(chosen, "row"), rule))
-        near = staged(compare_leaders(staged(leaders(sets)), sets, rule))
-        comp = staged(components(near))
-        placed = staged(sets.join(comp.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-        far = staged(compare_components(staged(meeting(placed, sketch_of(sets), rule)), placed, rule))
-        label = staged(components(near.unionByName(far)))
+        # A second look, at nearly whole sets, leaves little but sets that do link.
+        sets = staged(sets.join(able(sets, rule, sets.agg(F.sum("n")).first()[0], MORE_COMMON), "cls", "left_semi"))
+        sketch = sketch_of(sets)
+        links = staged(compare_leaders(staged(leaders(sets)), sets, rule))
+        # Each list's heaviest component first, which joins most of the rest to it; then all that are still apart.
+        for heaviest in (True, False):
+            placed = with_label(sets, staged(components(links)))
+            links = staged(links.unionByName(compare_components(staged(meeting(placed, sketch, rule, heaviest)), placed, rule)))
+        label = staged(components(links))
     named = staged(classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("cls", "label", "first"))
     least = staged(named.groupBy("label").agg(F.min("first").alias("least")))
     named = staged(named.join(least, "label").select("cls", "least"))
@@ -527,6 +588,11 @@ def memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return joined.unionByName(alone)
 
 
+def with_label(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` with ``comp``, the component so far; a class without links is its own."""
+    return staged(sets.join(found.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+
+
 def as_rows(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return df.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
