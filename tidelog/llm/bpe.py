@@ -26,15 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import table
+from tidelog.llm.common import release, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces whose ids a worker keeps, and the longest piece kept.
 CACHED, CACHED_LENGTH = 200_000, 48
+#: Rows that a worker holds at a time.
+SOME = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -114,6 +118,11 @@ class Codec:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces = Pieces(self)
 
+    def rest(self) -> None:
+        """At a task's end: the worker may serve others next."""
+        self.pieces.clear()
+        release()
+
     def encode(self, text: str) -> bytes:
         if self.split and any(t in text for t in self.special):
             return b"".join(self.special[part] if part in self.special else self.ordinary(part) for part in self.split.split(text))
@@ -140,6 +149,7 @@ def encoded(text: Column, vocabulary: str = VOCABULARY) -> Column:
         codec = codec_of(vocabulary)
         for texts in parts:
             yield pd.Series([codec.encode(t) if isinstance(t, str) else b"" for t in texts], dtype=object)
+        codec.rest()
 
     return encode(text.cast("string"))
 
@@ -162,24 +172,34 @@ def encode_documents(df: DataFrame, text_col: str = "text", vocabulary: str = VO
     return whole.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
-def round_trip(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The row's other columns with n_tokens, and the SHA-256 of its ids and of what they decode to.
+def round_trip(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+    """The row's other columns with n_tokens, the SHA-256 of its ids and of what they decode to, and the ids if asked for.
 
-    Ids and decoded texts needn't leave the worker for that.
+    One worker encodes and decodes, some rows at a time, so decoded texts needn't travel.
     """
+    added = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if ids:
+        added = added.add("ids", "binary")
+    kept = [c for c in df.columns if c not in (text_col, *added.names)]
+    rows = df.select(*kept, F.col(text_col).cast("string").alias("__text"))
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
-        for texts in parts:
-            out = []
-            for text in texts:
-                ids = codec.encode(text) if isinstance(text, str) else b""
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kept = [c for c in df.columns if c not in (text_col, "n_tokens", "ids_sha256", "decoded_sha256")]
-    return df.withColumn("__out", digests(F.col(text_col).cast("string"))).select(*kept, "__out.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME):
+                part = batch.slice(at, SOME)
+                found = [codec.encode(t) if isinstance(t, str) else b"" for t in part.column(len(kept)).to_pylist()]
+                own = [
+                    pa.array([len(x) // 4 for x in found], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                    pa.array([hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in found], pa.string()),
+                    *([pa.array(found, pa.binary())] if ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *own], names=[*kept, *added_names])
+        codec.rest()
+
+    added_names = added.names
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added.fields]))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +83,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int)
     known = labels.select("doc_id", F.col(column).cast("int").alias(column)).where(~held_out(F.col("doc_id")))
     drawn, counts = bounded_sample(known, column, bound)
     return staged(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")), counts
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; Python workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(task):
+    """``task``, an Arrow function over batches, that gives memory back when it is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def releasing_group(task):
+    """The same of a function over a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return task(table)
+        finally:
+            release()
+
+    return run
+
+
+def releasing_pair(task):
+    """The same of a function over a pair of groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return task(left, right)
+        finally:
+            release()
+
+    return run

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shuffle_width, staged, table
+from tidelog.llm.common import releasing, releasing_group, releasing_pair, shuffle_width, staged, table
 from tidelog.llm.components import components
 from tidelog.llm.substring_dedup import Codes, compressed, expanded, mixed, numbered, run_hashes
 
@@ -55,7 +55,7 @@ CHUNK_WORDS, VOCABULARY = 100_000, 200_000
 #: first of short prefixes of all sets, then of long ones of the sets that are left.
 COMMON, MORE_COMMON = 10, 80
 #: Postings that a task holds before it sends them, and postings that a bucket stands for.
-HELD, PER_BUCKET = 1_000_000, 1_500_000
+HELD, PER_BUCKET = 1_000_000, 800_000
 #: Bands of minimum hashes, hashes in a band, leaders that a class is compared with.
 BANDS, IN_BAND, LEADERS = 8, 3, 2
 #: Cells of the counting sketch, and slots of the filter of classes that can link.
@@ -88,10 +88,10 @@ class Rule:
         return np.maximum(1, -(-common * n // 100))
 
 
-def values(column: pa.Array) -> Iterator:
+def values(column: pa.Array | pa.ChunkedArray, some: int = 64) -> Iterator:
     """The column's values, a few at a time in Python's memory."""
-    for at in range(0, len(column), 256):
-        yield from column.slice(at, 256).to_pylist()
+    for at in range(0, len(column), some):
+        yield from column.slice(at, some).to_pylist()
 
 
 class Shingler:
@@ -144,7 +144,7 @@ def described(rows: DataFrame, rule: Rule) -> DataFrame:
             found = [(len(s), class_of(s) if len(s) else None) for s in shingler.sets(values(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["row", "doc_id", "n", "cls"])
 
-    return rows.mapInArrow(run, "row long, doc_id long, n long, cls binary")
+    return rows.mapInArrow(releasing(run), "row long, doc_id long, n long, cls binary")
 
 
 # Step 1.
@@ -224,7 +224,7 @@ def _count_shared(parts: int):
     """Of a bucket: how many of each class's prefix tokens occur in another class."""
 
     def run(group: pa.Table) -> pa.Table:
-        found = [_unpack(b) for b in group.column("blob").to_pylist()]
+        found = [_unpack(b) for b in values(group.column("blob"))]
         if group.column("bucket")[0].as_py() < 0:
             return _by_class(*(np.concatenate(x) for x in zip(*found, strict=True)), parts)
         classes = Codes()
@@ -290,8 +290,8 @@ def able(found: DataFrame, rule: Rule, tokens: int, common: int) -> DataFrame:
             yield held.flush()
 
     chosen = found.select(*(["text"] if "text" in found.columns else ["cls", "tokens"]))
-    counted = chosen.mapInArrow(send, "bucket long, blob binary").groupBy("bucket").applyInArrow(_count_shared(buckets), COUNTS)
-    return counted.groupBy("part").applyInArrow(_enough(rule, common), "cls binary")
+    counted = chosen.mapInArrow(releasing(send), "bucket long, blob binary").groupBy("bucket").applyInArrow(releasing_group(_count_shared(buckets)), COUNTS)
+    return counted.groupBy("part").applyInArrow(releasing_group(_enough(rule, common)), "cls binary")
 
 
 def filtered(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -337,7 +337,7 @@ def sets_of(rows: DataFrame, rule: Rule) -> DataFrame:
             found = list(shingler.sets(values(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "n", "tokens"])
 
-    return rows.select("cls", "text").mapInArrow(run, "cls binary, n long, tokens binary")
+    return rows.select("cls", "text").mapInArrow(releasing(run), "cls binary, n long, tokens binary")
 
 
 # Step 2.
@@ -359,7 +359,7 @@ def leaders(sets: DataFrame) -> DataFrame:
             bands = np.concatenate(out) if out else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array([c for c in batch.column(0).to_pylist() for _ in range(BANDS)], pa.binary()), pa.array(bands.astype(np.int64))], names=["cls", "band"])
 
-    bands = staged(sets.select("cls", "tokens").mapInArrow(run, "cls binary, band long"))
+    bands = staged(sets.select("cls", "tokens").mapInArrow(releasing(run), "cls binary, band long"))
     best = staged(bands.groupBy("band").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader != other").select("band", "leader"))
     met = bands.join(best, "band").where("cls != leader").groupBy("cls").agg(F.collect_set("leader").alias("all"))
     return met.select("cls", F.explode(F.slice(F.sort_array("all"), 1, LEADERS)).alias("leader"))
@@ -389,7 +389,7 @@ def compare(left: DataFrame, right: DataFrame, rule: Rule, width: int) -> DataFr
         # Names of its own for each side: both may come from the same table.
         return df.select(F.pmod(F.xxhash64("key"), F.lit(width)).cast("int").alias(f"{mark}_g"), *[F.col(c).alias(f"{mark}_{c}") for c in columns])
 
-    return side(left, "l").groupBy("l_g").cogroup(side(right, "r").groupBy("r_g")).applyInArrow(run, "a binary, b binary")
+    return side(left, "l").groupBy("l_g").cogroup(side(right, "r").groupBy("r_g")).applyInArrow(releasing_pair(run), "a binary, b binary")
 
 
 def linked(guests: list, members: list, rule: Rule) -> list[tuple[bytes, bytes]]:
@@ -465,33 +465,33 @@ def sketch_of(sets: DataFrame) -> bytes:
 
     whole = np.zeros(SKETCH, "<u2")
     schema = "segment int, counts binary"
-    for r in sets.select("tokens").mapInArrow(count, schema).groupBy("segment").applyInArrow(merge, schema).toLocalIterator():
+    for r in sets.select("tokens").mapInArrow(releasing(count), schema).groupBy("segment").applyInArrow(merge, schema).toLocalIterator():
         whole[r.segment * segment : (r.segment + 1) * segment] = np.frombuffer(expanded(r.counts), "<u2")
     return whole.tobytes()
 
 
-def meeting(placed: DataFrame, sketch: bytes, rule: Rule, heaviest: bool) -> DataFrame:
-    """placed: cls, comp, n, tokens. Pairs (a, b) of components that share a prefix token and whose sizes and positions allow a link.
+def meeting(sets: DataFrame, members: DataFrame, sketch: bytes, rule: Rule, heaviest: bool) -> DataFrame:
+    """members: cls and comp. Pairs (a, b) of components that share a prefix token and whose sizes and positions allow a link.
 
     heaviest: only pairs with the component that has the most sets on the list.
     """
-    shared = placed.sparkSession.sparkContext.broadcast(sketch)
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, "<u2")
         for batch in batches:
-            comps, parts = [], []
-            for comp, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
+            classes, parts = [], []
+            for cls, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 tokens = np.frombuffer(raw, "<u8")
                 n = len(tokens)
                 order = np.lexsort((tokens, counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]))[: rule.spare(n) + 1]
-                comps += [comp] * len(order)
+                classes += [cls] * len(order)
                 # token, size, and how many tokens it and all after it are
                 parts.append(np.column_stack([tokens[order].astype(np.int64), np.full(len(order), n), n - np.arange(len(order))]))
             flat = np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(comps, pa.binary()), *(pa.array(flat[:, i].copy()) for i in range(3))], names=["comp", "token", "n", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), *(pa.array(flat[:, i].copy()) for i in range(3))], names=["cls", "token", "n", "rest"])
 
-    listed = placed.select("comp", "tokens").mapInArrow(entries, "comp binary, token long, n long, rest long")
+    listed = sets.select("cls", "tokens").mapInArrow(releasing(entries), "cls binary, token long, n long, rest long").join(members.select("cls", "comp"), "cls")
     # A component is one entry of a list, however many of its sets are on it.
     listed = listed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.count("*").alias("weight"))
 
@@ -531,17 +531,17 @@ def meeting(placed: DataFrame, sketch: bytes, rule: Rule, heaviest: bool) -> Dat
                         add(mine, other)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
-    width = groups(placed)
+    width = groups(sets)
     bucket = F.pmod(F.xxhash64("token"), F.lit(width)).cast("int").alias("bucket")
-    return listed.select(bucket, "token", "comp", "low", "high", "rest", "weight").groupBy("bucket").applyInArrow(walk, "a binary, b binary").distinct()
+    return listed.select(bucket, "token", "comp", "low", "high", "rest", "weight").groupBy("bucket").applyInArrow(releasing_group(walk), "a binary, b binary").distinct()
 
 
 # Step 4.
 
 
-def compare_components(pairs: DataFrame, placed: DataFrame, rule: Rule) -> DataFrame:
-    """Links between the sets of components (a, b): the smaller one's sets meet blocks of the larger one."""
-    sizes = staged(placed.groupBy("comp").agg(F.count("*").alias("members")))
+def compare_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """members: cls and comp. Links between the sets of components (a, b): the smaller one's sets meet blocks of the larger one."""
+    sizes = staged(members.groupBy("comp").agg(F.count("*").alias("members")))
     met = pairs.join(sizes.select(F.col("comp").alias("a"), F.col("members").alias("m_a")), "a").join(sizes.select(F.col("comp").alias("b"), F.col("members").alias("m_b")), "b")
     swap = F.col("m_a") > F.col("m_b")
     met = staged(met.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("big"), F.ceil(F.greatest("m_a", "m_b") / MEMBERS).cast("int").alias("blocks")))
@@ -552,9 +552,11 @@ def compare_components(pairs: DataFrame, placed: DataFrame, rule: Rule) -> DataF
 
     key = F.xxhash64("big", "block", "chunk").alias("key")
     left = met.join(hosts.select("big", "chunks"), "big").withColumn("chunk", F.pmod(F.xxhash64("small"), F.col("chunks")).cast("int")).withColumn("block", every(F.col("blocks")))
-    left = left.select(F.col("small").alias("comp"), key).join(placed, "comp")
-    right = hosts.join(placed, hosts["big"] == placed["comp"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("chunk", every(F.col("chunks")))
-    return compare(left, right.select(key, "cls", "n", "tokens"), rule, groups(placed))
+    # Which class goes where is settled before sets are fetched.
+    left = left.select(F.col("small").alias("comp"), key).join(members, "comp").select("cls", "key").join(sets, "cls")
+    right = hosts.join(members, hosts["big"] == members["comp"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("chunk", every(F.col("chunks")))
+    right = right.select("cls", key).join(sets, "cls")
+    return compare(left, right, rule, groups(sets))
 
 
 def memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -576,8 +578,9 @@ def memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
         links = staged(compare_leaders(staged(leaders(sets)), sets, rule))
         # Each list's heaviest component first, which joins most of the rest to it; then all that are still apart.
         for heaviest in (True, False):
-            placed = with_label(sets, staged(components(links)))
-            links = staged(links.unionByName(compare_components(staged(meeting(placed, sketch, rule, heaviest)), placed, rule)))
+            members = labelled(sets, staged(components(links)))
+            met = staged(meeting(sets, members, sketch, rule, heaviest))
+            links = staged(links.unionByName(compare_components(met, members, sets, rule)))
         label = staged(components(links))
     named = staged(classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("cls", "label", "first"))
     least = staged(named.groupBy("label").agg(F.min("first").alias("least")))
@@ -588,9 +591,9 @@ def memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return joined.unionByName(alone)
 
 
-def with_label(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """``sets`` with ``comp``, the component so far; a class without links is its own."""
-    return staged(sets.join(found.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+def labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """cls and ``comp``, the component so far; a class without links is its own."""
+    return staged(sets.select("cls").join(found.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
 
 
 def as_rows(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
