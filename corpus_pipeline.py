@@ -9,7 +9,6 @@ stage learns anything.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, exact_dedup, jaccard, mixing, quality
 from tidelog.llm.common import staged, table
@@ -37,8 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of what they decode to."""
-    ids = bpe.encode_documents(docs)
-    return ids.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(bpe.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ids=True).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
