@@ -1,51 +1,47 @@
-"""What the training-text operators share: table readers, staged tables, partition sizing."""
+"""What the training-text operators share: table readers, rows in a box, partition sizing."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.staging import Scratch, shared_dir, staged
+
+__all__ = ["Scratch", "shared_dir", "staged"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables. Only Spark's readers touch the path, so any store will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def boxed(df: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """The row, but for the columns in ``without``, as one column ``row``; and ``columns``: no name of ``df`` can clash with theirs."""
+    names = [c for c in df.columns if c not in without]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).alias("none"))
+    return df.select(row.alias("row"), *[c.alias(name) for name, c in columns.items()])
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local
-    tests, a temporary folder is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get().rstrip("/")
 
+def unboxed(df: DataFrame, *added: Column | str, without: tuple[str, ...] = ()) -> DataFrame:
+    """The rows out of their box, with columns ``added``; those in ``without``, in any case, are left out."""
+    gone = {name.lower() for name in without}
+    kept = [F.col("row").getField(name).alias(name) for name in df.schema["row"].dataType.names if name.lower() not in gone]
+    return df.select(*kept, *added)
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs only the tasks it was running. The
-    files go when the session ends.
-    """
-    spark = df.sparkSession
-    where = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+def beside(df: DataFrame, found: Column, *names: str) -> DataFrame:
+    """``df`` with the fields ``names`` of the struct ``found`` in place of columns so named, in any case."""
+    return unboxed(boxed(df, found=found), *[F.col("found").getField(n).alias(n) for n in names], without=names)
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a staged table of narrow rows, marked for broadcast if it has at most so many; else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -117,15 +113,3 @@ def releasing_group(task):
             release()
 
     return run
-
-
-def releasing_pair(task):
-    """The same of a function over a pair of groups."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        try:
-            return task(left, right)
-        finally:
-            release()
-
-    return run

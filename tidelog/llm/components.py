@@ -4,6 +4,10 @@ Each task first solves the links it holds, ``HELD`` of them at most, by union-fi
 hands on one link for each node, to the least node it reaches. Once a single task holds
 all links that is the answer. Else large-star and small-star rounds bring the parts
 together, and the tasks' results are taken again, until nothing changes.
+
+Defined results: a link of a node with itself, or with null, says nothing; links may be
+repeated and lead either way. Nodes without links have no row, an empty table gives an
+empty result, and columns other than a and b are not read.
 """
 
 from __future__ import annotations

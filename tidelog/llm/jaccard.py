@@ -6,31 +6,36 @@ Jaccard similarity is at least ``percent`` hundredths; the result is each docume
 component under these links. No threshold below is a heuristic: every step is either exact
 or only decides the order of work.
 
-1. *Classes that can link.* In one global order of tokens, linked sets share their first
-   common tokens within their prefixes (prefix filter, here asking for several common
-   tokens). Only prefixes travel, a task's tokens folded first; a class stays if enough of
-   its prefix tokens occur in another class. This is what most documents fail.
-2. *Similar sets first.* Classes that agree in a band of minimum hashes are compared with
-   the least class of the band. Links found here join most of each component at the cost
-   of a comparison per class and leader, not per pair.
-3. *Index lists.* Prefix tokens, rarest first by a counting sketch, index the components
-   found so far: an entry holds a component's sizes and the most that can follow the
-   token's position. Lists are sorted by size and walked in blocks; blocks whose size or
-   position rules out a link are skipped whole. Components already joined never meet. In
-   a first walk each list's components only meet the one with most sets on the list.
-4. *Answers from answers.* Pairs of components that share a list are compared. A block's
-   members have known overlaps with a pivot; from a set's own overlap with that pivot
-   follow bounds for all members at once, and only members within them are counted.
-5. Components of the links of 2 and 4, by large-star and small-star rounds.
-
-Large components are dealt in blocks and their partners in chunks, so no task holds more
-than a block. Copies are folded into their class before anything meets.
+1. *Lists worth keeping.* Prefixes of all sets, in hash order, make index lists. Linked
+   sets share much of their prefixes, so a set whose tokens mostly stand alone on their
+   lists has no answers; nothing but the counts of its shared tokens is kept of its lists.
+   Then the same with whole sets, for those that are left.
+2. *Index lists.* The tokens of each remaining set's prefix, rarest first by a counting
+   sketch, are entries of lists, with the set's size and how many tokens can follow the
+   entry's position. Linked sets meet on some list.
+3. *A highly similar set.* Each list names one set, the same for most lists of similar
+   sets; the set named most often by a set's lists is its most similar one, and the two
+   are compared. Sets that link are one component. Others stay with the set that they
+   chose: both make groups of similar sets, cut in blocks of bounded size.
+4. *Skipping.* Lists now hold blocks: sizes, and the most that can follow their positions.
+   They are sorted by size and walked block by block; what sizes or positions rule out is
+   skipped whole, and so are blocks that one component covers.
+5. *Answers from answers.* Where two blocks meet, a set's answers (how much it shares with
+   each set of the other block) follow from the answers of the most similar set before it.
+   The tokens in which the two differ bound every answer at once; if a bound decides, that
+   is all; else only the lists of these tokens are read, added and taken off. A set with no
+   similar one before it is counted from its whole index lists.
+6. Components of the links of 3 and 5, by large-star and small-star rounds.
+
+Lists of many blocks are cut into slices that meet in pairs, a task each. A task holds one
+block, some answers and a bounded part of a list. Copies are folded into their class before
+anything meets. Intermediate tables are deleted once they have been read.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are
 their own component. Texts with fewer words than a shingle have one token, the whole
 sequence. A null id counts as greater than any other; a component of null ids only has a
-null id. Rows that share an id are separate documents. Extra columns are kept by
-``keep_one`` and not read. An empty table gives an empty result.
+null id. Rows that share an id are separate documents. Extra columns, whatever their
+names, are kept by ``keep_one`` and not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,10 +47,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import releasing, releasing_group, releasing_pair, shuffle_width, staged, table
+from tidelog.llm.common import Scratch, broadcast_up_to, releasing, releasing_group, shuffle_width, staged, table, unboxed
 from tidelog.llm.components import components
 from tidelog.llm.substring_dedup import Codes, compressed, expanded, mixed, numbered, run_hashes
 
@@ -54,16 +60,22 @@ CHUNK_WORDS, VOCABULARY = 100_000, 200_000
 #: Share, in hundredths, of a set's tokens that its prefix must have in common with others:
 #: first of short prefixes of all sets, then of long ones of the sets that are left.
 COMMON, MORE_COMMON = 10, 80
-#: Postings that a task holds before it sends them, and postings that a bucket stands for.
-HELD, PER_BUCKET = 1_000_000, 800_000
-#: Bands of minimum hashes, hashes in a band, leaders that a class is compared with.
-BANDS, IN_BAND, LEADERS = 8, 3, 2
-#: Cells of the counting sketch, and slots of the filter of classes that can link.
-SKETCH, FILTER = 1 << 22, 1 << 26
-#: Entries of a list in a block; members of a component in a block; its partners in a chunk.
-BLOCK, MEMBERS, PARTNERS = 64, 512, 256
+#: Postings that a task holds before it sends them; postings of a bucket, at least and at most.
+HELD, BUCKET, FULL_BUCKET = 1_000_000, 800_000, 16_000_000
+#: Cells of the counting sketch, slots of the filter of sets that can link, and how many
+#: tasks' arrays are first added up together.
+SKETCH, FILTER, LANES = 1 << 22, 1 << 26, 64
+#: Sets of a block and their tokens; sets that meet it in a task; rows broadcast at most.
+MEMBERS, MEMBER_TOKENS, PARTNERS, NARROW = 128, 1_000_000, 128, 200_000
+#: Blocks on a list that a task walks; entries walked at a time, and rows read ahead.
+SLICE, STRIDE, AHEAD = 2048, 64, 100_000
+#: Ids of dropped rows that are broadcast at most, 8 bytes each.
+DROPPED = 1_000_000
+#: Answers kept to derive others from, and tokens by which the most similar is chosen.
+KEPT, SAMPLE = 8, 32
 
 CLASS = 16  # bytes of a class's key
+SHORT = 6  # bytes of a token in step 1, where a clash costs work and no answer
 
 
 class Rule:
@@ -87,6 +99,9 @@ class Rule:
         """Common tokens asked of a prefix of a set of ``n`` or more."""
         return np.maximum(1, -(-common * n // 100))
 
+    def prefix(self, n: int, common: int) -> int:
+        return self.spare(n) + int(self.asked(n, common))
+
 
 def values(column: pa.Array | pa.ChunkedArray, some: int = 64) -> Iterator:
     """The column's values, a few at a time in Python's memory."""
@@ -135,65 +150,33 @@ def class_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=CLASS).digest()
 
 
+def short(tokens: np.ndarray) -> bytes:
+    """The high bits of tokens; order is kept."""
+    return (tokens >> np.uint64(64 - 8 * SHORT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def unshort(raw: bytes | np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8").ravel()
+
+
 def described(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows: row, doc_id, text. Returns row, doc_id, n and cls, null for empty sets."""
+    """rows: at, doc_id, text. Returns at, doc_id, n, and cls and prefix (short tokens), null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule.words)
         for batch in batches:
-            found = [(len(s), class_of(s) if len(s) else None) for s in shingler.sets(values(batch.column(2)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["row", "doc_id", "n", "cls"])
+            found = [(len(s), class_of(s), short(s[: rule.prefix(len(s), COMMON)])) if len(s) else (0, None, None) for s in shingler.sets(values(batch.column(2)))]
+            own = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["at", "doc_id", "n", "cls", "prefix"])
 
-    return rows.mapInArrow(releasing(run), "row long, doc_id long, n long, cls binary")
+    return rows.select("at", "doc_id", "text").mapInArrow(releasing(run), "at long, doc_id long, n long, cls binary, prefix binary")
 
 
 # Step 1.
 
 
-class Postings:
-    """A task's prefix tokens, by document, until they are sent."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, set()
-        self.tokens, self.documents, self.classes, self.sizes, self.held = [], [], [], [], 0
-
-    def add(self, cls: bytes, n: int, prefix: np.ndarray) -> None:
-        if cls in self.known:
-            return
-        self.known.add(cls)
-        self.tokens.append(prefix)
-        self.documents.append(np.full(len(prefix), len(self.classes), np.int32))
-        self.classes.append(cls)
-        self.sizes.append(n)
-        self.held += len(prefix)
-
-    def flush(self) -> pa.RecordBatch:
-        """Tokens that meet here count at once and go on as one posting for others to see; the rest go by bucket."""
-        tokens, documents = np.concatenate(self.tokens), np.concatenate(self.documents)
-        order = np.argsort(tokens)
-        tokens, documents = tokens[order], documents[order]
-        head = np.append(True, tokens[1:] != tokens[:-1])
-        count = np.diff(np.append(np.flatnonzero(head), len(tokens)))
-        met = np.repeat(count > 1, count)
-        own = np.bincount(documents[met], minlength=len(self.classes))
-        keys, sizes = np.frombuffer(b"".join(self.classes), f"V{CLASS}"), np.array(self.sizes, "<i8")
-        some = np.flatnonzero(own)
-        rows = []
-        if len(some):
-            rows.append((-1 - int.from_bytes(self.classes[0][:4], "little"), _pack(keys[some], sizes[some], own[some].astype("<i8"))))
-        tokens, documents, met = tokens[head], documents[head], met[head]
-        bucket = tokens % np.uint64(self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64))
-        for b in range(self.buckets):
-            part = order[edges[b] : edges[b + 1]]
-            if len(part):
-                used, index = np.unique(documents[part], return_inverse=True)
-                rows.append((b, _pack(keys[used], sizes[used], tokens[part], index.astype("<i4"), met[part])))
-        self.__init__(self.buckets)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays with their types and lengths, compressed."""
     head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
@@ -210,92 +193,145 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-COUNTS = "part int, blob binary"
-
+class Postings:
+    """A task's prefix tokens, by set, until they are sent. Sets are numbered in a batch, and named once, in its own row."""
 
-def _by_class(keys: np.ndarray, sizes: np.ndarray, shared: np.ndarray, parts: int) -> pa.Table:
-    """Counts of classes, packed by part of the classes."""
-    part = keys.view("<u4").reshape(-1, CLASS // 4)[:, 0] % np.uint32(parts)
-    rows = [(int(p), _pack(keys[own], sizes[own], shared[own])) for p in np.unique(part) for own in [np.flatnonzero(part == p)]]
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+    def __init__(self, buckets: int, batch: int):
+        self.buckets, self.batch = buckets, batch
+        self.clear()
 
+    def clear(self) -> None:
+        self.tokens, self.ids, self.sizes, self.held = [], [], [], 0
 
-def _count_shared(parts: int):
-    """Of a bucket: how many of each class's prefix tokens occur in another class."""
+    def add(self, id_: int, n: int, prefix: np.ndarray) -> None:
+        self.tokens.append(prefix)
+        self.ids.append(id_)
+        self.sizes.append(n)
+        self.held += len(prefix)
 
-    def run(group: pa.Table) -> pa.Table:
-        found = [_unpack(b) for b in values(group.column("blob"))]
-        if group.column("bucket")[0].as_py() < 0:
-            return _by_class(*(np.concatenate(x) for x in zip(*found, strict=True)), parts)
-        classes = Codes()
-        owner = np.concatenate([np.fromiter(map(classes.__getitem__, f[0].tolist()), np.int32, len(f[0]))[f[3]] for f in found])
-        sizes_of = dict(itertools.chain.from_iterable(zip(f[0].tolist(), f[1].tolist(), strict=True) for f in found))
-        tokens, met = np.concatenate([f[2] for f in found]), np.concatenate([f[4] for f in found])
-        del found
+    def flush(self) -> pa.RecordBatch:
+        """Tokens that meet here count at once and go on as one posting for others to see; the rest go by bucket."""
+        tokens, owner = np.concatenate(self.tokens), np.repeat(np.arange(len(self.ids), dtype="<u4"), [len(t) for t in self.tokens])
         order = np.argsort(tokens)
-        tokens, owner, met = tokens[order], owner[order], met[order]
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        # A token counts if it was met by several classes in some task, or comes from several here.
-        several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(met, first)
-        many = np.repeat(several, np.diff(np.append(first, len(tokens))))
-        # Postings that a task met several of have been counted there.
-        count = np.bincount(owner[many & ~met], minlength=len(classes))
-        some, every = np.flatnonzero(count), list(classes)
-        keys = np.frombuffer(b"".join(every[i] for i in some.tolist()), f"V{CLASS}")
-        return _by_class(keys, np.array([sizes_of[every[i]] for i in some.tolist()], "<i8"), count[some].astype("<i8"), parts)
+        tokens, owner = tokens[order], owner[order]
+        first = np.append(True, tokens[1:] != tokens[:-1])
+        count = np.diff(np.append(np.flatnonzero(first), len(tokens)))
+        own = np.bincount(owner[np.repeat(count > 1, count)], minlength=len(self.ids))
+        rows = [(-1 - self.batch, _pack(np.array(self.ids, "<i8"), np.array(self.sizes, "<u4"), own.astype("<u4")))]
+        tokens, owner, met = tokens[first], owner[first], count > 1
+        bucket = tokens % np.uint64(self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64))
+        small = "<u2" if len(self.ids) <= 1 << 16 else "<u4"
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            part = order[edges[b] : edges[b + 1]]
+            alone = part[~met[part]]
+            low = 64 - 8 * SHORT  # ``short`` again, of tokens that are short already
+            raw = [np.frombuffer(short(tokens[x] << np.uint64(low)), np.uint8) for x in (alone, part[met[part]])]
+            rows.append((b, _pack(np.array([self.batch], "<i8"), raw[0], owner[alone].astype(small), raw[1])))
+        self.clear()
+        self.batch += 1
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
-    return run
+
+REPLY = "batch long, blob binary"
+
+
+def _replies(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _count_shared(group: pa.Table) -> pa.Table:
+    """Of a bucket: to each batch, how many tokens of each of its sets occur in another set. A set is in one batch only."""
+    bucket = group.column("bucket")[0].as_py()
+    if bucket < 0:
+        return _replies([(-1 - bucket, b) for b in values(group.column("blob"))])
+    batches, alone, owner, met = zip(*(_unpack(b) for b in values(group.column("blob"))), strict=True)
+    sizes = [len(o) for o in owner]
+    tokens = unshort(np.concatenate([*alone, *met]))
+    del alone, met
+    order = np.argsort(tokens)
+    ranked = tokens[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    own = sum(sizes)
+    # A token counts if some task met it several times, or it comes from several.
+    count = np.diff(np.append(first, len(ranked)))
+    several = (count > 1) | np.logical_or.reduceat(order >= own, first)
+    shared = np.zeros(len(tokens), bool)
+    shared[order] = np.repeat(several, count)
+    rows, at = [], 0
+    for batch, who, n in zip(batches, owner, sizes, strict=True):
+        counts = np.bincount(who[shared[at : at + n]])
+        some = np.flatnonzero(counts)
+        if len(some):
+            rows.append((int(batch[0]), _pack(some.astype(who.dtype), counts[some].astype("<u4"))))
+        at += n
+    return _replies(rows)
 
 
 def _enough(rule: Rule, common: int):
-    """Of a part of the classes: those whose counts from all buckets are enough."""
+    """Of a batch: the sets whose counts from all buckets are enough."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, sizes, shared = (np.concatenate(x) for x in zip(*(_unpack(b) for b in group.column("blob").to_pylist()), strict=True))
-        words = keys.view("<u8").reshape(-1, CLASS // 8)
-        order = np.lexsort((words[:, 1], words[:, 0]))
-        words, sizes, shared, keys = words[order], sizes[order], shared[order], keys[order]
-        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+        found = [_unpack(b) for b in values(group.column("blob"))]
+        ids, sizes, own = next(f for f in found if len(f) == 3)
+        shared, sizes = own.astype(np.int64), sizes.astype(np.int64)
+        for some, counts in (f for f in found if len(f) == 2):
+            shared[some] += counts
         # The other set may be smaller, and then asks for fewer.
-        able = first[np.add.reduceat(shared, first) >= rule.asked(rule.least_overlap(sizes[first]), common)]
-        return pa.table({"cls": pa.array([keys[i].tobytes() for i in able.tolist()], pa.binary())})
+        return pa.table({"id": pa.array(ids[shared >= rule.asked(rule.least_overlap(sizes), common)], pa.int64())})
 
     return run
 
 
-def able(found: DataFrame, rule: Rule, tokens: int, common: int) -> DataFrame:
-    """The classes (cls) with enough prefix tokens in other classes to link to any.
+def able(sets: DataFrame, rule: Rule, tokens: int, common: int) -> DataFrame:
+    """The sets (id) with enough prefix tokens in other sets to link to any.
 
-    found: cls and tokens of sets, or text, whose sets are then made here; tokens: how many there are.
+    sets: a staged table, whose tasks give the same rows again if they must: id, n, and
+    prefix (short tokens) or whole tokens; tokens: how many tokens the sets have.
     """
-    buckets = max(1, int(tokens * (100 - rule.percent + common) / 100) // PER_BUCKET)
-
-    def sets(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[tuple[bytes | None, np.ndarray]]:
-        if batch.num_columns == 1:
-            for own in shingler.sets(values(batch.column(0))):
-                yield class_of(own), own
-        else:
-            for cls, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
-                yield cls, np.frombuffer(raw, "<u8")
+    postings = int(tokens * (100 - rule.percent + common) / 100)
+    # Buckets follow the width of shuffles, so that a batch has not too little for each.
+    buckets = max(1, -(-postings // FULL_BUCKET), min(postings // BUCKET, 2 * shuffle_width(sets.sparkSession)))
+    whole = "tokens" in sets.columns
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held = Shingler(rule.words), Postings(buckets)
+        held = Postings(buckets, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for cls, own in sets(batch, shingler):
-                if n := len(own):
-                    held.add(cls, n, own[: rule.spare(n) + int(rule.asked(n, common))])
+            for id_, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values(batch.column(2)), strict=True):
+                held.add(id_, n, np.frombuffer(raw, "<u8")[: rule.prefix(n, common)] >> np.uint64(64 - 8 * SHORT) if whole else unshort(raw))
                 if held.held >= HELD:
                     yield held.flush()
         if held.held:
             yield held.flush()
 
-    chosen = found.select(*(["text"] if "text" in found.columns else ["cls", "tokens"]))
-    counted = chosen.mapInArrow(releasing(send), "bucket long, blob binary").groupBy("bucket").applyInArrow(releasing_group(_count_shared(buckets)), COUNTS)
-    return counted.groupBy("part").applyInArrow(releasing_group(_enough(rule, common)), "cls binary")
+    sent = sets.select("id", "n", "tokens" if whole else "prefix").mapInArrow(releasing(send), "bucket long, blob binary")
+    counted = sent.groupBy("bucket").applyInArrow(releasing_group(_count_shared), REPLY)
+    return counted.groupBy("batch").applyInArrow(releasing_group(_enough(rule, common)), "id long")
+
+
+def added_up(parts: DataFrame, dtype: str, merge) -> list:
+    """parts: segment, lane and a compressed array. Arrays of a segment merged, some tasks' first and then the rest; rows of segment and array."""
+
+    def run(group: pa.Table) -> pa.Table:
+        whole = merge([np.frombuffer(expanded(b), dtype) for b in values(group.column("array"))])
+        return pa.table({"segment": group.column("segment").slice(0, 1), "lane": group.column("lane").slice(0, 1), "array": [compressed(whole.astype(dtype).tobytes())]})
+
+    schema = "segment int, lane int, array binary"
+    first = parts.groupBy("segment", "lane").applyInArrow(run, schema)
+    return first.groupBy("segment").applyInArrow(run, schema).toLocalIterator()
+
+
+def _segments(whole: np.ndarray, segment: int, put) -> Iterator[pa.RecordBatch]:
+    lane = TaskContext.get().partitionId() % LANES
+    for k in range(len(whole) // segment):
+        part = whole[k * segment : (k + 1) * segment]
+        if part.any():
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "lane": pa.array([lane], pa.int32()), "array": [compressed(put(part).tobytes())]})
 
 
 def filtered(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``rows`` whose ``row`` may be in ``wanted`` (row): a bitmap of bounded size, with false positives only."""
+    """``rows`` whose ``at`` may be among the ``n`` of ``wanted`` (id): a bitmap of bounded size, with false positives only."""
     bits = 1 << 16
     while bits < min(16 * n, FILTER):
         bits *= 2
@@ -305,19 +341,11 @@ def filtered(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         own = np.zeros(bits, bool)
         for batch in batches:
             own[mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(bits - 1)] = True
-        for k in range(bits // segment):
-            part = own[k * segment : (k + 1) * segment]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "bits": [np.packbits(part).tobytes()]})
-
-    def merge(group: pa.Table) -> pa.Table:
-        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in group.column("bits").to_pylist()])
-        return pa.table({"segment": group.column("segment").slice(0, 1), "bits": [whole.tobytes()]})
+        yield from _segments(own, segment, np.packbits)
 
     whole = bytearray(bits // 8)
-    schema = "segment int, bits binary"
-    for r in wanted.select("row").mapInArrow(build, schema).groupBy("segment").applyInArrow(merge, schema).toLocalIterator():
-        whole[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = r.bits
+    for r in added_up(wanted.select("id").mapInArrow(build, "segment int, lane int, array binary"), "u1", np.bitwise_or.reduce):
+        whole[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = expanded(r.array)
     shared = rows.sparkSession.sparkContext.broadcast(bytes(whole))
 
     @F.pandas_udf("boolean")
@@ -325,292 +353,370 @@ def filtered(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         at = (mixed(ids.to_numpy(np.int64).astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
         return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0)
 
-    return rows.where(maybe("row"))
+    return rows.where(maybe("at"))
 
 
 def sets_of(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows: cls and text. Returns cls, n and tokens, sorted little-endian 64-bit words."""
+    """rows: at and text. Returns id, n and tokens, sorted little-endian 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule.words)
         for batch in batches:
             found = list(shingler.sets(values(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "tokens"])
 
-    return rows.select("cls", "text").mapInArrow(releasing(run), "cls binary, n long, tokens binary")
+    return rows.select("at", "text").mapInArrow(releasing(run), "id long, n long, tokens binary")
 
 
 # Step 2.
 
 
-def leaders(sets: DataFrame) -> DataFrame:
-    """Pairs (cls, leader) of classes that agree in a band of minimum hashes."""
-    seeds = mixed(np.arange(1, BANDS * IN_BAND + 1, dtype=np.uint64))[:, None]
+def sketch_of(sets: DataFrame) -> bytes:
+    """About eight times the logarithm of the counts of tokens, by their low bits, a byte each: the order of rarity, the same for all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            out = []
-            for raw in values(batch.column(1)):
-                tokens = np.frombuffer(raw, "<u8").astype(np.uint64)
-                least = np.full(BANDS * IN_BAND, ~np.uint64(0))
-                for at in range(0, len(tokens), 4096):
-                    least = np.minimum(least, mixed(tokens[None, at : at + 4096] ^ seeds).min(axis=1))
-                out.append(np.array([run_hashes(band, IN_BAND)[0] for band in least.reshape(BANDS, IN_BAND)]) ^ np.arange(BANDS, dtype=np.uint64))
-            bands = np.concatenate(out) if out else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([c for c in batch.column(0).to_pylist() for _ in range(BANDS)], pa.binary()), pa.array(bands.astype(np.int64))], names=["cls", "band"])
-
-    bands = staged(sets.select("cls", "tokens").mapInArrow(releasing(run), "cls binary, band long"))
-    best = staged(bands.groupBy("band").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader != other").select("band", "leader"))
-    met = bands.join(best, "band").where("cls != leader").groupBy("cls").agg(F.collect_set("leader").alias("all"))
-    return met.select("cls", F.explode(F.slice(F.sort_array("all"), 1, LEADERS)).alias("leader"))
-
-
-# Steps 2 and 4: comparisons.
-
-
-def compare(left: DataFrame, right: DataFrame, rule: Rule, width: int) -> DataFrame:
-    """left: key, cls, n, tokens; right the same. A link (a, b) for each left set that links to a right set of its key."""
-    columns = ["key", "cls", "n", "tokens"]
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[bytes, bytes]] = []
-        members: dict[int, list] = {}
-        for key, cls, n, tokens in zip(*(b.column(f"r_{c}").to_pylist() for c in columns), strict=True):
-            members.setdefault(key, []).append((n, cls, tokens))
-        guests: dict[int, list] = {}
-        for key, cls, n, tokens in zip(*(a.column(f"l_{c}").to_pylist() for c in columns), strict=True):
-            guests.setdefault(key, []).append((n, cls, tokens))
-        for key, own in guests.items():
-            if key in members:
-                out += linked(own, members[key], rule)
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        # Names of its own for each side: both may come from the same table.
-        return df.select(F.pmod(F.xxhash64("key"), F.lit(width)).cast("int").alias(f"{mark}_g"), *[F.col(c).alias(f"{mark}_{c}") for c in columns])
-
-    return side(left, "l").groupBy("l_g").cogroup(side(right, "r").groupBy("r_g")).applyInArrow(releasing_pair(run), "a binary, b binary")
-
-
-def linked(guests: list, members: list, rule: Rule) -> list[tuple[bytes, bytes]]:
-    """A link for each guest (size, class, tokens) to some member, if there is one."""
-    members = sorted(members)
-    sizes = np.array([m[0] for m in members], np.int64)
-    sets = [np.frombuffer(m[2], "<u8") for m in members]
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-
-    def overlaps(own: np.ndarray) -> np.ndarray:
-        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-        n = high - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(owner[at], minlength=len(sets))
+            for raw in values(batch.column(0)):
+                own[(np.frombuffer(raw, "<u8") & np.uint64(SKETCH - 1)).astype(np.int64)] += 1
+        yield from _segments(own, segment, lambda part: part.astype("<u8"))
 
-    pivot = sets[len(sets) // 2]
-    with_pivot = overlaps(pivot)
-    out = []
-    for n, cls, raw in guests:
-        own = np.frombuffer(raw, "<u8")
-        at = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
-        mine = int((pivot[at] == own).sum())
-        need = rule.overlap(n, sizes)
-        # What both share with the pivot, and what neither does, bound what they share.
-        bound = np.minimum(mine, with_pivot) + np.minimum(n - mine, sizes - with_pivot)
-        near = np.flatnonzero((bound >= need) & (np.minimum(sizes, n) >= need))
-        if len(near) == 0:
-            continue
-        common = overlaps(own)[near] if len(near) > 4 else np.array([len(np.intersect1d(sets[i], own, assume_unique=True)) for i in near])
-        hit = near[(common >= need[near])]
-        for i in hit[:2].tolist():
-            if members[i][1] != cls:
-                out.append((cls, members[i][1]))
-                break
-    return out
+    segment, whole = 1 << 16, np.zeros(SKETCH, np.uint8)
+    for r in added_up(sets.select("tokens").mapInArrow(releasing(count), "segment int, lane int, array binary"), "<u8", lambda arrays: np.sum(arrays, axis=0)):
+        whole[r.segment * segment : (r.segment + 1) * segment] = np.round(8 * np.log2(1.0 + np.frombuffer(expanded(r.array), "<u8")))
+    return whole.tobytes()
 
 
-def compare_leaders(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links among pairs (cls, leader). A leader's many followers go in chunks."""
-    chunks = staged(pairs.groupBy("leader").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks")))
-    key = F.xxhash64("leader", "chunk").alias("key")
-    left = pairs.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).select("cls", key).join(sets, "cls")
-    right = chunks.select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(F.col("leader").alias("cls"), key).join(sets, "cls")
-    return compare(left, right, rule, groups(sets))
+def entries_of(sets: DataFrame, sketch: bytes, rule: Rule) -> DataFrame:
+    """Entries of index lists: token, id, n, and ``rest``, how many tokens the entry's and all after it are."""
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            ids, parts = [], []
+            for id_, raw in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
+                tokens = np.frombuffer(raw, "<u8")
+                n = len(tokens)
+                order = np.lexsort((tokens, counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]))[: rule.spare(n) + 1]
+                ids.append(np.full(len(order), id_))
+                parts.append((tokens[order].astype(np.int64), np.full(len(order), n), n - np.arange(len(order))))
+            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(p) for p in zip(*parts, strict=True))] if parts else [np.empty(0, np.int64)] * 3
+            own = np.concatenate(ids) if ids else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(own), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))], names=["token", "id", "n", "rest"])
 
-def groups(sets: DataFrame) -> int:
-    return 8 * shuffle_width(sets.sparkSession)
+    return sets.select("id", "tokens").mapInArrow(releasing(run), "token long, id long, n int, rest int")
 
 
 # Step 3.
 
 
-def sketch_of(sets: DataFrame) -> bytes:
-    """Saturating 16-bit counts of tokens, by their low bits: the order of rarity, the same for all."""
-    segment = 1 << 16
+def chosen_by_lists(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The entries of lists that several sets are on; and for each of these sets (id) its ``head``, the set that most of its lists name, which may be itself."""
+    named = entries.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"), F.count("*").alias("m"))
+    # Staged, so that a plain shuffle stands on both sides and a long list can be split.
+    named = staged(named.where("m > 1").select("token", F.col("first.id").alias("head")), scratch)
+    shared = staged(entries.join(named, "token"), scratch)
+    votes = shared.groupBy("id", "head").agg(F.count("*").alias("votes"))
+    heads = votes.groupBy("id").agg(F.max_by("head", F.struct("votes", F.bitwise_not(F.xxhash64("head")))).alias("head"))
+    return shared.drop("head"), staged(heads, scratch)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for raw in values(batch.column(0)):
-                own[(np.frombuffer(raw, "<u8") & np.uint64(SKETCH - 1)).astype(np.int64)] += 1
-        for k in range(SKETCH // segment):
-            part = own[k * segment : (k + 1) * segment]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "counts": [compressed(np.minimum(part, 65535).astype("<u2").tobytes())]})
-
-    def merge(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(expanded(b), "<u2").astype(np.int64) for b in group.column("counts").to_pylist())
-        return pa.table({"segment": group.column("segment").slice(0, 1), "counts": [compressed(np.minimum(total, 65535).astype("<u2").tobytes())]})
-
-    whole = np.zeros(SKETCH, "<u2")
-    schema = "segment int, counts binary"
-    for r in sets.select("tokens").mapInArrow(releasing(count), schema).groupBy("segment").applyInArrow(merge, schema).toLocalIterator():
-        whole[r.segment * segment : (r.segment + 1) * segment] = np.frombuffer(expanded(r.counts), "<u2")
-    return whole.tobytes()
 
+def with_heads(heads: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links of sets with their heads. A head's many followers go in chunks."""
+    pairs = heads.where("id != head")
+    chunks = staged(pairs.groupBy("head").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks")), scratch)
+    key = F.xxhash64("head", "chunk").alias("key")
+    guests = pairs.join(chunks, "head").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select(key, F.lit(GUEST).alias("role"), F.col("head").alias("near"), "id", F.col("id").alias("comp"))
+    hosts = chunks.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(key, F.lit(HOST).alias("role"), F.col("head").alias("near"), F.col("head").alias("id"), F.col("head").alias("comp"))
+    return compared(hosts.unionByName(guests), sets, rule)
 
-def meeting(sets: DataFrame, members: DataFrame, sketch: bytes, rule: Rule, heaviest: bool) -> DataFrame:
-    """members: cls and comp. Pairs (a, b) of components that share a prefix token and whose sizes and positions allow a link.
 
-    heaviest: only pairs with the component that has the most sets on the list.
-    """
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+# Step 4.
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(shared.value, "<u2")
-        for batch in batches:
-            classes, parts = [], []
-            for cls, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
-                tokens = np.frombuffer(raw, "<u8")
-                n = len(tokens)
-                order = np.lexsort((tokens, counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]))[: rule.spare(n) + 1]
-                classes += [cls] * len(order)
-                # token, size, and how many tokens it and all after it are
-                parts.append(np.column_stack([tokens[order].astype(np.int64), np.full(len(order), n), n - np.arange(len(order))]))
-            flat = np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), *(pa.array(flat[:, i].copy()) for i in range(3))], names=["cls", "token", "n", "rest"])
-
-    listed = sets.select("cls", "tokens").mapInArrow(releasing(entries), "cls binary, token long, n long, rest long").join(members.select("cls", "comp"), "cls")
-    # A component is one entry of a list, however many of its sets are on it.
-    listed = listed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.count("*").alias("weight"))
-
-    def walk(group: pa.Table) -> pa.Table:
-        token, low, high, rest, weight = (group.column(c).to_numpy() for c in ("token", "low", "high", "rest", "weight"))
-        comp = group.column("comp").to_pylist()
-        order = np.lexsort((high, token))
-        token, low, high, rest, weight = (x[order] for x in (token, low, high, rest, weight))
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        pairs: set[tuple[bytes, bytes]] = set()
-
-        def fitting(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Which entries (rows and columns) can hold sets that link."""
-            need = rule.overlap(low[mine][:, None], low[other][None, :])
-            fits = (np.minimum(rest[mine][:, None], rest[other][None, :]) >= need) & (high[other][None, :] >= rule.least_overlap(low[mine])[:, None]) & (high[mine][:, None] >= rule.least_overlap(low[other])[None, :])
-            return np.nonzero(fits & (mine[:, None] != other[None, :]))
-
-        def add(mine: np.ndarray, other: np.ndarray) -> None:
-            i, j = fitting(mine, other)
-            for x, y in zip(order[mine[i]].tolist(), order[other[j]].tolist(), strict=True):
-                pairs.add((comp[x], comp[y]) if comp[x] < comp[y] else (comp[y], comp[x]))
-
-        for a, b in zip(first.tolist(), np.append(first[1:], len(token)).tolist(), strict=True):
-            if b - a == 1:
-                continue
-            if heaviest:
-                top = max(range(a, b), key=lambda i: (weight[i], comp[order[i]]))
-                add(np.arange(a, b), np.array([top]))
-                continue
-            # Entries lie by greatest size; a block meets itself and the blocks before it.
-            for at in range(a, b, BLOCK):
-                mine = np.arange(at, min(at + BLOCK, b))
-                floor, reach = rule.least_overlap(low[mine].min()), rest[mine].max()
-                for to in range(a, at + 1, BLOCK):
-                    other = np.arange(to, min(to + BLOCK, b))
-                    if high[other].max() >= floor and min(reach, rest[other].max()) >= rule.overlap(low[mine].min(), low[other].min()):
-                        add(mine, other)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    width = groups(sets)
-    bucket = F.pmod(F.xxhash64("token"), F.lit(width)).cast("int").alias("bucket")
-    return listed.select(bucket, "token", "comp", "low", "high", "rest", "weight").groupBy("bucket").applyInArrow(releasing_group(walk), "a binary, b binary").distinct()
 
+def grouped(heads: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each set (id) with its component so far, and its block: part of that component (``linked``), or else of the sets that chose the same head."""
+    found = staged(components(links), scratch)
+    own = heads.join(found.select(F.col("node").alias("id"), "label"), "id", "left").join(sets.select("id", "n"), "id")
+    own = staged(own.select("id", "n", F.coalesce("label", "id").alias("comp"), F.col("label").isNotNull().alias("linked"), F.coalesce("label", "head").alias("grp")), scratch)
+    need = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / MEMBER_TOKENS)).cast("int")
+    sliced = own.groupBy("linked", "grp").agg(need.alias("slices"), F.count("*").alias("members"))
+    # Written out, as block numbers must be the same for all who read them.
+    blocks = staged(sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("block", F.monotonically_increasing_id()), scratch)
+    placed = own.join(blocks.where("slice = 0").select("linked", "grp", "slices"), ["linked", "grp"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    return staged(placed.join(blocks.select("linked", "grp", "slice", "block"), ["linked", "grp", "slice"]).select("id", "comp", "linked", "grp", "block"), scratch)
 
-# Step 4.
 
+LISTED = ["token", "left", "right", "slice", "block", "linked", "grp", "low", "high", "rest", "weight"]
 
-def compare_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """members: cls and comp. Links between the sets of components (a, b): the smaller one's sets meet blocks of the larger one."""
-    sizes = staged(members.groupBy("comp").agg(F.count("*").alias("members")))
-    met = pairs.join(sizes.select(F.col("comp").alias("a"), F.col("members").alias("m_a")), "a").join(sizes.select(F.col("comp").alias("b"), F.col("members").alias("m_b")), "b")
+
+def meeting(entries: DataFrame, members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of blocks that share a list and whose sizes and positions allow a link; a block also with itself."""
+    listed = entries.join(broadcast_up_to(members.select("id", "block", "linked", "grp"), NARROW), "id")
+    # A block is one entry of a list, however many of its sets are on it.
+    listed = staged(listed.groupBy("token", "block").agg(F.first("linked").alias("linked"), F.first("grp").alias("grp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.count("*").cast("int").alias("weight")), scratch)
+    long = staged(listed.groupBy("token").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).where("slices > 1"), scratch)
+    cut = listed.join(broadcast_up_to(long, NARROW), "token", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("block"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = cut.withColumn("left", F.least("slice", "other")).withColumn("right", F.greatest("slice", "other")).select(*LISTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        rows = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows >= AHEAD:
+                whole = pa.concat_tables(held).combine_chunks()
+                end = last_list(whole)
+                if end:
+                    yield from walked(whole.slice(0, end), rule)
+                held, rows = [whole.slice(end)], whole.num_rows - end
+        if rows:
+            yield from walked(pa.concat_tables(held).combine_chunks(), rule)
+
+    ordered = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
+    return ordered.mapInArrow(releasing(run), "a long, b long").distinct()
+
+
+def last_list(rows: pa.Table) -> int:
+    """Where the last list, which may go on, begins."""
+    keys = [rows.column(c).to_numpy() for c in ("token", "left", "right")]
+    differs = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(differs)
+    return int(at[-1]) + 1 if len(at) else 0
+
+
+def walked(rows: pa.Table, rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of whole lists."""
+    get = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in LISTED}
+    order = np.lexsort((get["high"], get["right"], get["left"], get["token"]))
+    get = {c: v[order] for c, v in get.items()}
+    low, high, rest, block, weight = (get[c].astype(np.int64) for c in ("low", "high", "rest", "block", "weight"))
+    linked, group, piece = get["linked"].astype(bool), get["grp"], get["slice"]
+    parted = get["left"] != get["right"]
+    change = np.logical_or.reduce([get[c][1:] != get[c][:-1] for c in ("token", "left", "right")])
+    first = np.flatnonzero(np.append(True, change))
+    ends = np.append(first[1:], len(low))
+    found: list[np.ndarray] = []
+    held = 0
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        need = rule.overlap(low[i], low[j])
+        fits = (np.minimum(rest[i], rest[j]) >= need) & (high[j] >= rule.least_overlap(low[i])) & (high[i] >= rule.least_overlap(low[j]))
+        # Blocks of one component have nothing to tell each other; a list cut in slices meets slice by slice.
+        fits &= ~(linked[i] & linked[j] & (group[i] == group[j])) & ~(parted[i] & (piece[i] == piece[j]))
+        if fits.any():
+            a, b = block[i[fits]], block[j[fits]]
+            found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0))
+
+    def given() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    # A block whose sets are of several components meets itself, once.
+    own = np.flatnonzero((weight > 1) & ~linked & ~parted & (rest >= rule.overlap(low, low)))
+    if len(own):
+        found.append(np.unique(np.column_stack([block[own], block[own]]), axis=0))
+    lengths = ends - first
+    place = np.arange(len(low)) - np.repeat(first, lengths)
+    size = np.repeat(lengths, lengths)
+    # Short lists all at once, by the distance of two entries.
+    for gap in range(1, STRIDE):
+        i = np.flatnonzero((size <= STRIDE) & (place + gap < size))
+        if not len(i):
+            break
+        add(i, i + gap)
+    yield given()
+    # Long ones by strides; entries lie by greatest size, and a stride meets itself and those before it.
+    for a, b in zip(first[lengths > STRIDE].tolist(), ends[lengths > STRIDE].tolist(), strict=True):
+        starts = np.arange(a, b, STRIDE)
+        stops = np.minimum(starts + STRIDE, b)
+        least, most = np.minimum.reduceat(low[a:b], starts - a), np.maximum.reduceat(high[a:b], starts - a)
+        reach = np.maximum.reduceat(rest[a:b], starts - a)
+        for k, (at, to) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+            open_ = (most[: k + 1] >= rule.least_overlap(least[k])) & (np.minimum(reach[k], reach[: k + 1]) >= rule.overlap(least[k], least[: k + 1]))
+            for o in np.flatnonzero(open_).tolist():
+                i, j = np.meshgrid(np.arange(at, to), np.arange(starts[o], stops[o]), indexing="ij")
+                keep = j < i if o == k else np.ones(i.shape, bool)
+                add(i[keep], j[keep])
+                held += STRIDE
+            if held >= 4096:
+                yield given()
+                held = 0
+    yield given()
+
+
+def between_blocks(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links between the sets of blocks (a, b): the smaller one's sets are guests of the larger one, many blocks' at once."""
+    sizes = staged(members.groupBy("block").agg(F.count("*").alias("members")), scratch)
+    met = pairs.join(sizes.select(F.col("block").alias("a"), F.col("members").alias("m_a")), "a").join(sizes.select(F.col("block").alias("b"), F.col("members").alias("m_b")), "b")
     swap = F.col("m_a") > F.col("m_b")
-    met = staged(met.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("big"), F.ceil(F.greatest("m_a", "m_b") / MEMBERS).cast("int").alias("blocks")))
-    hosts = staged(met.groupBy("big", "blocks").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks")))
+    met = staged(met.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("big"), F.least("m_a", "m_b").alias("guests")), scratch)
+    hosts = staged(met.groupBy("big").agg(F.ceil(F.sum(F.when(F.col("small") != F.col("big"), F.col("guests")).otherwise(0)) / PARTNERS).cast("int").alias("chunks")).withColumn("chunks", F.greatest("chunks", F.lit(1))), scratch)
+    own = members.select("id", "comp", "block", F.col("grp").alias("near"))
+    key = F.xxhash64("big", "chunk").alias("key")
+    guests = met.where("small != big").join(hosts, "big").withColumn("chunk", F.pmod(F.xxhash64("small"), F.col("chunks")).cast("int")).withColumn("role", F.lit(GUEST)).select(key, "role", F.col("small").alias("block"))
+    # A block that meets itself does so in its first chunk.
+    selves = met.where("small = big").select(F.col("big").alias("self"))
+    there = hosts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(selves, F.col("big") == F.col("self"), "left")
+    there = there.select(key, F.when((F.col("chunk") == 0) & F.col("self").isNotNull(), BOTH).otherwise(HOST).alias("role"), F.col("big").alias("block"))
+    return compared(there.unionByName(guests).join(own, "block").drop("block"), sets, rule)
+
+
+# Steps 3 and 5: comparisons.
 
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
+#: Of a set where blocks meet: it only answers, it answers and asks, it only asks.
+HOST, BOTH, GUEST = 0, 1, 2
 
-    key = F.xxhash64("big", "block", "chunk").alias("key")
-    left = met.join(hosts.select("big", "chunks"), "big").withColumn("chunk", F.pmod(F.xxhash64("small"), F.col("chunks")).cast("int")).withColumn("block", every(F.col("blocks")))
-    # Which class goes where is settled before sets are fetched.
-    left = left.select(F.col("small").alias("comp"), key).join(members, "comp").select("cls", "key").join(sets, "cls")
-    right = hosts.join(members, hosts["big"] == members["comp"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("chunk", every(F.col("chunks")))
-    right = right.select("cls", key).join(sets, "cls")
-    return compare(left, right, rule, groups(sets))
+
+def compared(asked: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """asked: key, role, near (like sets are near each other in its order), id, comp. Links (a, b): for each set that asks, one to each component of the sets of its key that it links to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, hosts, out = None, None, [], []
+        for batch in batches:
+            narrow = [batch.column(i).to_pylist() for i in range(5)]
+            for k, role, _, id_, comp, raw in zip(*narrow, values(batch.column(5)), strict=True):
+                if k != key:
+                    if block is None and hosts:
+                        out += Block(hosts, rule).inside()
+                    key, block, hosts = k, None, []
+                own = np.frombuffer(raw, "<u8")
+                if role != GUEST:
+                    hosts.append((id_, comp, own, role))
+                    continue
+                if block is None:
+                    block = Block(hosts, rule)
+                    out += block.inside()
+                out += block.links(id_, comp, own)
+            if len(out) >= 10_000:
+                yield _links(out)
+                out = []
+        if block is None and hosts:
+            out += Block(hosts, rule).inside()
+        yield _links(out)
+
+    whole = asked.join(sets.select("id", "tokens"), "id").select("key", "role", "near", "id", "comp", "tokens")
+    return whole.repartition("key").sortWithinPartitions("key", "role", "near", "id").mapInArrow(releasing(run), "a long, b long")
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+class Block:
+    """Sets that answer, under one index: which of their sets links to a set that asks?"""
+
+    def __init__(self, hosts: list[tuple[int, int, np.ndarray, int]], rule: Rule):
+        self.rule, self.hosts = rule, hosts
+        self.ids, self.comps = [h[0] for h in hosts], np.array([h[1] for h in hosts], np.int64)
+        self.sizes = np.array([len(h[2]) for h in hosts], np.int64)
+        tokens, owner = np.concatenate([h[2] for h in hosts]) if hosts else np.empty(0, "<u8"), np.repeat(np.arange(len(hosts)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+        #: Sets that have been answered: tokens and what each host shares with them.
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Pairs of components that a link has joined here.
+        self.joined: dict[int, set[int]] = {}
+
+    def listed(self, own: np.ndarray) -> np.ndarray:
+        """How many of the tokens each host has: their index lists, added up."""
+        low = np.searchsorted(self.tokens, own, "left")
+        n = np.searchsorted(self.tokens, own, "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.ids))
+
+    def similar(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Of the sets answered, the one that shares most of the least tokens with ``own``, if it shares half of them."""
+        best, most = None, min(SAMPLE, len(own)) / 2
+        for other in self.kept:
+            n = np.intersect1d(own[:SAMPLE], other[0][:SAMPLE], assume_unique=True).size
+            if n > most:
+                best, most = other, n
+        return best
+
+    def links(self, id_: int, comp: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """A link to each component here that the set links to, but for its own and those it has been joined with."""
+        n = len(own)
+        need = self.rule.overlap(n, self.sizes)
+        open_ = (self.comps != comp) & (np.minimum(n, self.sizes) >= need)
+        if comp in self.joined:
+            open_ &= ~np.isin(self.comps, list(self.joined[comp]))
+        if not open_.any():
+            return []
+        near = self.similar(own)
+        if near is None:
+            shared = self.listed(own)
+        else:
+            new, gone = np.setdiff1d(own, near[0], assume_unique=True), np.setdiff1d(near[0], own, assume_unique=True)
+            least, most = near[1] - len(gone), np.minimum(near[1] + len(new), np.minimum(n, self.sizes))
+            if not (open_ & (least < need) & (most >= need)).any():
+                return self.told(id_, comp, np.flatnonzero(open_ & (least >= need)))
+            shared = near[1] + self.listed(new) - self.listed(gone)
+        self.kept = [*self.kept[-KEPT + 1 :], (own, shared)]
+        return self.told(id_, comp, np.flatnonzero(open_ & (shared >= need)))
+
+    def told(self, id_: int, comp: int, hits: np.ndarray) -> list[tuple[int, int]]:
+        comps, first = np.unique(self.comps[hits], return_index=True)
+        if len(comps):
+            self.joined.setdefault(comp, set()).update(comps.tolist())
+        return [(id_, self.ids[hits[i]]) for i in first.tolist()]
+
+    def inside(self) -> list[tuple[int, int]]:
+        """Links among the hosts that ask."""
+        return [link for id_, comp, own, role in self.hosts if role == BOTH for link in self.links(id_, comp, own)]
 
 
 def memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """rows: row (long, unique), doc_id and text. Returns row, doc_id, n_shingles, component_id and kept, true for one row of a component."""
+    """rows: at (long, unique), doc_id and text. Returns at, doc_id, n_shingles, component_id and kept, true for one row of a component."""
     rule = Rule(words, percent)
     spark = rows.sparkSession
-    documents = staged(described(rows, rule))
+    wide, work, kept = Scratch(), Scratch(), Scratch()
+    described_rows = staged(described(rows, rule), wide)
     # The least of (id is null, id, row) stands for a class, and for a component.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "row")).alias("first")
-    classes = staged(documents.where("cls is not null").groupBy("cls").agg(first, F.max("n").alias("n")))
-    tokens = classes.agg(F.sum("n")).first()[0] or 0
-    chosen = staged(classes.join(able(rows, rule, tokens, COMMON), "cls").select("cls", "first.row"))
-    label = spark.createDataFrame([], "node binary, label binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "at")).alias("first")
+    sized = staged(described_rows.where("cls is not null").groupBy("cls").agg(first, F.max("n").alias("n"), F.first("prefix").alias("prefix")), wide)
+    documents = staged(described_rows.drop("prefix"), kept)
+    classes = staged(sized.select("cls", "first"), work)
+    tokens = sized.agg(F.sum("n")).first()[0] or 0
+    chosen = staged(able(sized.select(F.col("first.at").alias("id"), "n", "prefix"), rule, tokens, COMMON), work)
+    wide.drop()
+    label = spark.createDataFrame([], "node long, label long")
     if n := chosen.count():
-        sets = staged(sets_of(filtered(rows, chosen, n).join(chosen, "row"), rule))
+        found = staged(sets_of(filtered(rows, chosen, n), rule).join(chosen, "id", "left_semi"), wide)
         # A second look, at nearly whole sets, leaves little but sets that do link.
-        sets = staged(sets.join(able(sets, rule, sets.agg(F.sum("n")).first()[0], MORE_COMMON), "cls", "left_semi"))
-        sketch = sketch_of(sets)
-        links = staged(compare_leaders(staged(leaders(sets)), sets, rule))
-        # Each list's heaviest component first, which joins most of the rest to it; then all that are still apart.
-        for heaviest in (True, False):
-            members = labelled(sets, staged(components(links)))
-            met = staged(meeting(sets, members, sketch, rule, heaviest))
-            links = staged(links.unionByName(compare_components(met, members, sets, rule)))
-        label = staged(components(links))
-    named = staged(classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("cls", "label", "first"))
-    least = staged(named.groupBy("label").agg(F.min("first").alias("least")))
-    named = staged(named.join(least, "label").select("cls", "least"))
+        sets = staged(found.join(able(found, rule, found.agg(F.sum("n")).first()[0], MORE_COMMON), "id", "left_semi"), work)
+        wide.drop()
+        entries, heads = chosen_by_lists(staged(entries_of(sets, sketch_of(sets), rule), work), work)
+        links = staged(with_heads(heads, sets, rule, work), work)
+        members = grouped(heads, links, sets, work)
+        met = staged(meeting(entries, members, rule, work), work)
+        label = staged(components(links.unionByName(between_blocks(met, members, sets, rule, work))), work)
+    named = classes.join(label.select(F.col("node").alias("id"), "label"), classes["first.at"] == F.col("id"), "left")
+    named = staged(named.select("cls", "first", F.coalesce("label", "first.at").alias("label")), work)
+    least = staged(named.groupBy("label").agg(F.min("first").alias("least")), work)
+    named = staged(named.join(least, "label").select("cls", "least"), kept)
+    work.drop()
     # Staged, so that a plain shuffle stands on both sides and a large class can be split.
-    joined = documents.join(named, "cls").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
-    alone = documents.where("cls is null").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    joined = documents.join(named, "cls").select("at", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("at") == F.col("least.at")).alias("kept"))
+    alone = documents.where("cls is null").select("at", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return joined.unionByName(alone)
 
 
-def labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """cls and ``comp``, the component so far; a class without links is its own."""
-    return staged(sets.select("cls").join(found.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-
-
-def as_rows(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return df.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` without all but one row of each component, with its columns."""
-    source = numbered(df, id_col)
-    found = staged(memberships(as_rows(source, text_col, id_col), words, percent))
-    dropped = found.where("not kept").select(F.col("row").alias("__row"))
-    return source.join(dropped, "__row", "left_anti").select(*df.columns)
+    source = numbered(df, id_col, doc_id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
+    dropped = staged(memberships(source.select("at", "doc_id", "text"), words, percent).where("not kept").select("at"))
+    return unboxed(source.select("row", "at").join(broadcast_up_to(dropped, DROPPED), "at", "left_anti"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = as_rows(numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text", "doc_id")
-    return memberships(rows, 4, 85).select("doc_id", "n_shingles", "component_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = numbered(docs, "doc_id", ("text",), doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
+    return memberships(rows.select("at", "doc_id", "text"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

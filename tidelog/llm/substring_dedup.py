@@ -21,8 +21,8 @@ Buckets hold about ``BUCKET_CHARS`` of text each; their number follows the input
 Defined results: null and empty text have no words; a document with fewer than ``WINDOW``
 words keeps all. Documents are in the order of doc_id, null first; rows that share a
 doc_id are told apart by an arbitrary but fixed number. Texts of any length are cut into
-words whole, and words that stay are joined by single spaces. Other columns are kept by
-``drop_repeats`` and not read.
+words whole, and words that stay are joined by single spaces. Other columns, whatever their names, are kept
+by ``drop_repeats`` and not read.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shuffle_width, staged, table
+from tidelog.llm.common import Scratch, boxed, shuffle_width, staged, table
 
 WINDOW, MINIMISER = 20, 4
 #: Text that a bucket stands for, and words that a task packs at a time.
@@ -256,16 +256,19 @@ def open_bucket(group: pa.Table) -> pa.Table:
     return pa.table({"row": found[:, 0], "start": found[:, 1], "n": found[:, 2]})
 
 
-def numbered(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` with ``__row``: doc_id itself where it names each row, else the rank in its order."""
+def numbered(df: DataFrame, id_col: str, without: tuple[str, ...] = (), scratch: Scratch | None = None, **columns: Column) -> DataFrame:
+    """``df`` in a box, as of ``boxed``, with ``at``: doc_id itself where it names each row, else the rank in its order."""
     ids = df.select(F.col(id_col).cast("long").alias("id"))
     rows, known, distinct = ids.agg(F.count("*"), F.count("id"), F.countDistinct("id")).first()
     if rows == known == distinct:
-        return df.withColumn("__row", F.col(id_col).cast("long"))
+        return boxed(df, without, at=F.col(id_col).cast("long"), **columns)
     # Global positions without a single task: offsets of range partitions, kept in the shared folder.
-    fixed = staged(df.withColumn("__tie", F.monotonically_increasing_id()))
-    ordered = staged(fixed.repartitionByRange(shuffle_width(df.sparkSession), F.col(id_col).asc_nulls_first(), "__tie").sortWithinPartitions(F.col(id_col).asc_nulls_first(), "__tie").withColumn("__at", F.monotonically_increasing_id()))
-    return ordered.withColumnRenamed("__at", "__row").drop("__tie")
+    first = Scratch()
+    fixed = staged(boxed(df, without, **columns, id_=F.col(id_col).cast("long"), tie=F.monotonically_increasing_id()), first)
+    order = [F.col("id_").asc_nulls_first(), F.col("tie")]
+    ordered = staged(fixed.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("id_", "tie"), scratch)
+    first.drop()
+    return ordered
 
 
 def repeat_intervals(rows: DataFrame) -> DataFrame:
@@ -288,10 +291,10 @@ def cut(words: list[bytes], spans: list[tuple[int, int]] | None) -> list[bytes]:
 
 def with_kept(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` with repeats cut from its text, and n_words and n_removed in place of columns so named."""
-    rows = numbered(df.drop("n_words", "n_removed"), id_col)
-    spans = repeat_intervals(rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")))
+    rows = numbered(df, id_col, (text_col,), text=F.col(text_col).cast("string"))
+    spans = repeat_intervals(rows.select(F.col("at").alias("row"), "text"))
     # A document's spans are at most one for each of its words, like its text.
-    spans = spans.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    spans = spans.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     @F.pandas_udf("binary")
     def squeeze(texts: pd.Series) -> pd.Series:
@@ -307,14 +310,15 @@ def with_kept(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         return pd.DataFrame(out, columns=["n_words", "n_removed", "text"])
 
     # Texts meet their spans compressed.
-    packed = rows.withColumn(text_col, squeeze(F.col(text_col).cast("string")))
-    joined = packed.join(spans, "__row", "left").withColumn("__kept", kept(F.col(text_col), F.col("__spans")))
-    return joined.select(*[F.col("__kept.text").alias(c) if c == text_col else c for c in rows.columns if c != "__row"], "__kept.n_words", "__kept.n_removed")
+    joined = rows.withColumn("text", squeeze("text")).join(spans, "at", "left").withColumn("kept", kept("text", "spans"))
+    columns = [F.col("kept.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in ("n_words", "n_removed")]
+    return joined.select(*columns, "kept.n_words", "kept.n_removed")
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` with repeats cut from its text."""
-    return with_kept(df, text_col, id_col).select(*df.columns)
+    kept = with_kept(boxed(df, (text_col,), text=F.col(text_col), id=F.col(id_col)), id_col="id")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
