@@ -8,20 +8,28 @@
    quotients target / (2 * seats + 1). Two divisors bracket the result: one seats no more
    blocks than there are, one no fewer, so only the quotients between them are listed and
    ranked, about two for each source whatever the budget.
-3. A source's documents are dealt over ``SHARDS`` shards by a seeded hash, and its blocks
-   over the shards by the same apportionment with the shard's size as its claim.
+3. A source's documents are dealt over its shards by a seeded hash, and its blocks over the
+   shards by the same apportionment with the shard's size as its claim. A source has a
+   shard for each ``SHARD_WORDS`` words, at least one and at most ``SHARDS``, so a shard
+   holds many blocks and what its last block leaves over is small beside it.
 4. In a shard the documents lie in seeded order on a ring of words. The shard's quota is a
    run of blocks on the ring from a seeded block on, so a document gives the words of it
    that the run covers: once around is one repeat of the shard.
 
+Texts are read once for their sizes, and only ids, sizes and hashes are shuffled. ``mixed``
+turns each shard's run into the arc of seeded hashes that it covers: a row a shard, which
+is broadcast up to ``ARCS`` rows and joined by a shuffle beyond; then each document knows
+by its own hash how often it is taken, where it lies.
+
 A source of any size is spread over its shards before anything is sorted. What meets in
 one task is a row per source, or per shard of one source; both are bounded.
 
 Defined results: null text has size 0, and a size of 0 takes nothing. Null is a source of
 its own, last in order. Ties of quotients go by source order, then seat; rows that tie in
-seeded order are equal in id and size, and which of them comes first changes no total.
-An empty table gives an empty result; other columns are kept by ``take`` and ``mixed`` and
-not read.
+seeded order are equal in id and text, and which of them comes first changes no total.
+``mixed`` takes rows that are equal in id and text alike. An empty table gives an empty
+result. Other columns, whatever their names, are kept and not read; ``take`` leaves the
+text out, and replaces size, source_size, target and taken.
 """
 
 from __future__ import annotations
@@ -30,14 +38,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, word_count
+from tidelog.llm.common import Scratch, boxed, broadcast_up_to, staged, table, unboxed, word_count
 
 #: By source order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Budget in hundredths of all sizes, and how often a source may repeat.
 BUDGET_PERCENT, MAX_EPOCHS = 150, 2
-#: Words in a block, shards of a source, and the seed of orders and of runs.
-BLOCK_WORDS, SHARDS, SEED = 16, 1024, 20240601
+#: Words in a block and in a shard, shards of a source at most, and the seed of orders and of runs.
+BLOCK_WORDS, SHARD_WORDS, SHARDS, SEED = 16, 16384, 4096, 20240601
+#: Rows of a table of sources or of arcs that are broadcast at most; a row has about 100 bytes.
+ARCS = 200_000
+#: A word, whose characters are all but these six.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def seeded(*columns: Column | str) -> Column:
@@ -93,45 +105,95 @@ def apportion(claims: DataFrame, within: list[str], claim: str, seats: str, tota
     return held.withColumn(seats, F.col("__low") + F.col("__won")).drop("__n", "__all", "__low", "__high", "__left", "__won")
 
 
+# Of a document: its source's key (the source behind a mark, so that null sources meet in
+# joins too), the hash that deals it to a shard, and its place in the seeded order.
+
+
+def key_of(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def deal_of(id_: Column, text: Column) -> Column:
+    return seeded(F.lit("shard"), id_, F.xxhash64(text))
+
+
+def place_of(id_: Column, text: Column) -> Column:
+    return seeded(F.lit("order"), id_, F.xxhash64(text))
+
+
+def shard_of() -> Column:
+    return F.pmod("deal", F.col("shards")).cast("int").alias("shard")
+
+
+class Plan:
+    """sources: key, source_size, target, shards. laid: the given rows with shard, the first word ``from`` on its ring, the ring's ``ring`` words, ``run`` and ``start``."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch):
+        """rows, staged: key, deal, place and size, and others."""
+        sums = staged(rows.groupBy("key").agg(F.sum("size").alias("source_size")), scratch)
+        named = sums.withColumn("source", F.when(F.col("key").startswith("s"), F.substring("key", 2, 2**31 - 1)))
+        known = targets(named).withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / BLOCK_WORDS).cast("long"))
+        # A source without words has no seats, but a size and a target.
+        seated = apportion(known, [], "target", "seats", "blocks", ["position"]).select("key", "seats")
+        shards = F.least(F.lit(SHARDS), F.greatest(F.lit(1), F.floor(F.col("source_size") / SHARD_WORDS)))
+        self.sources = staged(known.join(seated, "key", "left").select("key", "source_size", "target", shards.alias("shards"), F.coalesce("seats", F.lit(0)).alias("seats")), scratch)
+        dealt = rows.join(broadcast_up_to(self.sources.select("key", "shards"), ARCS), "key").withColumn("shard", shard_of())
+        words = dealt.groupBy("key", "shard").agg(F.sum("size").alias("ring")).where("ring > 0").join(self.sources.select("key", "seats"), "key")
+        quotas = apportion(words, ["key"], "ring", "quota", "seats", ["shard"], F.ceil(F.col("ring") * MAX_EPOCHS / BLOCK_WORDS))
+        run = F.least(F.col("quota") * BLOCK_WORDS, F.col("ring") * MAX_EPOCHS)
+        start = F.pmod(seeded(F.lit("run"), "key", "shard"), F.ceil(F.col("ring") / BLOCK_WORDS)) * BLOCK_WORDS
+        self.runs = staged(quotas.select("key", "shard", "ring", run.alias("run"), start.alias("start")), scratch)
+        along = W.partitionBy("key", "shard").orderBy("place", "size").rowsBetween(W.unboundedPreceding, 0)
+        self.laid = dealt.withColumn("from", F.sum("size").over(along) - F.col("size")).join(broadcast_up_to(self.runs, ARCS), ["key", "shard"], "left")
+
+
 def take(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``df`` with size, source_size, target and taken in place of columns so named."""
-    rows = df.drop("size", "source_size", "target", "taken", "__shard", "__key")
-    rows = rows.withColumn("size", word_count(F.col(text_col))).withColumn("__shard", F.pmod(seeded(id_col), F.lit(SHARDS)).cast("int"))
-    # Null sources must meet in joins: the key is the source behind a mark.
-    rows = rows.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
-    shards = rows.groupBy("__key", "__shard").agg(F.sum("size").alias("words"))
-    source = F.when(F.col("__key").startswith("s"), F.substring("__key", 2, 2**31 - 1))
-    plan = targets(shards.groupBy("__key").agg(F.sum("words").alias("source_size")).withColumn("source", source))
-    plan = plan.withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / BLOCK_WORDS).cast("long"))
-    seated = apportion(plan, [], "target", "seats", "blocks", ["position"]).select("__key", "seats", F.col("source_size").alias("__size"), F.col("target").alias("__target"))
-    shared = shards.join(seated, "__key", "left").where("words > 0").fillna(0, ["seats"])
-    quotas = apportion(shared, ["__key"], "words", "quota", "seats", ["__shard"], F.ceil(F.col("words") * MAX_EPOCHS / BLOCK_WORDS))
-    # Every source has its size and target, those without words too.
-    known = shards.select("__key", "__shard").join(plan.select("__key", F.col("source_size"), "target"), "__key")
-    known = known.join(quotas.select("__key", "__shard", "quota", F.col("words").alias("__words")), ["__key", "__shard"], "left")
-    ring = W.partitionBy("__key", "__shard")
-    along = ring.orderBy(seeded(F.lit("order"), id_col), id_col, "size")
-    laid = rows.withColumn("__from", F.sum("size").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    laid = laid.join(known, ["__key", "__shard"])
-    run = F.least(F.col("quota") * BLOCK_WORDS, F.col("__words") * MAX_EPOCHS)
-    start = F.pmod(seeded(F.lit("run"), "__key", "__shard"), F.ceil(F.col("__words") / BLOCK_WORDS)) * BLOCK_WORDS
+    """``df`` without its text, with size, source_size, target and taken in place of columns so named."""
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col)
+    slim = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row")
+    rows = staged(df.select(slim, key_of(F.col(source_col)).alias("key"), deal_of(id_, text).alias("deal"), place_of(id_, text).alias("place"), word_count(text).alias("size")))
+    plan = Plan(rows, Scratch())
+
     # Words of [0, x) on the endless ring that lie in the document: whole rounds, then a part.
     def upto(x: Column) -> Column:
-        return F.floor(x / F.col("__words")) * F.col("size") + F.least("size", F.greatest(F.lit(0), x % F.col("__words") - F.col("__from")))
-
-    taken = F.coalesce(upto(start + run) - upto(start), F.lit(0)).cast("long")
-    return laid.withColumn("taken", taken).select(*[c for c in rows.columns if not c.startswith("__")], "source_size", "target", "taken")
+        return F.floor(x / F.col("ring")) * F.col("size") + F.least("size", F.greatest(F.lit(0), x % F.col("ring") - F.col("from")))
+
+    taken = F.coalesce(upto(F.col("start") + F.col("run")) - upto(F.col("start")), F.lit(0)).cast("long").alias("taken")
+    laid = plan.laid.select("row", "key", "size", taken).join(broadcast_up_to(plan.sources.select("key", "source_size", "target"), ARCS), "key")
+    return unboxed(laid, "size", "source_size", "target", "taken", without=("size", "source_size", "target", "taken"))
+
+
+def arcs(plan: Plan) -> DataFrame:
+    """A row a shard: key, shard, ``rounds``, and which places the run covers once more: from low_0 to high_0, from low_1 to high_1, and ``also``."""
+    rest = F.pmod("run", F.col("ring"))
+    begin, end = F.pmod("start", F.col("ring")), F.pmod("start", F.col("ring")) + rest
+    # A run that goes past the ring's end has a second part at its beginning.
+    parts = [(begin, F.least(end, "ring")), (F.lit(0), end - F.col("ring"))]
+    upto = F.col("from") + F.col("size")
+    whole = [(F.col("size") > 0) & (F.col("from") >= a) & (upto <= b) for a, b in parts]
+    covered = sum(F.greatest(F.lit(0), F.least(b, upto) - F.greatest(a, F.col("from"))) for a, b in parts)
+    # Of a document that is covered in part, the part is the chance of one more copy.
+    chance = F.pmod(seeded(F.lit("copy"), "place"), F.lit(1 << 20)) / (1 << 20)
+    cut = (F.col("size") > 0) & (covered > 0) & ~whole[0] & ~whole[1] & (covered / F.col("size") > chance)
+    found = [f(F.when(w, F.col("place"))).alias(f"{name}_{i}") for i, w in enumerate(whole) for f, name in ((F.min, "low"), (F.max, "high"))]
+    own = plan.laid.where("run is not null")
+    return own.groupBy("key", "shard").agg(F.first(F.floor(F.col("run") / F.col("ring"))).alias("rounds"), *found, F.collect_set(F.when(cut, F.col("place"))).alias("also"))
 
 
 def mixed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mix as whole documents, with the columns of ``df``: each row as often as the mix takes it.
-
-    A part of a document that is taken counts as its share's chance of one more copy, drawn by seed.
-    """
-    taken = take(df.select(F.struct(*df.columns).alias("whole_row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.col(source_col).alias("source")), "text", "id", "source")
-    chance = F.pmod(seeded(F.lit("copy"), "id"), F.lit(1 << 20)) / (1 << 20)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(0).cast("int")
-    return taken.select("whole_row", F.explode(F.array_repeat(F.lit(1), copies))).select("whole_row.*")
+    """The mix as whole documents, with the columns of ``df``: each row as often as the mix takes it, which is at most ``MAX_EPOCHS`` times. Texts aren't shuffled."""
+    scratch = Scratch()
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col)
+    own = {"key": key_of(F.col(source_col)), "deal": deal_of(id_, text), "place": place_of(id_, text)}
+    plan = Plan(staged(df.select(*[c.alias(n) for n, c in own.items()], word_count(text).alias("size")), scratch), scratch)
+    taken, sources = staged(arcs(plan)), staged(plan.sources.select("key", "shards"))
+    scratch.drop()
+    rows = boxed(df, some=F.coalesce(text.rlike(WORD), F.lit(False)), **own)
+    rows = rows.join(broadcast_up_to(sources, ARCS), "key").withColumn("shard", shard_of()).join(broadcast_up_to(taken, ARCS), ["key", "shard"])
+    inside = [F.coalesce(F.col("place").between(F.col(f"low_{i}"), F.col(f"high_{i}")), F.lit(False)) for i in (0, 1)]
+    once_more = inside[0] | inside[1] | F.array_contains("also", F.col("place"))
+    copies = F.when(F.col("some"), F.least(F.lit(MAX_EPOCHS), F.col("rounds") + once_more.cast("int"))).otherwise(0).cast("int")
+    return unboxed(rows.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
