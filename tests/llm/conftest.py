@@ -40,6 +40,29 @@ def oracle(sql, sf=SF):
     return c.sql(sql)
 
 
+#: Names that operators use within or add; a user's columns may have them too.
+CLASHING = [
+    "row", "at", "text_", "tie", "id", "id_", "key", "shard", "place", "deal", "found", "kept", "spans", "size", "Target", "taken", "Keep_ID", "score", "Predicted", "keep", "expected_grade", "LANG_PRED",
+    "lang_shares", "n_words", "N_Removed", "ids", "n_tokens", "host", "PATH", "rule", "verdict", "__digest", "__row", "__maybe", "__kept", "__spans", "__lang", "__quality", "__text", "__tie", "__host", "a.b",
+]
+
+
+def clashing(frame):
+    """``frame`` with a column of each of these names, which holds that name."""
+    from pyspark.sql import functions as F
+
+    return frame.select("*", *[F.lit(c).alias(c) for c in CLASHING])
+
+
+def unharmed(frame, but=()):
+    """Whether the clashing columns, but those that the operator replaces, still hold their names."""
+    gone = {c.lower() for c in but}
+    kept = [c for c in CLASHING if c.lower() not in gone]
+    assert [c for c in frame.columns if c in kept] == kept
+    found = frame.select(*[f"`{c}`" for c in kept]).collect()
+    return all(list(r) == kept for r in found)
+
+
 def odd_documents(spark):
     """Nulls in each column, empty, blank and long texts, repeated rows, equal texts."""
     long = " ".join(f"word{i % 977}" for i in range(30000))

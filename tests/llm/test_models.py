@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import DOCUMENTS, SF, odd_documents
+from tests.llm.conftest import DOCUMENTS, SF, clashing, odd_documents, unharmed
 from tidelog.llm import ann, bpe, language_id, mixing, quality, toxicity
 from tidelog.llm.catalog import QUERIES
 
@@ -50,6 +50,70 @@ def test_apportionment_by_hand(spark, seed):
         assert found == seats_by_hand(claims, n)
 
 
+def mix_by_hand(spark, docs):
+    """docs: rows of doc_id, text and source. Words taken of each row, and its whole copies; only the seeded hashes are Spark's."""
+    text = F.col("text").cast("string")
+    hashed = docs.select("doc_id", "text", "source", mixing.deal_of(F.col("doc_id"), text).alias("deal"), mixing.place_of(F.col("doc_id"), text).alias("place")).collect()
+    seen = [(("s" + r.source) if r.source is not None else "n", r.deal, r.place, len((r.text or "").encode().split()), r.doc_id) for r in hashed]
+    sizes = {}
+    for key, _, _, size, _ in seen:
+        sizes[key] = sizes.get(key, 0) + size
+    by_source = lambda k: (k == "n", k)
+    targets = {("n" if s is None else "s" + s): t for s, t in targets_by_hand({None if k == "n" else k[1:]: v for k, v in sizes.items()}).items()}
+    order = sorted((k for k in sizes if targets[k] > 0), key=by_source)
+    seats = {k: n for k, n in zip(order, seats_by_hand(dict(enumerate(targets[k] for k in order)), round(sum(targets.values()) / 16)).values(), strict=True)}
+    count = {k: min(mixing.SHARDS, max(1, v // mixing.SHARD_WORDS)) for k, v in sizes.items()}
+    rings = {}
+    for r in seen:
+        rings.setdefault((r[0], r[1] % count[r[0]]), []).append(r)
+    starts = {(r.k, r.s): r.h for r in spark.createDataFrame(list(rings), "k string, s int").select("k", "s", mixing.seeded(F.lit("run"), "k", "s").alias("h")).collect()}
+    copy = {r.p: r.h % (1 << 20) / (1 << 20) for r in spark.createDataFrame([(r[2],) for r in seen], "p long").select("p", mixing.seeded(F.lit("copy"), "p").alias("h")).collect()}
+    taken, copies = {}, {}
+    for key in sizes:
+        words = {s: sum(r[3] for r in own) for (k, s), own in sorted(rings.items()) if k == key}
+        most = {s: -(-2 * w // 16) for s, w in words.items()}
+        quota = dict.fromkeys(words, 0)
+        for _ in range(seats.get(key, 0)):
+            free = [s for s in quota if words[s] and quota[s] < most[s]]
+            if free:
+                quota[max(free, key=lambda s: (words[s] / (2 * quota[s] + 1), -s))] += 1
+        for s, w in words.items():
+            own, at = sorted(rings[key, s], key=lambda r: (r[2], r[3])), 0
+            run = min(16 * quota[s], 2 * w)
+            start = starts[key, s] % -(-w // 16) * 16 if w else 0
+            for r in own:
+                # Word by word, on the ring.
+                got = sum(1 for x in range(at, at + r[3]) for lap in range(4) if start <= x + lap * w < start + run)
+                taken.setdefault(r[4], []).append((r[3], got))
+                whole, part = divmod(got, r[3]) if r[3] else (0, 0)
+                copies[r[4]] = copies.get(r[4], 0) + min(2, whole + (part > 0 and part / r[3] > copy[r[2]]))
+                at += r[3]
+    return {k: sorted(v) for k, v in taken.items()}, copies
+
+
+@pytest.mark.parametrize("kind", ["table", "three words", "four words", "one source", "many small"])
+def test_mix_by_hand(spark, documents, kind, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 700)
+    rng = random.Random(7)
+    if kind == "table":
+        docs = documents.where("doc_id < 300").select("doc_id", "text", "source")
+    else:
+        source = {"three words": lambda i: "a" if i < 900 else "b", "four words": lambda i: "abc"[min(2, i // 334)], "one source": lambda i: "a", "many small": lambda i: f"s{i % 40}" if i % 41 else None}[kind]
+        words = {"three words": lambda i: 3, "four words": lambda i: 4, "one source": lambda i: rng.randrange(0, 30), "many small": lambda i: rng.randrange(1, 12)}[kind]
+        docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(99)}" for _ in range(words(i))), source(i)) for i in range(1200)], "doc_id long, text string, source string")
+    want, copies = mix_by_hand(spark, docs)
+    found = mixing.take(docs).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append((r.size, r.taken))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    for s in {r.source for r in found}:
+        own = [r for r in found if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target + 32
+    mixed = {r.doc_id: r["count"] for r in mixing.mixed(docs).groupBy("doc_id").count().collect()}
+    assert mixed == {k: n for k, n in copies.items() if n}
+
+
 def test_mix_meets_its_targets(spark, documents):
     taken = mixing.take(documents.select("doc_id", "text", "source")).toPandas()
     by = taken.groupby("source", dropna=False)
@@ -67,15 +131,26 @@ def test_mix_meets_its_targets(spark, documents):
     assert words == pytest.approx(taken["target"].groupby(taken["source"]).first().sum(), rel=0.06)
 
 
+def test_texts_are_not_shuffled_by_the_mix(spark, documents):
+    plan = mixing.mixed(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_mix_of_odd_rows(spark, tables):
     docs = odd_documents(spark)
-    found = mixing.take(docs.withColumn("size", F.lit("clash"))).collect()
+    clash = docs.withColumn("Size", F.lit("clash")).withColumn("__key", F.lit("own")).withColumn("row", F.lit("own")).withColumn("shard", F.lit("own"))
+    found = mixing.take(clash)
+    assert found.columns == ["doc_id", "lang", "source", "n_chars", "__key", "row", "shard", "size", "source_size", "target", "taken"]
+    found = found.collect()
     assert len(found) == docs.count()
-    assert all(0 <= r.taken <= 2 * r.size for r in found)
+    assert all(0 <= r.taken <= 2 * r.size and (r["__key"], r["row"], r["shard"]) == ("own", "own", "own") for r in found)
     assert {r.source: r.source_size for r in found}[None] == 30000
+    assert mixing.mixed(clash).columns == clash.columns
     sf = tables(documents=docs.limit(0))
     assert QUERIES["op4_mix_sources"](spark, sf).count() == 0
+    assert mixing.mixed(docs.limit(0)).count() == 0
     assert mixing.take(docs.where("text is null")).select(F.sum("taken")).first()[0] == 0
+    assert mixing.mixed(docs.where("text is null")).count() == 0
 
 
 # Nearest neighbours.
@@ -225,6 +300,29 @@ def test_models_without_much_to_learn_from(spark, tables, name):
     assert QUERIES[name](spark, sf).count() == 0
 
 
+def test_one_grade(spark):
+    docs = odd_documents(spark)
+    for label, expected, tail, keep in ((0, 0.0, 0.0, False), (1, 1.0, 1.0, True), (None, None, None, True)):
+        labels = spark.createDataFrame([(i, label, 0) for i in (1, 2, 4)], LABELS)
+        found = quality.score(docs, quality.learned(docs, labels)).select("expected_grade", "tail_probability", "keep").distinct().collect()
+        assert [tuple(r) for r in found] == [(expected, tail, keep)]
+
+
+def test_clashing_columns(spark, documents):
+    docs = clashing(odd_documents(spark).unionByName(documents.limit(50)))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.learned(documents, labels)
+    assert unharmed(quality.score(docs, model), ("expected_grade", "tail_probability", "keep"))
+    assert unharmed(quality.keep_good(docs, model)) and quality.keep_good(docs, model).columns == docs.columns
+    assert unharmed(toxicity.score(docs, toxicity.learned(documents, labels)), ("score", "predicted"))
+    found = language_id.predict(docs, *language_id.learn(documents))
+    assert unharmed(found, ("lang_pred", "score", "lang_shares")) and found.where("LANG_PRED = 'en'").count() > 0
+    assert unharmed(bpe.encode_documents(docs), ("ids", "n_tokens")) and unharmed(bpe.round_trip(docs), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    assert unharmed(mixing.take(docs), ("size", "source_size", "target", "taken")) and unharmed(mixing.mixed(docs))
+    vectors = clashing(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>"))
+    assert ann.clean(vectors, "vec_id", "embedding").count() == 30
+
+
 def test_three_grades():
     rng = np.random.default_rng(0)
     kinds = ["zzz qqq xxx", "zzz abc def", "abc def ghi"]

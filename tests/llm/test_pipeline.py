@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.conftest import DOCUMENTS, SF, odd_documents
+from tests.llm.conftest import SF, clashing, odd_documents, unharmed
 from tests.llm.test_exact import components_by_hand
 from tidelog.llm import quality
 from tidelog.llm.bpe import VOCABULARY
@@ -56,4 +56,9 @@ def test_odd_rows(spark, tables, empty):
     sf = tables(documents=docs, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     out = corpus_pipeline.run(spark, sf)
     assert out.count() == 0 if empty else out.count() > 0
-    assert DOCUMENTS.startswith("doc_id")
+    if not empty:
+        docs = clashing(docs)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = staged(stage(spark, docs, sf))
+            assert unharmed(docs), name
+        assert stage is corpus_pipeline.mix and corpus_pipeline.encode(spark, docs, sf).count() == docs.count() == out.count()

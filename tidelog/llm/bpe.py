@@ -11,7 +11,7 @@ text takes O(n log n) even where it is a single piece.
 
 Defined results: null encodes as the empty text, that is to no ids; null or empty ids
 decode to the empty text. The special token's string in a text is that token. Repeated
-rows give equal rows; other columns are kept as they are.
+rows give equal rows; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import release, table
+from tidelog.llm.common import boxed, release, table, unboxed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces whose ids a worker keeps, and the longest piece kept.
@@ -180,26 +180,25 @@ def round_trip(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULA
     added = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
         added = added.add("ids", "binary")
-    kept = [c for c in df.columns if c not in (text_col, *added.names)]
-    rows = df.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    rows = boxed(df, (text_col,), text=F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, SOME):
                 part = batch.slice(at, SOME)
-                found = [codec.encode(t) if isinstance(t, str) else b"" for t in part.column(len(kept)).to_pylist()]
+                found = [codec.encode(t) if isinstance(t, str) else b"" for t in part.column(1).to_pylist()]
                 own = [
                     pa.array([len(x) // 4 for x in found], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
                     pa.array([hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in found], pa.string()),
                     *([pa.array(found, pa.binary())] if ids else []),
                 ]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *own], names=[*kept, *added_names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *own], names=["row", *names])
         codec.rest()
 
-    added_names = added.names
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added.fields]))
+    names = added.names
+    return unboxed(rows.mapInArrow(run, T.StructType([rows.schema["row"], *added.fields])), *names, without=tuple(names))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ shuffle, and results stay the same.
 Defined results: null text is the empty text; only A-Z are folded. Of equal texts the
 row with the largest id stays; a null id ranks below all others, and of rows that tie
 (repeated rows) exactly one stays. An empty table gives an empty result. Other columns
-are carried along by ``drop_copies`` and ignored by ``copy_groups``.
+are carried along by ``drop_copies``, whatever their names, and ignored by ``copy_groups``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged, table
+from tidelog.llm.common import Scratch, boxed, staged, table, unboxed
 
 #: Slots of the filter for each row, and slots that one digest sets.
 BITS_PER_ROW, PROBES = 16, 4
@@ -130,14 +130,15 @@ def copy_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 
 def drop_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that stay, with its columns. Only possible repeats are shuffled."""
-    digests = with_digest(df, text_col)
-    bits, again = seen_again(slim := staged(digests.select(DIGEST)), slim.count())
-    marked = with_maybe(digests, bits, again)
-    alone = marked.where("not __maybe").select(*df.columns)
-    whole = F.struct(*df.columns)
+    digests = with_digest(boxed(df, text=F.col(text_col), id=F.col(id_col)), "text")
+    scratch = Scratch()
+    slim = staged(digests.select(DIGEST), scratch)
+    marked = with_maybe(digests, *seen_again(slim, slim.count()))
+    scratch.drop()
+    alone = marked.where("not __maybe").select("row")
     # The largest id, ties settled by the row's hash; partial maxima keep one row a task of each group.
-    best = marked.where("__maybe").groupBy(DIGEST).agg(F.max_by(whole, F.struct(F.col(id_col), F.xxhash64(whole))).alias("__best"))
-    return alone.unionByName(best.select("__best.*"))
+    best = marked.where("__maybe").groupBy(DIGEST).agg(F.max_by("row", F.struct("id", F.xxhash64("row"))).alias("row"))
+    return unboxed(alone.unionByName(best.select("row")))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ Counts are summed by task before they meet. Prediction needs no shuffle.
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing
 was learned. Ties go to the language first in code point order. Documents with null lang
 are predicted but never learned from. Very long texts are hashed piece by piece. Other
-columns are kept by ``predict``, which replaces its own.
+columns, whatever their names, are kept by ``predict``, which replaces its own.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_sample, held_out, table
+from tidelog.llm.common import beside, bounded_sample, held_out, table
 from tidelog.llm.ngrams import counts_of
 
 ORDER, BITS = 3, 13
@@ -119,7 +119,7 @@ def predict(df: DataFrame, languages: list[str], model: np.ndarray, text_col: st
                 out.append((names[top], min(1.0, found[top]), {names[k]: v for k, v in found.items()}))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "lang_shares"])
 
-    return df.drop("lang_pred", "score", "lang_shares").withColumn("__lang", infer(F.col(text_col).cast("string"))).select("*", "__lang.*").drop("__lang")
+    return beside(df, infer(F.col(text_col).cast("string")), "lang_pred", "score", "lang_shares")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ bounded sample; scoring is row by row over whole texts and needs no shuffle.
 
 Defined results: null text is the empty text, whose strength is 0. Ties can't matter, rows
 are scored alone. Labels that are null, or of documents that don't exist, aren't used; a
-document labelled more than once counts once for each label. Without labels, or with one
-grade only, every document gets that grade (0 without any) and is kept. Very long texts
-are hashed piece by piece. Other columns are kept by ``score``, which replaces its own.
+document labelled more than once counts once for each label. With one grade only, every
+document gets that grade, and is kept where the grade is ``WANTED`` or more. Without
+labels there is no grade and no probability, both null, and all are kept. Very long texts
+are hashed piece by piece. Other columns, whatever their names, are kept by ``score``,
+which replaces its own.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import held_out, labelled_sample, table
+from tidelog.llm.common import beside, boxed, held_out, labelled_sample, table, unboxed
 from tidelog.llm.ngrams import counts_of
 
 ORDER, BITS = 3, 13
@@ -55,7 +57,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     grades: list[int]
-    #: A weight for each bin, and the ordered thresholds between grades.
+    #: A weight for each bin, and the ordered thresholds between grades. With one grade, or none, there are no thresholds.
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -64,6 +66,15 @@ class Model:
         bins, values = features(text)
         return logistic(values @ self.weights[bins] - self.thresholds)
 
+    def rated(self, text: str | None, wanted: int) -> tuple[float | None, float | None]:
+        """The expected grade, and the probability of ``wanted`` or more."""
+        if not self.grades:
+            return None, None
+        above = self.above(text)
+        expected = self.grades[0] + float(above @ np.diff(np.array(self.grades, float)))
+        under = sum(g < wanted for g in self.grades)
+        return expected, 1.0 if under == 0 else 0.0 if under == len(self.grades) else float(above[under - 1])
+
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -71,10 +82,9 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, shares: dict[int, float]) -> Model:
     """rows: features; grades: the rating of each; shares: each grade's share of all labelled rows."""
-    known = sorted(shares)
-    if len(known) < 2 or len(set(grades.tolist())) < 2:
-        return Model(known[-1:] or [0], np.zeros(BINS), np.zeros(0))
     known = sorted(set(grades.tolist()))
+    if len(known) < 2:
+        return Model(known, np.zeros(BINS), np.zeros(0))
     y = np.searchsorted(known, grades)
     bins, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float32)
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
@@ -134,17 +144,12 @@ def score(df: DataFrame, model: Model, text_col: str = "text", wanted: int = WAN
     @F.pandas_udf("expected_grade double, tail_probability double")
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        steps = np.diff(np.array(own.grades, float))
-        tail = sum(g < wanted for g in own.grades) - 1
         for texts in parts:
-            out = np.empty((len(texts), 2))
-            for i, text in enumerate(texts):
-                above = own.above(text)
-                out[i] = own.grades[0] + above @ steps, 1.0 if not len(above) or tail < 0 else above[tail] if tail < len(above) else 0.0
-            yield pd.DataFrame(out, columns=["expected_grade", "tail_probability"])
+            yield pd.DataFrame([own.rated(t, wanted) for t in texts], columns=["expected_grade", "tail_probability"], dtype=object)
 
-    rated = df.drop("expected_grade", "tail_probability", "keep").withColumn("__quality", rate(F.col(text_col).cast("string")))
-    return rated.select("*", "__quality.*").drop("__quality").withColumn("keep", F.col("tail_probability") >= KEEP_FROM)
+    rated = rate(F.col(text_col).cast("string"))
+    keep = F.coalesce(rated["tail_probability"] >= KEEP_FROM, F.lit(True))
+    return beside(df, F.struct(rated["expected_grade"].alias("expected_grade"), rated["tail_probability"].alias("tail_probability"), keep.alias("keep")), "expected_grade", "tail_probability", "keep")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
@@ -154,7 +159,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 
 def keep_good(df: DataFrame, model: Model) -> DataFrame:
     """The rows of ``df`` that the classifier keeps, with its columns."""
-    return score(df, model).where("keep").select(*df.columns)
+    rated = score(boxed(df, text=F.col("text")), model)
+    return unboxed(rated.where("keep").select("row"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

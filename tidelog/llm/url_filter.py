@@ -18,7 +18,8 @@ a hot host's pages. Only DataFrame functions are used; a row of 6 numbers goes t
 Defined results: a null url or one without ``://`` has empty host and path, which no rule
 fits, and the overall reputation. Hosts without a dot, or only of digits and dots, are
 their own domain and suffix. Repeated rows give equal rows. Without outcomes everything
-that no rule blocks passes. Other columns are kept by ``judge``, which replaces its own.
+that no rule blocks passes. Other columns, whatever their names, are kept by
+``judge``, which replaces its own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged, table
+from tidelog.llm.common import boxed, staged, table, unboxed
 
 #: (host, path, verdict): fixed by the query's contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -110,14 +111,13 @@ def reputation(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule and verdict in place of columns so named."""
     url = F.col(url_col).cast("string")
-    rows = pages.withColumn("__host", host_of(url)).withColumn("__path", path_of(url)).withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
-    outcome = F.when(F.col("__rule.verdict") == "allow", 1).when(F.col("__rule.verdict") == "block", 0)
-    known = reputation(rows.select(F.col("__host").alias("host"), outcome.alias("good")))
-    known = staged(known).select(F.col("host").alias("__host"), F.col("bound").alias("__bound"))
-    own = F.when(F.col("__bound") < LEAST_GOOD, "block").otherwise("allow")
-    judged = rows.join(known, "__host", "left")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return judged.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", own).alias("verdict"))
+    rows = boxed(pages, host=host_of(url), path=path_of(url))
+    rows = rows.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
+    outcome = F.when(F.col("ruled.verdict") == "allow", 1).when(F.col("ruled.verdict") == "block", 0)
+    known = staged(reputation(rows.select("host", outcome.alias("good")))).select("host", "bound")
+    own = F.when(F.col("bound") < LEAST_GOOD, "block").otherwise("allow")
+    judged = rows.join(known, "host", "left")
+    return unboxed(judged, "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", own).alias("verdict"), without=("host", "path", "rule", "verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
