@@ -106,10 +106,14 @@ def test_runs_are_sorted_and_named_by_content(spark, path):
     assert db.manifest().first().sst == run.sst
     assert {r.k for r in db.range("key10", "key19").collect()} <= {f"key{i}" for i in range(10, 20)}
     assert [r.status for r in db.multi_get(spark.createDataFrame([("nope",)], "k string")).collect()] == ["not found"]
-    db.load(lww.log_of(ops, "k", "seq", F.col("d"), "v"), tag="t")
+    db.load(lww.log_of(ops, "k", "seq", F.col("d"), "v"), "t", 3)
     n = len(db.runs)
-    db.load(lww.log_of(ops, "k", "seq", F.col("d"), "v"), tag="t")
+    db = Store.open(spark, path)
+    for batch in (2, 3):
+        db.load(lww.log_of(ops, "k", "seq", F.col("d"), "v"), "t", batch)
     assert len(db.runs) == n
+    db.load(lww.log_of(ops, "k", "seq", F.col("d"), "v"), "other", 3)
+    assert len(db.runs) == n + 1 and db.streams == {"t": 3, "other": 3}
 
 
 def test_seek_and_scan(spark, path):
@@ -202,3 +206,124 @@ def test_streams(spark, path, tmp_path):
     upsert.flush_stream(stream, db, str(tmp_path / "check")).awaitTermination()
     assert {r.k: r.v for r in db.live().collect()} == want
     assert len(db.runs) == 3
+
+
+def test_streams_do_not_take_each_other_for_done(spark, path, tmp_path):
+    db = Store.create(spark, path)
+    for name, check in (("a", "1"), ("b", "2"), ("b", "3")):
+        source = str(tmp_path / name)
+        spark.range(5).selectExpr(f"concat('{name}', id) as k", "id as seq", "0 as op", "'v' as v").write.mode("overwrite").parquet(source)
+        stream = spark.readStream.schema(LOG).parquet(source)
+        for _ in range(2):  # the second time has nothing new
+            upsert.flush_stream(stream, db, str(tmp_path / f"check{check}")).awaitTermination()
+    assert {r.k for r in db.live().collect()} == {f"{n}{i}" for n in "ab" for i in range(5)}
+    # A batch that comes again: the store has it, the checkpoint hasn't.
+    (tmp_path / "check1" / "commits" / "0").unlink()
+    (tmp_path / "check1" / "commits" / ".0.crc").unlink(missing_ok=True)
+    n, stream = len(db.runs), spark.readStream.schema(LOG).parquet(str(tmp_path / "a"))
+    upsert.flush_stream(stream, db, str(tmp_path / "check1")).awaitTermination()
+    assert len(db.runs) == n
+    assert Store.open(spark, path).streams == db.streams and len(db.streams) == 3
+
+
+def test_pointer_is_replaced_in_one_step(spark, path, monkeypatch):
+    from tidelog.sources.store import Files
+
+    db = Store.create(spark, path)
+    db.put("a", "1")
+    db.flush()
+    before = db.files.read(f"{path}/CURRENT")
+    db.put("a", "2")
+    with monkeypatch.context() as refusing:
+
+        def refuse(self, old, new):
+            if new.endswith("CURRENT"):
+                raise StoreError("no")
+
+        refusing.setattr(Files, "replace", refuse)
+        with pytest.raises(StoreError):
+            db.flush()
+    assert db.files.read(f"{path}/CURRENT") == before
+    assert Store.open(spark, path).get("a") == (Status.OK, "1")
+    # Where the pointer is lost, nothing is made over what is there.
+    db.files.delete(f"{path}/CURRENT")
+    with pytest.raises(StoreError):
+        Store.open(spark, path)
+    assert db.files.names(f"{path}/sst")
+
+
+def test_pointer_on_other_file_systems(spark, tmp_path):
+    """By Hadoop's own rename with overwriting, as on file systems that aren't local."""
+    from tidelog.sources.store import Files
+
+    files = Files(spark, str(tmp_path))
+    files.local = False
+    for data in (b"one", b"two"):
+        files.write(f"{tmp_path}/x", data)
+        assert files.read(f"{tmp_path}/x") == data
+    with pytest.raises(StoreError):
+        files.replace(f"{tmp_path}/none", f"{tmp_path}/x")
+    assert files.read(f"{tmp_path}/x") == b"two"
+
+
+def test_bytes(spark, path):
+    options = Options(binary=True, sync=True)
+    db = Store.create(spark, path, options)
+    keys = [b"", b"\x00", b"\x00\xff", b"\x80a", b"a\x00b", b"\xff" * 3, "é".encode()]
+    for i, k in enumerate(keys):
+        db.put(k, bytes([i, 0, 255]))
+        if i == 3:
+            db.flush()
+    db.delete(b"\x00")
+    with pytest.raises(StoreError):
+        db.put("text", "text")
+    for again in (db, Store.open(spark, path, options)):
+        assert [again.get(k) for k in (b"\x80a", b"\xff" * 3, b"\x00", b"none")] == [(Status.OK, b"\x03\x00\xff"), (Status.OK, b"\x05\x00\xff"), (Status.NOT_FOUND, None), (Status.NOT_FOUND, None)]
+        assert [bytes(r.k) for r in again.scan().collect()] == sorted([*keys, b"\x00"])
+        assert bytes(again.seek(b"\x60").first().k) == b"a\x00b"
+        assert {bytes(r.k) for r in again.range(b"\x00\x00", b"b").collect()} == {k for k in keys if b"\x00\x00" <= k <= b"b"}
+        assert again.get_at(b"\x00", 1) == (Status.OK, b"\x01\x00\xff")
+    with pytest.raises(StoreError):
+        Store.open(spark, path)
+    with pytest.raises(StoreError):
+        Store.create(spark, path + "2").put(b"a", b"b")
+
+
+def test_answers_are_kept(spark, path):
+    db = Store.create(spark, path, Options(level_files=3, cached_answers=8))
+    for n in range(3):
+        db.load(spark.range(100).selectExpr("concat('key', id) as k", "id as seq", f"cast(id % 7 = {n} as int) as op", f"case when id % 7 = {n} then '' else 'v{n}' end as v"))
+    def newest(i):
+        return (Status.NOT_FOUND, None) if i % 7 == 2 else (Status.OK, "v2")
+
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert [db.get(f"key{i}") for i in (1, 2, 9, 30)] == [newest(i) for i in (1, 2, 9, 30)]
+    before = jobs()
+    assert db.get("key30") == newest(30) and jobs() == before
+    assert len(db.answers) <= 8
+    db.put("key30", "new")
+    assert db.get("key30") == (Status.OK, "new")
+    db.flush()  # four runs: they are merged
+    assert db.get("key30") == (Status.OK, "new") and db.get("key1") == newest(1)
+    assert len(db.readers) <= db.options.open_runs
+
+
+def test_merges_in_the_background(spark, path):
+    db = Store.create(spark, path, Options(memtable_bytes=200, level_files=2, background=True))
+    for i in range(120):
+        db.put(f"key{i % 13}", f"v{i}")
+    db.close()
+    assert max(sum(r.level == n for r in db.runs) for n in range(4)) <= 2
+    assert {r.k: r.v for r in Store.open(spark, path).live().collect()} == {f"key{i % 13}": f"v{i}" for i in range(120)}
+
+
+def test_files_are_cut_by_bytes(spark, path):
+    import glob
+
+    db = Store.create(spark, path, Options(file_bytes=20_000))
+    db.load(spark.range(3000).selectExpr("case when id % 2 = 0 then 'hot' else concat('key', id) end as k", "id as seq", "0 as op", "repeat('x', 20) as v"))
+    files = [spark.read.parquet(f).collect() for f in glob.glob(f"{path}/sst/*/*.parquet")]
+    assert len(files) >= 4 and max(map(len, files)) < 1500
+    ranges = sorted(((f[0].k, -f[0].seq), (f[-1].k, -f[-1].seq)) for f in files)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert db.get("hot") == (Status.OK, "x" * 20)

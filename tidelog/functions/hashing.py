@@ -29,18 +29,26 @@ def crc32c(data: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
-def row_digest(*columns: str) -> Column:
-    """SHA-256 of a row's values; lengths keep neighbours apart."""
-    parts = [F.concat_ws(":", F.length(F.col(c).cast("string")).cast("string"), F.col(c).cast("string")) for c in columns]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def row_digest(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of a row's values; lengths keep neighbours apart. Bytes count by their hex digits."""
+    hexed = {f.name for f in df.schema if f.dataType.typeName() == "binary"}
+    texts = [F.hex(c) if c in hexed else F.col(c).cast("string") for c in columns]
+    return F.sha2(F.concat_ws("|", *[F.concat_ws(":", F.length(t).cast("string"), t) for t in texts]), 256)
+
+
+def content_sums(df: DataFrame, *columns: str) -> list[Column]:
+    """Aggregates from which ``content_of`` makes an id: they merge task by task."""
+    digest = row_digest(df, *columns)
+    return [F.count("*").alias("n"), *[F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(4)]]
+
+
+def content_of(sums) -> str:
+    return hashlib.sha256(",".join(str(x or 0) for x in sums).encode()).hexdigest()
 
 
 def content_id(df: DataFrame, *columns: str) -> str:
-    """An id of the rows as a multiset, whatever their order and partitioning: sums of digests merge task by task."""
-    digest = row_digest(*columns)
-    words = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(4)]
-    found = df.agg(F.count("*").alias("n"), *words).first()
-    return hashlib.sha256(",".join(str(x or 0) for x in found).encode()).hexdigest()
+    """An id of the rows as a multiset, whatever their order and partitioning."""
+    return content_of(df.agg(*content_sums(df, *columns)).first())
 
 
 def chained_id(lines: list[str]) -> str:

@@ -16,7 +16,15 @@ PUT, DELETE = 0, 1
 #: Levels of runs, 0 the newest.
 LEVELS = 5
 
-LOG = T.StructType([T.StructField("k", T.StringType(), False), T.StructField("seq", T.LongType(), False), T.StructField("op", T.IntegerType(), False), T.StructField("v", T.StringType(), False)])
+
+
+def log_schema(binary: bool = False) -> T.StructType:
+    """A store's log: keys and values are text, or bytes."""
+    kind = T.BinaryType() if binary else T.StringType()
+    return T.StructType([T.StructField("k", kind, False), T.StructField("seq", T.LongType(), False), T.StructField("op", T.IntegerType(), False), T.StructField("v", kind, False)])
+
+
+LOG = log_schema()
 
 MANIFEST = T.StructType(
     [
@@ -58,5 +66,12 @@ class Options:
     sync: bool = False
     #: Bytes of log that may wait in memory.
     log_buffer: int = 64 << 10
-    #: Rows of a Parquet file of a run, at most; a run of more has several, in key order.
-    rows_per_file: int = 50_000_000
+    #: Bytes of operations in a Parquet file of a run, about; a run of more has several, in key order.
+    file_bytes: int = 256 << 20
+    #: Keys and values are bytes, not text. A store keeps the kind it was made with.
+    binary: bool = False
+    #: Sets of runs that stay open for reading, and answers of runs for single keys that are kept.
+    open_runs: int = 64
+    cached_answers: int = 2048
+    #: Merge levels in a thread of its own, so that writes don't wait for it.
+    background: bool = False

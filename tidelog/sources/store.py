@@ -1,6 +1,7 @@
 """A persistent store of versioned keys: a log, sorted runs in levels, and a pointer to the current revision.
 
-    <path>/CURRENT            the current revision's id, then the numbers of logs not yet in runs
+    <path>/CURRENT            the current revision's id, then the numbers of logs not yet in runs;
+                              then the kind of keys, and each stream's last batch
     <path>/rev/<id>.json      its manifest: a line for each run, with its level
     <path>/sst/<id>/          a run: Parquet, sorted by key, newest version first
     <path>/wal/<number>.wal   framed records
@@ -10,23 +11,31 @@ driver, which becomes a run of level 0 before it outgrows its limit. Bulk writes
 through ``load``: a table becomes a run without passing the driver. A level with more runs
 than it may have is merged into one run of the next level.
 
-A revision is published by renaming a finished pointer file over the old one; readers keep
-the files they have planned on, as nothing is deleted before ``vacuum``. There is a single
-writer. Only Hadoop's file system is used, so any store that it knows will do.
+A revision is published by renaming a finished pointer file over the old one in one step;
+readers keep the files they have planned on, as nothing is deleted before ``vacuum``. There
+is a single writer. Only Hadoop's file system is used, so any store that it knows will do.
+
+Reads of single keys are cached twice: the readers of sets of runs stay open, and what a
+run answers for a key is kept, which is right for ever, as runs never change.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-from dataclasses import dataclass, replace
+import threading
+from collections import OrderedDict
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import chained_id, content_id
-from tidelog.functions.keys import KEY_OVERHEAD, version_order
-from tidelog.model import DELETE, LEVELS, LOG, MANIFEST, PUT, Options, Status, StoreError
+from tidelog.functions.hashing import chained_id, content_of, content_sums
+from tidelog.functions.keys import KEY_OVERHEAD, entry_bytes, newest, version_order
+from tidelog.model import DELETE, LEVELS, MANIFEST, PUT, Options, Status, StoreError, log_schema
 from tidelog.operators import lww
 from tidelog.operators.runs import merge
 from tidelog.sources import wal
@@ -39,9 +48,12 @@ class Files:
     """What the store needs of a Hadoop file system."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
         self.path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.local = self.fs.getUri().getScheme() == "file"
+        if self.local:  # without the side files of checksums, which can't be replaced in the same step
+            self.fs = self.jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).getRawFileSystem()
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
@@ -74,10 +86,24 @@ class Files:
         stream = self.fs.create(self.path(f"{name}.tmp"), True)
         stream.write(data)
         stream.close()
-        if not self.fs.rename(self.path(f"{name}.tmp"), self.path(name)):
-            # Some file systems don't rename over a file.
-            self.fs.delete(self.path(name), False)
-            self.fs.rename(self.path(f"{name}.tmp"), self.path(name))
+        self.replace(f"{name}.tmp", name)
+
+    def replace(self, old: str, new: str) -> None:
+        """Rename over what is there, in one step. Where the file system can't, ``new`` stays as it was and this fails."""
+        try:
+            if self.local:
+                nio = self.jvm.java.nio.file
+                how = self.gateway.new_array(nio.CopyOption, 1)
+                how[0] = nio.StandardCopyOption.ATOMIC_MOVE
+                nio.Files.move(*[self.jvm.java.io.File(self.path(x).toUri().getPath()).toPath() for x in (old, new)], how)
+            else:
+                hadoop = self.jvm.org.apache.hadoop.fs
+                rename = getattr(hadoop, "Options$Rename")
+                how = self.gateway.new_array(rename, 1)
+                how[0] = rename.OVERWRITE
+                hadoop.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(self.path(old), self.path(new), how)
+        except Py4JJavaError as error:
+            raise StoreError(f"{new}: can't be replaced: {error.java_exception}") from error
 
 
 @dataclass(frozen=True)
@@ -89,23 +115,52 @@ class Run:
     min_key: str
     max_key: str
     file_size: int
-    tag: str = ""
 
     def line(self) -> str:
         return json.dumps(self.__dict__, sort_keys=True, ensure_ascii=False)
 
 
+class Recent(OrderedDict):
+    """The ``most`` entries used last."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def take(self, key, make: Callable):
+        if key in self:
+            self.move_to_end(key)
+            return self[key]
+        self[key] = found = make()
+        self.trim()
+        return found
+
+    def trim(self) -> None:
+        while len(self) > self.most:
+            self.popitem(last=False)
+
+
+Key = str | bytes
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.root, self.options = spark, path.rstrip("/"), options
-        self.files = Files(spark, self.root)
+        self.files, self.schema = Files(spark, self.root), log_schema(options.binary)
         self.closed = False
         self.runs: list[Run] = []
-        self.memtable: list[tuple[str, int, int, str]] = []
+        self.memtable: list[tuple[Key, int, int, Key]] = []
         self.memtable_size, self.waiting = 0, b""
         self.next_seq, self.log = 0, 0
         #: Files of the open log, each written once.
         self.segment = 0
+        #: Of each stream that was loaded, the number of its last batch.
+        self.streams: dict[str, int] = {}
+        self.readers, self.answers = Recent(options.open_runs), Recent(options.cached_answers)
+        #: What is published, by the writer and the merging thread, goes one at a time.
+        self.publishing = threading.RLock()
+        self.worker = ThreadPoolExecutor(1) if options.background else None
+        self.merging: Future | None = None
 
     # Opening and closing.
 
@@ -116,6 +171,8 @@ class Store:
             raise StoreError(f"{path}: exists already")
         for name in ("sst", "rev", "wal"):
             store.files.mkdirs(f"{store.root}/{name}")
+            if store.files.names(f"{store.root}/{name}"):
+                raise StoreError(f"{path}: holds files in {name} but no CURRENT; it isn't made anew over them")
         store.publish([])
         return store
 
@@ -133,19 +190,23 @@ class Store:
 
     def recover(self) -> None:
         """Read the pointer and the manifest, then take what the logs hold into runs."""
-        revision, *logs = self.files.read(f"{self.root}/CURRENT").decode().split("\n")[0].split(" ")
+        first, *notes = self.files.read(f"{self.root}/CURRENT").decode().splitlines() or [""]
+        revision, *logs = first.split(" ")
         if len(revision) != 64:
             raise StoreError(f"{self.root}/CURRENT: {Status.BAD_RECORD}")
+        if ("kind binary" in notes) != self.options.binary:
+            raise StoreError(f"{self.root}: was made with keys of the other kind, text or bytes")
+        self.streams = {name: int(n) for kind, name, n in (x.split(" ") for x in notes if x.startswith("stream "))}
         lines = self.files.read(f"{self.root}/rev/{revision}.json").decode().splitlines()
         self.runs = [Run(**json.loads(line)) for line in lines]
         pending = [n for n in self.files.names(f"{self.root}/wal") if n.endswith(".wal") and n.split("-")[0] in logs]
-        replayed = wal.replay(self.spark, [f"{self.root}/wal/{n}" for n in pending]) if pending else []
+        replayed = wal.replay(self.spark, [f"{self.root}/wal/{n}" for n in pending], self.options.binary) if pending else []
         done = max([r.max_seq for r in self.runs], default=-1)
         self.log = max([int(n) for n in logs], default=0) + 1
         fresh = [o for o in replayed if o[1] > done]
         self.next_seq = max([done, *(o[1] for o in fresh)]) + 1
         if fresh:
-            self.publish([*self.runs, self.write_run(self.spark.createDataFrame(fresh, LOG), 0)])
+            self.publish([*self.runs, self.write_run(self.spark.createDataFrame(fresh, self.schema), 0)])
         else:
             self.publish(self.runs)
         for name in pending:
@@ -159,15 +220,20 @@ class Store:
         """Write the log out. Its operations become a run when the store is opened again."""
         self.sync()
         self.closed = True
+        if self.worker:
+            self.merged()
+            self.worker.shutdown()
 
     def publish(self, runs: list[Run]) -> None:
-        lines = [r.line() for r in sorted(runs, key=lambda r: (r.level, r.min_key, r.sst))]
-        revision = self.revision_id(runs)
-        name = f"{self.root}/rev/{revision}.json"
-        if not self.files.exists(name):
-            self.files.write(name, "\n".join(lines).encode())
-        self.files.write(f"{self.root}/CURRENT", f"{revision} {self.log}\n".encode())
-        self.runs = list(runs)
+        with self.publishing:
+            lines = [r.line() for r in sorted(runs, key=lambda r: (r.level, r.min_key, r.sst))]
+            revision = self.revision_id(runs)
+            name = f"{self.root}/rev/{revision}.json"
+            if not self.files.exists(name):
+                self.files.write(name, "\n".join(lines).encode())
+            notes = [f"{revision} {self.log}", *["kind binary"] * self.options.binary, *(f"stream {name} {n}" for name, n in sorted(self.streams.items()))]
+            self.files.write(f"{self.root}/CURRENT", "".join(f"{x}\n" for x in notes).encode())
+            self.runs = list(runs)
 
     @staticmethod
     def revision_id(runs: list[Run]) -> str:
@@ -177,15 +243,18 @@ class Store:
 
     # Writing.
 
-    def put(self, k: str, v: str) -> None:
+    def put(self, k: Key, v: Key) -> None:
         self.write(k, v, PUT)
 
-    def delete(self, k: str) -> None:
+    def delete(self, k: Key) -> None:
         """Whether the key exists isn't asked."""
-        self.write(k, "", DELETE)
+        self.write(k, b"" if self.options.binary else "", DELETE)
 
-    def write(self, k: str, v: str, op: int) -> None:
+    def write(self, k: Key, v: Key, op: int) -> None:
         self.writable()
+        for x in (k, v):
+            if isinstance(x, str) == self.options.binary:
+                raise StoreError(f"{self.root}: its keys and values are {'bytes' if self.options.binary else 'text'}")
         if self.memtable_size > self.options.memtable_bytes:
             self.flush()
         entry = (k, self.next_seq, op, v)
@@ -193,7 +262,7 @@ class Store:
         if self.options.sync or len(self.waiting) >= self.options.log_buffer:
             self.sync()
         self.memtable.append(entry)
-        self.memtable_size += len(k.encode()) + KEY_OVERHEAD + len(v.encode())
+        self.memtable_size += len(wal.as_bytes(k)) + KEY_OVERHEAD + len(wal.as_bytes(v))
         self.next_seq += 1
 
     def writable(self) -> None:
@@ -205,30 +274,40 @@ class Store:
             self.files.write(f"{self.root}/wal/{self.log}-{self.segment}.wal", self.waiting)
             self.segment, self.waiting = self.segment + 1, b""
 
-    def load(self, ops: DataFrame, tag: str = "") -> None:
-        """Write a table of k, op and v, in the order of its ``seq``, as one run. A tag that a run of the store bears already makes this do nothing."""
+    def load(self, ops: DataFrame, stream: str = "", batch: int = 0) -> None:
+        """Write a table of k, op and v, in the order of its ``seq``, as one run.
+
+        stream: whose batch of number ``batch`` this is; one that isn't later than the
+        stream's last in the store has been loaded already, and nothing is done.
+        """
         self.writable()
-        if tag and any(tag in r.tag.split(" ") for r in self.runs):
+        if stream and self.streams.get(stream, -1) >= batch:
             return
         self.flush()
         first, last = ops.agg(F.min("seq"), F.max("seq")).first()
-        if first is None:
-            return
-        # Numbers keep their distances and follow those in the store.
-        shifted = ops.select(F.col("k").cast("string").alias("k"), (F.col("seq") - first + self.next_seq).alias("seq"), F.col("op").cast("int").alias("op"), "v")
-        run = replace(self.write_run(shifted, 0), tag=tag)
-        self.next_seq += last - first + 1
-        self.publish([*self.runs, run])
+        runs: list[Run] = []
+        if first is not None:
+            # Numbers keep their distances and follow those in the store.
+            kind = self.schema["k"].dataType
+            shifted = ops.select(F.col("k").cast(kind).alias("k"), (F.col("seq") - first + self.next_seq).alias("seq"), F.col("op").cast("int").alias("op"), F.col("v").cast(kind).alias("v"))
+            runs = [self.write_run(shifted, 0)]
+            self.next_seq += last - first + 1
+        with self.publishing:
+            if stream:
+                self.streams[stream] = batch
+            if stream or runs:
+                self.publish([*self.runs, *runs])
         self.compact()
 
     def flush(self) -> None:
         """The memtable becomes a run of level 0, with all of its versions."""
         if not self.memtable:
             return
-        run = self.write_run(self.spark.createDataFrame(self.memtable, LOG), 0)
-        old, self.log, self.segment = self.log, self.log + 1, 0
-        self.waiting = b""
-        self.publish([*self.runs, run])
+        run = self.write_run(self.spark.createDataFrame(self.memtable, self.schema), 0)
+        with self.publishing:
+            old, self.log, self.segment = self.log, self.log + 1, 0
+            self.waiting = b""
+            self.publish([*self.runs, run])
         LOGGER.info("%s: flushed %d entries into %s", self.root, run.num_keys, run.sst)
         self.memtable, self.memtable_size = [], 0
         for name in self.files.names(f"{self.root}/wal"):
@@ -240,30 +319,54 @@ class Store:
         """A sorted run from k, seq, op and v. Ranges of keys are files; a bloom filter for each tells absent keys."""
         rows = rows.select("k", "seq", "op", "v").persist()
         try:
-            n, max_seq, low, high, keys = rows.agg(F.count("*"), F.max("seq"), F.min("k"), F.max("k"), F.approx_count_distinct("k")).first()
-            sst = content_id(rows, "k", "seq", "op", "v")
+            # One pass for all that must be known before the rows are dealt.
+            figures = [F.max("seq"), F.min("k"), F.max("k"), F.approx_count_distinct("k"), F.sum(entry_bytes(F.col("k"), F.col("v")))]
+            found = rows.agg(*figures, *content_sums(rows, "k", "seq", "op", "v")).first()
+            max_seq, low, high, keys, size, n = found[:6]
+            sst = content_of(found[5:])
             where = f"{self.root}/sst/{sst}"
-            parts = max(1, -(-n // self.options.rows_per_file))
-            ordered = rows.repartitionByRange(parts, "k") if parts > 1 else rows.coalesce(1)
+            parts = max(1, -(-size // self.options.file_bytes))
+            # A key with many versions may lie in several files.
+            ordered = rows.repartitionByRange(parts, *version_order()) if parts > 1 else rows.coalesce(1)
             writer = ordered.sortWithinPartitions("k", F.desc("seq"), F.desc("op")).write.mode("overwrite")
             # A column that is all dictionary has no bloom filter.
             writer = writer.option("parquet.enable.dictionary#k", "false").option("parquet.bloom.filter.enabled#k", "true")
             writer.option("parquet.bloom.filter.expected.ndv#k", str(max(1, keys * self.options.bits_per_key // 10))).parquet(where)
         finally:
             rows.unpersist()
-        return Run(level, sst, n, max_seq, low, high, self.files.size(where))
+        return Run(level, sst, n, max_seq, self.spoken(low), self.spoken(high), self.files.size(where))
+
+    def spoken(self, k: Key) -> str:
+        """A key as manifests have it: text, or the hex digits of bytes, whose order is the same."""
+        return bytes(k).hex() if self.options.binary else k
 
     def compact(self) -> None:
-        """Merge levels that have too many runs, the least first. Deletes are kept, as deeper levels may hold what they mask."""
+        """Merge levels that have too many runs; in the background if so asked, and then what fails is told by the next write."""
+        if not self.worker:
+            self.merge_levels()
+        elif self.merging is None or self.merging.done():
+            self.merged()
+            self.merging = self.worker.submit(self.merge_levels)
+
+    def merged(self) -> None:
+        """Wait for merges in the background."""
+        if self.merging:
+            self.merging.result()
+
+    def merge_levels(self) -> None:
+        """The least level with too many runs first. Deletes are kept, as deeper levels may hold what they mask."""
         while (level := next((n for n in range(LEVELS - 1) if sum(r.level == n for r in self.runs) > self.options.level_files), None)) is not None:
             old = [r for r in self.runs if r.level == level]
             run = self.write_run(merge(*[self.run(r.sst) for r in old]), level + 1)
             LOGGER.info("%s: merged %d runs of level %d into %s, %d entries", self.root, len(old), level, run.sst, run.num_keys)
-            tag = " ".join(sorted(t for r in old for t in r.tag.split(" ") if t))
-            self.publish([*[r for r in self.runs if r.level != level], replace(run, tag=tag)])
+            with self.publishing:  # runs may have been added meanwhile
+                gone = {r.sst for r in old}
+                self.publish([*[r for r in self.runs if r.level != level or r.sst not in gone], run])
 
     def vacuum(self) -> None:
         """Delete runs and revisions that the current revision doesn't name. Not while older readers are at work."""
+        self.merged()
+        self.readers.clear()
         kept = {r.sst for r in self.runs}
         for name in self.files.names(f"{self.root}/sst"):
             if name not in kept:
@@ -275,29 +378,47 @@ class Store:
     # Reading.
 
     def run(self, sst: str) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.root}/sst/{sst}")
+        return self.opened((sst,))
+
+    def opened(self, ssts: tuple[str, ...]) -> DataFrame:
+        """The reader of some runs; those used last stay open, so that their files aren't listed again."""
+        return self.readers.take(ssts, lambda: self.spark.read.schema(self.schema).parquet(*[f"{self.root}/sst/{s}" for s in ssts]))
 
-    def entries(self, low: str | None = None, high: str | None = None) -> DataFrame:
+    def chosen(self, low: Key | None, high: Key | None) -> list[str]:
+        """Runs whose keys can lie between ``low`` and ``high``."""
+        return [r.sst for r in self.runs if (low is None or r.max_key >= self.spoken(low)) and (high is None or r.min_key <= self.spoken(high))]
+
+    def entries(self, low: Key | None = None, high: Key | None = None) -> DataFrame:
         """All stored versions, of runs whose keys can lie between ``low`` and ``high``, and of the memtable."""
-        chosen = [r.sst for r in self.runs if (low is None or r.max_key >= low) and (high is None or r.min_key <= high)]
         held = [e for e in self.memtable if (low is None or e[0] >= low) and (high is None or e[0] <= high)]
-        found = self.spark.createDataFrame(held, LOG)
-        if chosen:
-            found = found.unionByName(self.spark.read.schema(LOG).parquet(*[f"{self.root}/sst/{s}" for s in chosen]))
+        found = self.spark.createDataFrame(held, self.schema)
+        if chosen := self.chosen(low, high):
+            found = found.unionByName(self.opened(tuple(chosen)))
         return found
 
-    def get(self, k: str) -> tuple[Status, str | None]:
+    def get(self, k: Key) -> tuple[Status, Key | None]:
         mine = [e for e in self.memtable if e[0] == k]
         if mine:
-            newest = max(mine, key=lambda e: (e[1], e[2]))
-            return (Status.OK, newest[3]) if newest[2] == PUT else (Status.NOT_FOUND, None)
-        found = lww.get(self.entries(k, k), k).first()
-        return (Status.OK, found.v) if found else (Status.NOT_FOUND, None)
-
-    def get_at(self, k: str, seq: int) -> tuple[Status, str | None]:
+            return self.told(max(mine, key=lambda e: (e[1], e[2]))[1:])
+        asked = tuple(self.chosen(k, k))
+        known = {s: self.answers.take((s, k), lambda: None) for s in asked if (s, k) in self.answers}
+        if len(known) < len(asked):
+            run = F.regexp_extract("_metadata.file_path", "sst/([0-9a-f]{64})/", 1).alias("sst")
+            # All runs in one job, whichever are known.
+            heads = self.opened(asked).where(F.col("k") == F.lit(k)).groupBy(run).agg(F.max_by(F.struct("seq", "op", "v"), newest()).alias("h"))
+            known = dict.fromkeys(asked) | {r.sst: (r.h.seq, r.h.op, bytes(r.h.v) if self.options.binary else r.h.v) for r in heads.collect()}
+            for sst, answer in known.items():
+                self.answers[sst, k] = answer
+            self.answers.trim()
+        return self.told(max((a for a in known.values() if a), default=None))
+
+    def told(self, version: tuple[int, int, Key] | None) -> tuple[Status, Key | None]:
+        return (Status.OK, version[2]) if version and version[1] == PUT else (Status.NOT_FOUND, None)
+
+    def get_at(self, k: Key, seq: int) -> tuple[Status, Key | None]:
         """As of the moment when ``seq`` had been written, as far as merges have kept versions."""
-        found = lww.get(lww.at_seq(self.entries(k, k), seq), k).first()
-        return (Status.OK, found.v) if found else (Status.NOT_FOUND, None)
+        found = lww.get(lww.at_seq(self.entries(k, k), seq), F.lit(k)).first()
+        return (Status.OK, bytes(found.v) if self.options.binary else found.v) if found else (Status.NOT_FOUND, None)
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
         return lww.multi_get(self.entries(), probes)
@@ -305,12 +426,12 @@ class Store:
     def live(self) -> DataFrame:
         return lww.live(self.entries())
 
-    def range(self, low: str, high: str) -> DataFrame:
-        return lww.key_range(self.entries(low, high), low, high)
+    def range(self, low: Key, high: Key) -> DataFrame:
+        return lww.key_range(self.entries(low, high), F.lit(low), F.lit(high))
 
-    def seek(self, k: str) -> DataFrame:
+    def seek(self, k: Key) -> DataFrame:
         """The first stored version, in version order, whose key isn't less than ``k``."""
-        return lww.seek(self.entries(low=k), k)
+        return lww.seek(self.entries(low=k), F.lit(k))
 
     def scan(self) -> DataFrame:
         """All stored versions in version order, deletes included."""

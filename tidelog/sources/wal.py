@@ -50,18 +50,23 @@ def records(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, Status]]:
         at += HEAD.size + n
 
 
-def encode(k: str, seq: int, op: int, v: str) -> bytes:
+def as_bytes(x: str | bytes) -> bytes:
+    return x.encode() if isinstance(x, str) else bytes(x)
+
+
+def encode(k: str | bytes, seq: int, op: int, v: str | bytes) -> bytes:
     """An operation as a payload: key, sequence number, operation, value; key and value behind their lengths."""
-    key, value = k.encode(), v.encode()
+    key, value = as_bytes(k), as_bytes(v)
     inner = key + struct.pack("<qB", seq, op)
     return struct.pack("<I", len(inner)) + inner + struct.pack("<I", len(value)) + value
 
 
-def decode(payload: bytes) -> tuple[str, int, int, str]:
+def decode(payload: bytes, binary: bool = False) -> tuple[str | bytes, int, int, str | bytes]:
     (n,) = struct.unpack_from("<I", payload)
     inner = payload[4 : 4 + n]
     seq, op = struct.unpack("<qB", inner[-9:])
-    return inner[:-9].decode(), seq, op, payload[8 + n :].decode()
+    k, v = inner[:-9], payload[8 + n :]
+    return (k, seq, op, v) if binary else (k.decode(), seq, op, v.decode())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -78,12 +83,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return wide.withColumn("type", F.col("type").cast("int")).withColumn("len", F.col("len").cast("int"))
 
 
-def replay(spark: SparkSession, path: str) -> list[tuple[str, int, int, str]]:
+def replay(spark: SparkSession, path: str | list[str], binary: bool = False) -> list[tuple[str | bytes, int, int, str | bytes]]:
     """The operations of the logs under ``path``, each once, in order of sequence number. Damage is an error; an end or a bad record isn't."""
     found = read(spark, path).where(F.col("status").isin(Status.OK.value, Status.CHECKSUM.value)).orderBy("log", "pos").collect()
     if any(r.status == Status.CHECKSUM.value for r in found):
         raise StoreError(f"{path}: {Status.CHECKSUM.value}")
-    return sorted({decode(bytes(r.payload)) for r in found}, key=lambda o: (o[1], o[2]))
+    return sorted({decode(bytes(r.payload), binary) for r in found}, key=lambda o: (o[1], o[2]))
 
 
 def valid_prefix(log: DataFrame, bad) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.keys import newest
 from tidelog.model import PUT
-from tidelog.sources.store import Store
+from tidelog.sources.store import Files, Store
 
 
 def live_stream(log: DataFrame) -> DataFrame:
@@ -25,9 +27,15 @@ def live_of(state: DataFrame) -> DataFrame:
 
 
 def flush_stream(log: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write a streamed log into ``store``, a run for each batch. A batch that comes again after a failure is known by its number and skipped."""
+    """Write a streamed log into ``store``, a run for each batch.
+
+    A batch that comes again after a failure is known by the stream's id, which Spark keeps
+    in ``checkpoint``, and by its number, and skipped. Other streams, and the same one from
+    another checkpoint, have ids of their own.
+    """
 
     def flush(batch: DataFrame, number: int) -> None:
-        store.load(batch, tag=f"batch-{number}")
+        known = json.loads(Files(store.spark, checkpoint).read(f"{checkpoint.rstrip('/')}/metadata"))
+        store.load(batch, known["id"], number)
 
     return log.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
