@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashing import content_id, crc32c
-from tidelog.functions.keys import packed, shared_prefix
+from tidelog.functions.keys import packed, shared_prefix, unpacked
 from tidelog.model import LOG
 from tidelog.operators import cache, cutter, lww, runs
 from tidelog.operators.running import running_sum
@@ -55,6 +55,15 @@ def test_deep_history_of_one_key(spark):
     assert [r.seq for r in lww.versions(log).orderBy("pos").limit(3).collect()] == [10000, 9999, 9998]
 
 
+def test_positions_across_ranges(spark):
+    ops = [("hot" if i % 3 else f"k{i % 5}", 0, "v") for i in range(600)] + [("zz", 0, "v")]
+    want = {}
+    for i, (k, _, _) in enumerate(ops):
+        want.setdefault(k, []).append(i)
+    found = {(r.k, r.seq): r.pos for r in lww.versions(log_of(spark, ops)).collect()}
+    assert found == {(k, seq): pos for k, seqs in want.items() for pos, seq in enumerate(sorted(seqs, reverse=True), 1)}
+
+
 def test_delete_at_an_equal_number_wins(spark):
     log = spark.createDataFrame([("k", 1, 0, "a"), ("k", 1, 1, "")], LOG)
     assert lww.live(log).count() == 0
@@ -155,6 +164,9 @@ def test_functions(spark):
     assert crc32c(b"123456789") == 0xE3069283
     row = spark.sql("select 'ab' as k, 258L as seq, 1 as op").select(packed(F.col("k"), F.col("seq"), F.col("op")).alias("p")).first()
     assert bytes(row.p) == b"ab" + (258).to_bytes(8, "little") + b"\x01"
+    back = spark.sql("select * from values ('ab', 258L, 1), ('', -2L, 0), ('é', 9223372036854775807L, 1) t(k, seq, op)").select("*", unpacked(packed(F.col("k"), F.col("seq"), F.col("op"))).alias("u")).collect()
+    assert all((r.u.k.decode(), r.u.seq, r.u.op) == (r.k, r.seq, r.op) for r in back)
+    assert spark.sql("select 'éa' as a, 'éb' as b, 'è' as c").select(shared_prefix(F.col("a"), F.col("b")), shared_prefix(F.col("a"), F.col("c"))).first()[:] == (2, 1)
     pairs = spark.createDataFrame([("key10", "key12"), ("key", "key1"), ("", "a"), ("a", None), ("x", "y")], "a string, b string")
     assert [r[0] for r in pairs.select(shared_prefix(F.col("a"), F.col("b"))).collect()] == [4, 3, 0, 0, 0]
     a = spark.range(100).select(F.col("id").cast("string").alias("k"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.keys import newest, version_order
 from tidelog.model import DELETE, PUT, Status
+from tidelog.sources.staging import staged
 
 
 def log_of(df: DataFrame, k: str, seq: str, deleted, v: str) -> DataFrame:
@@ -57,9 +58,23 @@ def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def versions(log: DataFrame) -> DataFrame:
-    """All versions of all keys, each with its position, 1 the newest."""
-    order = W.partitionBy("k").orderBy(F.desc("seq"), F.desc("op"))
-    return log.withColumn("pos", F.row_number().over(order).cast("long")).select("k", "seq", "op", "v", "pos")
+    """All versions of all keys, each with its position, 1 the newest.
+
+    Versions are dealt by ranges of their order, so a key with any number of them is spread;
+    a range counts its own, and starts from those of its first key in the ranges before.
+    """
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["k", "seq", "op", "v"]
+    ranged = staged(log.select(*columns).repartitionByRange(parts, *version_order()).withColumn("part", F.spark_partition_id()))
+    # A row a range, from here on: only a range's last key can go on in the next.
+    ends = ranged.groupBy("part").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    last = ranged.join(F.broadcast(ends), "part").where("k <=> high").groupBy("part", "k").agg(F.count("*").alias("n"))
+    first = ends.select(F.col("part").alias("to"), F.col("low"))
+    before = last.join(F.broadcast(first), (F.col("k").eqNullSafe(F.col("low"))) & (F.col("part") < F.col("to"))).groupBy(F.col("to").alias("part"), F.col("low").alias("own")).agg(F.sum("n").alias("before"))
+    # A shuffle by range and key; a key's part of a range is at most the range.
+    order = W.partitionBy("part", "k").orderBy(F.desc("seq"), F.desc("op"))
+    placed = ranged.withColumn("own_pos", F.row_number().over(order)).join(F.broadcast(before), "part", "left")
+    return placed.select(*columns, (F.col("own_pos") + F.when(F.col("k").eqNullSafe(F.col("own")), F.coalesce("before", F.lit(0))).otherwise(0)).cast("long").alias("pos"))
 
 
 def seek(log: DataFrame, key) -> DataFrame:

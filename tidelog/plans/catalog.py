@@ -20,6 +20,8 @@ from tidelog.streaming import upsert
 
 #: Entries of a run.
 RUN = 75
+#: Bytes that a memtable holds before it is frozen, where runs are cut by bytes.
+MEMTABLE_BYTES = 16 << 10
 #: The snapshot, the key, the seek key and the range that queries ask for.
 SNAPSHOT, KEY, SEEK, LOW, HIGH = 5000, 7, 50, 20, 40
 
@@ -56,16 +58,16 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = cutter.byte_runs(text_keys(events(spark, sf_dir)), 16 << 10)
+    cut = cutter.byte_runs(text_keys(events(spark, sf_dir)), MEMTABLE_BYTES)
     return cut.groupBy("run").agg(F.count("*").alias("entries"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def prefix_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each entry of a run: the length that its key shares with the key before, where blocks restart every 12."""
+    """Of the keys of a run: bytes that they share with the key before, where blocks restart every 12, and all their bytes."""
     order = W.partitionBy("run").orderBy("k", F.desc("seq"), F.desc("op"))
     rows = runs.with_run(text_keys(events(spark, sf_dir)), RUN).withColumn("i", F.row_number().over(order).cast("long") - 1).withColumn("before", F.lag("k").over(order))
     shared = F.when(F.col("i") % 12 == 0, 0).otherwise(shared_prefix(F.col("k"), F.col("before"))).cast("long")
-    return rows.withColumn("shared", shared).groupBy("run").agg(F.sum("shared").alias("shared_bytes"), F.sum(F.length("k")).alias("key_bytes"))
+    return rows.withColumn("shared", shared).groupBy("run").agg(F.sum("shared").alias("shared_bytes"), F.sum(F.octet_length("k")).alias("key_bytes"))
 
 
 def oid_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +79,14 @@ def oid_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live keys by way of a stream of the same log."""
-    name = f"live_{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     streamed = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     log = lww.log_of(streamed, "user_id", "event_id", F.col("event_type") == "error", "props")
-    query = upsert.live_stream(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return upsert.live_of(spark.table(name))
+    # The state goes to a table, batch by batch, not to the driver.
+    where = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    query = upsert.live_stream(log).writeStream.outputMode("complete").foreachBatch(lambda state, _: state.write.mode("overwrite").parquet(f"{where}/state"))
+    query.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return upsert.live_of(spark.read.parquet(f"{where}/state"))
 
 
 def on_events(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -176,5 +179,23 @@ select x.i, case when x.p is null then 0 when count(distinct y.k) < 64 then 1 el
     "upsert_merge": """select k, v, seq from (select o_custkey as k, o_orderkey as seq, case when o_orderstatus = 'F' then 1 else 0 end as op, case when o_orderstatus = 'F' then '' else o_orderpriority end as v
 from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1) where op = 0""",
     "store_round_trip": _sql("ops heads", "select cast(k as varchar) as k, v from heads where op = 0"),
+    "prefix_lengths": _sql(
+        "ops runs",
+        """select run, cast(sum(case when i % 12 = 0 then 0 else coalesce(list_aggregate([x for x in range(1, least(strlen(k), strlen(p)) + 1) if k[1:x] = p[1:x]], 'max'), 0) end) as bigint) as shared_bytes, cast(sum(strlen(k)) as bigint) as key_bytes
+from (select run, kk as k, row_number() over o - 1 as i, lag(kk) over o as p from (select run, seq, op, cast(k as varchar) as kk from runs) window o as (partition by run order by kk, seq desc, op desc)) group by run""",
+    ),
+    "byte_runs": _sql(
+        "ops",
+        f""", e as (select seq, sum(bytes) over (order by seq) - bytes as b from (select seq, strlen(cast(k as varchar)) + 9 + strlen(v) as bytes from ops)),
+starts as (with recursive r as (select cast(0 as bigint) as run, cast(0 as hugeint) as first union all select run + 1, (select min(b) from e where b > first + {MEMTABLE_BYTES}) from r where exists (select 1 from e where b > first + {MEMTABLE_BYTES})) select * from r)
+select run, count(*) as entries, min(seq) as first_seq, max(seq) as last_seq from e asof join starts on e.b >= starts.first group by run""",
+    ),
+    "oid_chain": _sql(
+        "ops runs lay sheads stored",
+        """, d as (select lvl, sha256(concat_ws('|', length(sid::varchar) || ':' || sid, length(k::varchar) || ':' || k, length(seq::varchar) || ':' || seq, length(op::varchar) || ':' || op, length(v) || ':' || v)) as h from stored where lvl >= 0),
+s as (select lvl, concat_ws(',', count(*), sum(('0x' || h[1:15])::bigint), sum(('0x' || h[16:30])::bigint), sum(('0x' || h[31:45])::bigint), sum(('0x' || h[46:60])::bigint)) as w from d group by lvl),
+i as (select l.level, sha256(coalesce(w, '0,0,0,0,0')) as oid from (select unnest(range(5))::int as level) l left join s on s.lvl = l.level)
+select level, oid, sha256((select string_agg(level || ' ' || oid, e'\\n' order by level) from i)) as revision from i""",
+    ),
     "stream_live": _sql("ops heads", "select k, v, seq from heads where op = 0"),
 }
