@@ -161,8 +161,9 @@ def nearest_by_hand(rows, top=20):
     x = np.array([r[1] for r in rows], float)
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
-        score = (x * x[i]).sum(axis=1)
-        order = [k for k in np.lexsort((ids, -score)) if ids[k] != ids[i]][:top]
+        score = x @ x[i]
+        some = np.flatnonzero(score >= np.partition(score, max(0, len(score) - top - 1))[max(0, len(score) - top - 1)] - 1e-9)
+        order = [k for k in some[np.lexsort((ids[some], -score[some].round(9)))] if ids[k] != ids[i]][:top]
         out[int(ids[i])] = [(int(ids[k]), float(score[k])) for k in order]
     return out
 
@@ -175,11 +176,37 @@ def found_by(spark, frame):
     return out
 
 
-@pytest.mark.parametrize("kind", ["table", "norms", "copies"])
-def test_recall(spark, kind):
+def test_shards_are_bounded_by_bytes():
+    for n in (0, 1, 500, 5000, 60_000, 10**6, 10**8):
+        for d in (2, 64, 768, 4096):
+            shards = ann.shards_of(n, 8 * d)
+            assert n * 8 * d / shards <= ann.SHARD_BYTES and (shards == 1 or n / shards >= 512 or n * 8 * d > ann.SHARD_BYTES)
+
+
+@pytest.mark.parametrize("n, d", [(8192, 384), (20_000, 64)])
+def test_recall_of_one_graph(n, d):
+    """Random directions, the hardest case: the beam is as wide as they ask for."""
+    rng = np.random.default_rng(1)
+    x, queries = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(n, d)), rng.normal(size=(100, d))))
+    graph = ann.Graph(ann.lifted(x))
+    found, _ = graph.beam(np.column_stack([queries, np.zeros(100)]).astype(np.float32), graph.width, ring=True)
+    best = np.argsort(-(queries @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a[:20].tolist()) & set(b.tolist())) / 20 for a, b in zip(found, best, strict=True)]) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["table", "norms", "copies", "many"])
+def test_recall(spark, kind, monkeypatch):
     rng = np.random.default_rng(3)
     if kind == "table":
+        monkeypatch.setattr(ann, "BLOCK_BYTES", 10_000)
         frame = spark.read.parquet(f"{SF}/embeddings.parquet")
+    elif kind == "many":
+        n, d = 50_000, 64
+        x = rng.normal(size=(n, d)) + 1.5 * rng.normal(size=(200, d))[rng.integers(0, 200, n)]
+        import pandas as pd
+
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+        frame = ann.staged(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})))
     else:
         x = rng.normal(size=(1500, 16))
         if kind == "norms":

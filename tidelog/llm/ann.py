@@ -9,10 +9,17 @@ edges are added and pruned alike. One more edge a node forms a ring, so that eve
 be reached. A component that makes all norms equal turns inner products into distances; as
 that separates vectors of unlike norms, each shard has a graph for every band of norms.
 
-Graphs are written to the shared folder. Queries go in blocks of bounded size, each
-broadcast to all shards; a beam search in every shard finds its best nodes, whose scores
+Graphs are written to the shared folder. The beam of each graph's searches is as wide as
+its vectors ask for: the last points to be inserted are first searched for, and the beam
+widens until the answers of a brute force over the graph are found at a rate of
+``LEAST_RECALL``, so recall holds at other sizes and dimensions too. Of many shards each
+holds few of a query's ``TOP`` answers, so its own best ``part_of(TOP)`` are asked for.
+
+Queries go in blocks of bounded size, by a shuffle, to every shard: a group is one shard's
+graphs and one block of queries. A beam search finds the shard's best nodes, whose scores
 are taken again in double precision on the original vectors, and the shards' bests are
-ranked together. A shard holds at most about ``MOST_IN_SHARD`` vectors.
+ranked together. A shard holds about ``SHARD_BYTES`` of vectors at most, whatever their
+dimension; nothing passes the driver but counts.
 
 Defined results: vectors that are null, empty, zero or hold null, NaN or infinite
 components take no part, neither do rows with a null id or vectors whose length isn't the
@@ -35,14 +42,17 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import staged, table
 
 TOP, QUERY_EVERY = 20, 20
-#: Out-edges of a node, beam widths, and the pruning factor on squared distances.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 64, 144, 1.35
+#: Out-edges of a node, beam widths when building and at least when searching, and the pruning factor on squared distances.
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 64, 48, 1.35
+#: Answers that a beam must find of points not yet inserted, and how many such points are tried.
+LEAST_RECALL, TRIED = 0.94, 64
 #: Nodes that a beam search expands at once.
 EXPAND = 3
-#: Shards have LEAST_IN_SHARD vectors until there are SHARDS; then shards grow, to MOST_IN_SHARD.
-LEAST_IN_SHARD, SHARDS, MOST_IN_SHARD = 8192, 64, 250_000
-#: Queries broadcast at a time, and cells of the table of visited nodes.
-BLOCK, VISITED = 50_000, 1 << 22
+#: FEW shards as soon as each has LEAST_IN_SHARD vectors; then shards grow to FULL_SHARD, then
+#: there are more of them, to SHARDS, then they grow again, to SHARD_BYTES of doubles.
+FEW, LEAST_IN_SHARD, FULL_SHARD, SHARDS, SHARD_BYTES = 8, 512, 8192, 64, 64 << 20
+#: Bytes of a block of queries, and cells of the table of visited nodes.
+BLOCK_BYTES, VISITED = 16 << 20, 1 << 22
 SEED_NODES, SEED = 256, 7
 #: Norms in a band differ by this factor at most, but for the last band, which has all the rest.
 BAND_RATIO, BANDS = 1.4, 16
@@ -75,16 +85,17 @@ def nodes(rows: DataFrame) -> DataFrame:
 class Graph:
     """x: unit-norm-like rows (float32), all of one norm. edges: DEGREE out-edges and the ring's, -1 where there is none."""
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None):
-        self.x = x
+    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, top: int = TOP):
+        self.x, self.top = x, top
         n = len(x)
-        self.edges = edges
+        self.edges, self.width = edges, SEARCH_BEAM
         if edges is None:
             self.edges = np.full((n, DEGREE + 1), -1, np.int32)
             self.build()
 
     def build(self) -> None:
         n = len(self.x)
+        tried = max(SEED_NODES, n - min(TRIED, n // 8))
         order = np.random.default_rng(SEED).permutation(n)
         self.edges[order, DEGREE] = np.roll(order, -1)
         done = min(n, SEED_NODES)
@@ -96,7 +107,9 @@ class Graph:
             self.edges[first, :DEGREE] = self.prune(first, first[best], np.take_along_axis(near, best, 1))
         self.entry = int(order[0])
         while done < n:
-            size = min(done, 1024, n - done)
+            if done == tried:
+                self.width = self.asked_for(self.x[order[done:]], order[:done])
+            size = min(done, 1024, (n if done >= tried else tried) - done)
             batch = order[done : done + size]
             found, sims = self.beam(self.x[batch], BUILD_BEAM)
             own = self.prune(batch, found, sims)
@@ -104,6 +117,20 @@ class Graph:
             self.reverse(batch, own)
             done += size
 
+    def asked_for(self, points: np.ndarray, known: np.ndarray) -> int:
+        """The beam that finds the best of the ``known`` nodes for ``points``, which as queries lack the lifted component."""
+        queries = points.copy()
+        queries[:, -1] = 0
+        top = min(self.top, len(known))
+        worst = np.partition(queries @ self.x[known].T, len(known) - top, axis=1)[:, len(known) - top]
+        width = SEARCH_BEAM
+        while width < len(known):
+            _, sims = self.beam(queries, width)
+            if (sims[:, :top] >= worst[:, None] - 1e-6).mean() >= LEAST_RECALL:
+                break
+            width = width * 3 // 2
+        return min(width, max(SEARCH_BEAM, len(known)))
+
     def distances(self, sims: np.ndarray) -> np.ndarray:
         return np.maximum(0, 2 * self.norm2 - 2 * sims)
 
@@ -222,10 +249,15 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))]).astype(np.float32)
 
 
-GRAPHS = "shard int, ids binary, counts binary, vectors binary, edges binary, entry int"
+GRAPHS = "shard int, ids binary, counts binary, vectors binary, edges binary, entry int, width int"
+
 
+def part_of(top: int, shards: int) -> int:
+    """How many of a query's ``top`` answers one of ``shards`` shards hardly ever exceeds: its share, doubled, and two."""
+    return min(top, 2 * -(-top // shards) + 2)
 
-def build_shard(group: pa.Table) -> pa.Table:
+
+def build_shard(group: pa.Table, shards: int) -> pa.Table:
     """A graph for each band of norms: among vectors of like norms the largest inner products lie near."""
     vec, ids = group.column("vec").to_pylist(), group.column("ids").to_pylist()
     order = sorted(range(len(vec)), key=lambda i: vec[i])  # the same graphs whatever the order of rows
@@ -236,71 +268,72 @@ def build_shard(group: pa.Table) -> pa.Table:
     out = []
     for b in np.unique(band):
         own = np.flatnonzero(band == b)
-        graph = Graph(lifted(x[own]))
+        graph = Graph(lifted(x[own]), top=part_of(TOP, shards))
         mine = [ids[i] for i in own.tolist()]
         flat, counts = np.array([i for m in mine for i in m], "<i8"), np.array([len(m) for m in mine], "<i4")
-        out.append((group.column("shard")[0].as_py(), flat.tobytes(), counts.tobytes(), x[own].tobytes(), graph.edges.tobytes(), graph.entry))
-    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["shard", "ids", "counts", "vectors", "edges", "entry"])
+        out.append((group.column("shard")[0].as_py(), flat.tobytes(), counts.tobytes(), x[own].tobytes(), graph.edges.tobytes(), graph.entry, graph.width))
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["shard", "ids", "counts", "vectors", "edges", "entry", "width"])
+
+
+def shards_of(n: int, size: int) -> int:
+    """n: vectors; size: bytes of one."""
+    few = min(FEW, n // LEAST_IN_SHARD)
+    return max(1, few, min(SHARDS, -(-n // FULL_SHARD)), -(-n * size // SHARD_BYTES))
 
 
 def graphs(distinct: DataFrame) -> DataFrame:
     """distinct: as of ``nodes``. The staged graphs, a row per shard and band of norms."""
-    n = distinct.count()
-    shards = max(1, min(-(-n // LEAST_IN_SHARD), max(SHARDS, -(-n // MOST_IN_SHARD))))
+    n, size = distinct.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    shards = shards_of(n, size or 0)
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")).repartition(2 * shards, "shard")
-    return staged(dealt.groupBy("shard").applyInArrow(build_shard, GRAPHS))
-
-
-def search(found: DataFrame, ids: np.ndarray, vectors: np.ndarray, top: int) -> DataFrame:
-    """The ``top`` best of each graph for each query: query_id, vec_id, score."""
-    shared = found.sparkSession.sparkContext.broadcast((ids, vectors))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        d = queries.shape[1]
-        for batch in batches:
-            for own in batch.to_pylist():
-                x = np.frombuffer(own["vectors"], "<f8").reshape(-1, d)
-                graph = Graph(lifted(x), np.frombuffer(own["edges"], "<i4").reshape(-1, DEGREE + 1))
-                graph.entry = own["entry"]
-                counts, flat = np.frombuffer(own["counts"], "<i4"), np.frombuffer(own["ids"], "<i8")
-                ends = np.cumsum(counts)
-                for at in range(0, len(queries), 2048):
-                    part = queries[at : at + 2048]
-                    scaled = np.column_stack([part / np.maximum(np.abs(part).max(axis=1, keepdims=True), 1e-300), np.zeros(len(part))]).astype(np.float32)
-                    nodes_found, _ = graph.beam(scaled, max(SEARCH_BEAM, 2 * top), ring=True)
-                    out_q, out_v, out_s = [], [], []
-                    for i, near in enumerate(nodes_found):
-                        near = near[near >= 0]
-                        scores = (x[near] * part[i]).sum(axis=1)
-                        at_ids = np.concatenate([flat[ends[k] - counts[k] : ends[k]] for k in near])
-                        scores = np.repeat(scores, counts[near])
-                        other = at_ids != query_ids[at + i]
-                        at_ids, scores = at_ids[other], scores[other]
-                        best = np.lexsort((at_ids, -scores))[:top]
-                        out_q.append(np.full(len(best), query_ids[at + i]))
-                        out_v.append(at_ids[best])
-                        out_s.append(scores[best])
-                    yield pa.RecordBatch.from_pydict({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    return found.select("ids", "counts", "vectors", "edges", "entry").mapInArrow(run, "query_id long, vec_id long, score double")
+    return staged(dealt.groupBy("shard").applyInArrow(lambda group: build_shard(group, shards), GRAPHS))
+
+
+def search(own: dict, query_ids: np.ndarray, queries: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``top`` best nodes of one graph, a row of ``GRAPHS``, for each query: query ids, ids, scores."""
+    x = np.frombuffer(own["vectors"], "<f8").reshape(-1, queries.shape[1])
+    graph = Graph(lifted(x), np.frombuffer(own["edges"], "<i4").reshape(-1, DEGREE + 1))
+    graph.entry = own["entry"]
+    counts, flat = np.frombuffer(own["counts"], "<i4"), np.frombuffer(own["ids"], "<i8")
+    ends = np.cumsum(counts)
+    for at in range(0, len(queries), 2048):
+        part = queries[at : at + 2048]
+        scaled = np.column_stack([part / np.maximum(np.abs(part).max(axis=1, keepdims=True), 1e-300), np.zeros(len(part))]).astype(np.float32)
+        found, _ = graph.beam(scaled, max(own["width"], 2 * top), ring=True)
+        for i, near in enumerate(found):
+            near = near[near >= 0]
+            scores = np.repeat((x[near] * part[i]).sum(axis=1), counts[near])
+            ids = np.concatenate([flat[ends[k] - counts[k] : ends[k]] for k in near])
+            other = ids != query_ids[at + i]
+            ids, scores = ids[other], scores[other]
+            best = np.lexsort((ids, -scores))[:top]
+            yield np.full(len(best), query_ids[at + i]), ids[best], scores[best]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """rows, queries: vec_id and vec, as of ``clean``. query_id, rank, vec_id, score."""
-    spark = rows.sparkSession
     found = graphs(staged(nodes(rows)))
-    blocks = -(-queries.count() // BLOCK)
-    parts = []
-    for k in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toPandas().sort_values("vec_id")
-        vectors = np.frombuffer(b"".join(own["vec"]), "<f8").reshape(len(own), -1)
-        parts.append(search(found, own["vec_id"].to_numpy(np.int64), vectors, top))
-    schema = "query_id long, vec_id long, score double"
-    every = spark.createDataFrame([], schema)
-    for part in parts:
-        every = every.unionAll(part) if part is not parts[0] else part
+    asked = queries.agg(F.sum(F.octet_length("vec"))).first()[0] or 0
+    blocks = max(1, -(-asked // BLOCK_BYTES))
+    shards = [r[0] for r in found.select("shard").distinct().orderBy("shard").collect()]
+
+    def run(graph: pa.Table, block: pa.Table) -> pa.Table:
+        out = []
+        if graph.num_rows and block.num_rows:
+            order = np.argsort(block.column("vec_id").to_numpy())
+            ids, raw = block.column("vec_id").to_numpy()[order], block.column("vec").to_pylist()
+            vectors = np.frombuffer(b"".join(raw[i] for i in order.tolist()), "<f8").reshape(len(ids), -1)
+            for k in range(graph.num_rows):
+                out += search(graph.slice(k, 1).to_pylist()[0], ids, vectors, top)
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    # Each block of queries goes to every shard, and each shard's graphs to every block.
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    left = found.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
+    right = queries.select(F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>")).alias("shard"), block.alias("block"), "vec_id", "vec").groupBy("shard", "block")
+    every = left.cogroup(right).applyInArrow(run, "query_id long, vec_id long, score double")
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
