@@ -558,12 +558,14 @@ def between_blocks(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule:
     hosts = staged(met.groupBy("big").agg(F.ceil(F.sum(F.when(F.col("small") != F.col("big"), F.col("guests")).otherwise(0)) / PARTNERS).cast("int").alias("chunks")).withColumn("chunks", F.greatest("chunks", F.lit(1))), scratch)
     own = members.select("id", "comp", "block", F.col("grp").alias("near"))
     key = F.xxhash64("big", "chunk").alias("key")
-    guests = met.where("small != big").join(hosts, "big").withColumn("chunk", F.pmod(F.xxhash64("small"), F.col("chunks")).cast("int")).withColumn("role", F.lit(GUEST)).select(key, "role", F.col("small").alias("block"))
+    # Dealt by set, as blocks may be few and of unlike sizes.
+    guests = met.where("small != big").join(hosts, "big").join(own, F.col("small") == F.col("block"))
+    guests = guests.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select(key, F.lit(GUEST).alias("role"), "near", "id", "comp")
     # A block that meets itself does so in its first chunk.
     selves = met.where("small = big").select(F.col("big").alias("self"))
     there = hosts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(selves, F.col("big") == F.col("self"), "left")
-    there = there.select(key, F.when((F.col("chunk") == 0) & F.col("self").isNotNull(), BOTH).otherwise(HOST).alias("role"), F.col("big").alias("block"))
-    return compared(there.unionByName(guests).join(own, "block").drop("block"), sets, rule)
+    there = there.select(key, F.when((F.col("chunk") == 0) & F.col("self").isNotNull(), BOTH).otherwise(HOST).alias("role"), F.col("big").alias("block")).join(own, "block").select("key", "role", "near", "id", "comp")
+    return compared(there.unionByName(guests), sets, rule)
 
 
 # Steps 3 and 5: comparisons.
