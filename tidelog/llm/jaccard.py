@@ -41,8 +41,7 @@ names, are kept by ``keep_one`` and not read. An empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,18 +52,16 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, broadcast_up_to, releasing, releasing_group, shuffle_width, staged, table, unboxed
 from tidelog.llm.components import components
-from tidelog.llm.substring_dedup import Codes, compressed, expanded, mixed, numbered, run_hashes
+from tidelog.llm.substring_dedup import numbered
+from tidelog.llm.words import ARRAYS, SEGMENT, Words, added_up, chunks, compressed, expanded, mixed, run_hashes, segments, total, values
 
-#: Words hashed at a time, and distinct words that a task keeps hashes of.
-CHUNK_WORDS, VOCABULARY = 100_000, 200_000
 #: Share, in hundredths, of a set's tokens that its prefix must have in common with others:
 #: first of short prefixes of all sets, then of long ones of the sets that are left.
 COMMON, MORE_COMMON = 10, 80
 #: Postings that a task holds before it sends them; postings of a bucket, at least and at most.
 HELD, BUCKET, FULL_BUCKET = 1_000_000, 800_000, 16_000_000
-#: Cells of the counting sketch, slots of the filter of sets that can link, and how many
-#: tasks' arrays are first added up together.
-SKETCH, FILTER, LANES = 1 << 22, 1 << 26, 64
+#: Cells of the counting sketch, and slots of the filter of sets that can link.
+SKETCH, FILTER = 1 << 22, 1 << 26
 #: Sets of a block and their tokens; sets that meet it in a task; rows broadcast at most.
 MEMBERS, MEMBER_TOKENS, PARTNERS, NARROW = 128, 1_000_000, 128, 200_000
 #: Blocks on a list that a task walks; entries walked at a time, and rows read ahead.
@@ -103,46 +100,17 @@ class Rule:
         return self.spare(n) + int(self.asked(n, common))
 
 
-def values(column: pa.Array | pa.ChunkedArray, some: int = 64) -> Iterator:
-    """The column's values, a few at a time in Python's memory."""
-    for at in range(0, len(column), some):
-        yield from column.slice(at, some).to_pylist()
-
-
-class Shingler:
+def sets_in(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sets of texts: sorted arrays of distinct 64-bit tokens."""
-
-    def __init__(self, words: int):
-        self.length, self.codes, self.hashes, self.hashed = words, Codes(), np.empty(0, np.uint64), 0
-
-    def sets(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Texts are hashed many at a time."""
-        held, n = [], 0
-        for text in texts:
-            words = text.encode().lower().split() if isinstance(text, str) else []
-            held.append(words)
-            n += len(words)
-            if n >= CHUNK_WORDS:
-                yield from self.block(held)
-                held, n = [], 0
-        yield from self.block(held)
-
-    def block(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if len(self.codes) >= VOCABULARY:
-            self.__init__(self.length)
-        flat = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(texts)), np.int32)
-        if len(self.codes) > self.hashed:
-            fresh = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in itertools.islice(self.codes, self.hashed, None))
-            self.hashes = np.concatenate([self.hashes, np.frombuffer(fresh, "<u8").astype(np.uint64)])
-            self.hashed = len(self.codes)
-        words = self.hashes[flat]
-        runs, at = run_hashes(words, self.length), 0
-        for text in texts:
-            n = len(text)
-            if n >= self.length:
-                yield np.unique(runs[at : at + n - self.length + 1])
+    for some in chunks(texts):
+        own = Words(some, lower=True)
+        hashes, at = own.hashes(), 0
+        runs = run_hashes(hashes, words)
+        for n in own.counts.tolist():
+            if n >= words:
+                yield np.unique(runs[at : at + n - words + 1])
             else:
-                yield run_hashes(words[at : at + n], n) if n else np.empty(0, np.uint64)
+                yield run_hashes(hashes[at : at + n], n) if n else np.empty(0, np.uint64)
             at += n
 
 
@@ -165,9 +133,8 @@ def described(rows: DataFrame, rule: Rule) -> DataFrame:
     """rows: at, doc_id, text. Returns at, doc_id, n, and cls and prefix (short tokens), null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rule.words)
         for batch in batches:
-            found = [(len(s), class_of(s), short(s[: rule.prefix(len(s), COMMON)])) if len(s) else (0, None, None) for s in shingler.sets(values(batch.column(2)))]
+            found = [(len(s), class_of(s), short(s[: rule.prefix(len(s), COMMON)])) if len(s) else (0, None, None) for s in sets_in(batch.column(2), rule.words)]
             own = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["at", "doc_id", "n", "cls", "prefix"])
 
@@ -310,42 +277,21 @@ def able(sets: DataFrame, rule: Rule, tokens: int, common: int) -> DataFrame:
     return counted.groupBy("batch").applyInArrow(releasing_group(_enough(rule, common)), "id long")
 
 
-def added_up(parts: DataFrame, dtype: str, merge) -> list:
-    """parts: segment, lane and a compressed array. Arrays of a segment merged, some tasks' first and then the rest; rows of segment and array."""
-
-    def run(group: pa.Table) -> pa.Table:
-        whole = merge([np.frombuffer(expanded(b), dtype) for b in values(group.column("array"))])
-        return pa.table({"segment": group.column("segment").slice(0, 1), "lane": group.column("lane").slice(0, 1), "array": [compressed(whole.astype(dtype).tobytes())]})
-
-    schema = "segment int, lane int, array binary"
-    first = parts.groupBy("segment", "lane").applyInArrow(run, schema)
-    return first.groupBy("segment").applyInArrow(run, schema).toLocalIterator()
-
-
-def _segments(whole: np.ndarray, segment: int, put) -> Iterator[pa.RecordBatch]:
-    lane = TaskContext.get().partitionId() % LANES
-    for k in range(len(whole) // segment):
-        part = whole[k * segment : (k + 1) * segment]
-        if part.any():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "lane": pa.array([lane], pa.int32()), "array": [compressed(put(part).tobytes())]})
-
-
 def filtered(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``rows`` whose ``at`` may be among the ``n`` of ``wanted`` (id): a bitmap of bounded size, with false positives only."""
     bits = 1 << 16
     while bits < min(16 * n, FILTER):
         bits *= 2
-    segment = 1 << 16
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits, bool)
         for batch in batches:
             own[mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(bits - 1)] = True
-        yield from _segments(own, segment, np.packbits)
+        yield from segments(own, np.packbits)
 
     whole = bytearray(bits // 8)
-    for r in added_up(wanted.select("id").mapInArrow(build, "segment int, lane int, array binary"), "u1", np.bitwise_or.reduce):
-        whole[r.segment * segment // 8 : (r.segment + 1) * segment // 8] = expanded(r.array)
+    for k, part in added_up(wanted.select("id").mapInArrow(build, ARRAYS), "u1", np.bitwise_or.reduce):
+        whole[k * SEGMENT // 8 : (k + 1) * SEGMENT // 8] = part.tobytes()
     shared = rows.sparkSession.sparkContext.broadcast(bytes(whole))
 
     @F.pandas_udf("boolean")
@@ -360,9 +306,8 @@ def sets_of(rows: DataFrame, rule: Rule) -> DataFrame:
     """rows: at and text. Returns id, n and tokens, sorted little-endian 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rule.words)
         for batch in batches:
-            found = list(shingler.sets(values(batch.column(1))))
+            found = list(sets_in(batch.column(1), rule.words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "tokens"])
 
     return rows.select("at", "text").mapInArrow(releasing(run), "id long, n long, tokens binary")
@@ -379,11 +324,11 @@ def sketch_of(sets: DataFrame) -> bytes:
         for batch in batches:
             for raw in values(batch.column(0)):
                 own[(np.frombuffer(raw, "<u8") & np.uint64(SKETCH - 1)).astype(np.int64)] += 1
-        yield from _segments(own, segment, lambda part: part.astype("<u8"))
+        yield from segments(own, lambda part: part.astype("<u8"))
 
-    segment, whole = 1 << 16, np.zeros(SKETCH, np.uint8)
-    for r in added_up(sets.select("tokens").mapInArrow(releasing(count), "segment int, lane int, array binary"), "<u8", lambda arrays: np.sum(arrays, axis=0)):
-        whole[r.segment * segment : (r.segment + 1) * segment] = np.round(8 * np.log2(1.0 + np.frombuffer(expanded(r.array), "<u8")))
+    whole = np.zeros(SKETCH, np.uint8)
+    for k, part in added_up(sets.select("tokens").mapInArrow(releasing(count), ARRAYS), "<u8", total):
+        whole[k * SEGMENT : (k + 1) * SEGMENT] = np.round(8 * np.log2(1.0 + part))
     return whole.tobytes()
 
 
