@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOCUMENTS, SF, clashing, odd_documents, oracle, rows, unharmed
 from tidelog.llm import exact_dedup, jaccard, substring_dedup, url_filter
@@ -38,7 +39,9 @@ def test_one_row_of_each_text_is_kept(spark):
     assert sum(r.kept for r in found) == len(best)
 
 
-def test_many_copies_of_one_text(spark):
+@pytest.mark.parametrize("held", [50, 4_000_000])
+def test_many_copies_of_one_text(spark, monkeypatch, held):
+    monkeypatch.setattr(exact_dedup, "HELD", held)
     docs = spark.range(5000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same' else concat('text ', id) end as text")
     found = {r.doc_id: r for r in exact_dedup.copy_groups(docs).collect()}
     assert (found[0].keep_id, found[0].group_size, found[4998].kept, found[3].kept) == (4998, 1667, True, False)
@@ -96,6 +99,33 @@ def test_clashing_columns(spark):
     assert unharmed(judged, ("host", "path", "rule", "verdict")) and judged.first().host == "a.com"
 
 
+def test_a_common_run_in_many_contexts(spark):
+    """Its windows don't meet in one bucket, and are still found where they repeat."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidelog.llm.words import Words, run_hashes
+
+    rng = random.Random(3)
+    # The run that comes first in the order of minimisers, of many.
+    run = min((f"a{i} b{i} c{i} d{i}" for i in range(2000)), key=lambda r: int(run_hashes(Words(pa.array([r])).hashes(), 4)[0]))
+    word = lambda: f"w{rng.randrange(100_000)}"
+    texts = [" ".join([*(word() for _ in range(25)), run, *(word() for _ in range(25))]) for _ in range(100_000)]
+    texts[70_000] = "before " + texts[5]
+    rows_in = substring_dedup.staged(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(8))
+    levels = substring_dedup.common_runs(rows_in, 32)
+    size = {}
+    for name, own in (("plain", np.zeros_like(levels)), ("levels", levels)):
+        packed = rows_in.mapInArrow(substring_dedup.packer(32, spark.sparkContext.broadcast(own)), "bucket long, blob binary").where("bucket >= 0")
+        found = sorted(r.n for r in packed.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).collect())
+        size[name] = found[-1] / found[len(found) // 2]
+    assert size["plain"] > 5 > 2 > size["levels"]
+    found = sorted((r.row, r.start + i) for r in substring_dedup.repeat_intervals(rows_in).collect() for i in range(r.n))
+    assert found == [(70_000, 1 + i) for i in range(len(texts[5].split()) - 19)]
+
+
 def test_equal_hashes_of_other_words_are_told_apart(monkeypatch):
     import numpy as np
 

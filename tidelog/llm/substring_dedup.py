@@ -16,7 +16,13 @@ word, and each window that isn't the first in (document, start) order is a repea
 Repeats come back as intervals (document, first start, number of starts), which are
 merged for each document and cut from the words of its text.
 
-Buckets hold about ``BUCKET_CHARS`` of text each; their number follows the input.
+Runs of words that are very common, in many different contexts, would be the minimisers of
+very many windows. The super-k-mers of all texts are counted by their runs first, in an
+array of fixed size, and common runs come last in the order of minimisers, the commonest
+at the very end: windows that hold one go to the buckets of the runs beside it.
+
+Buckets hold ``BUCKET_CHARS`` of text or more, ``FULL_BUCKET_CHARS`` at most; their number
+follows the input.
 
 Defined results: null and empty text have no words; a document with fewer than ``WINDOW``
 words keeps all. Documents are in the order of doc_id, null first; rows that share a
@@ -27,24 +33,23 @@ by ``drop_repeats`` and not read.
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, boxed, shuffle_width, staged, table
+from tidelog.llm.common import Scratch, boxed, releasing, releasing_group, shuffle_width, staged, table
+from tidelog.llm.words import ARRAYS, SEGMENT, Words, added_up, chunks, compressed, expanded, run_hashes, segments, total
 
 WINDOW, MINIMISER = 20, 4
-#: Text that a bucket stands for, and words that a task packs at a time.
-BUCKET_CHARS, PACK_WORDS = 4_000_000, 2_000_000
-#: Words cut at a time, and distinct words that a task codes before it packs.
-CHUNK_WORDS, VOCABULARY = 500_000, 500_000
+#: Text that a bucket stands for, at least and at most, and words that a task packs at a time.
+BUCKET_CHARS, FULL_BUCKET_CHARS, PACK_WORDS = 4_000_000, 32_000_000, 2_000_000
+#: Cells in which runs of words are counted; the part of a bucket from which on a run is common.
+CELLS, SHARE = 1 << 20, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,38 +57,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if isinstance(text, str) else []
 
 
-class Codes(dict):
-    """A number for each distinct word, in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words whose outputs look random."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` words: runs of powers of two, joined as the binary digits of the length ask."""
-    n = max(0, len(words) - length + 1)
-    out, covered, power, size = np.zeros(n, np.uint64), 0, mixed(words), 1
-    while covered < length:
-        if length & size:
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + power[covered : covered + n])
-            covered += size
-        power, size = mixed(power[: max(0, len(power) - size)] * np.uint64(0xD6E8FEB86659FD93) + power[size:]), 2 * size
-    return out
+def order_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The order in which runs of words with these hashes are minimisers: common ones last."""
+    hashes = hashes >> np.uint64(6)
+    return (levels[(hashes & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | hashes
 
 
-def super_kmers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hashes: of the words of documents laid end to end; ends: where each ends. Each super-k-mer's first window, number of windows, minimiser."""
+def super_kmers(hashes: np.ndarray, ends: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hashes: of the words of documents laid end to end; ends: where each ends; levels: as of ``common_runs``. Each super-k-mer's first window, number of windows, minimiser."""
     if len(hashes) < WINDOW:
         return (np.empty(0, np.int64),) * 3
-    least, width, want = run_hashes(hashes, MINIMISER), 1, WINDOW - MINIMISER + 1
+    least, width, want = order_of(run_hashes(hashes, MINIMISER), levels), 1, WINDOW - MINIMISER + 1
     while width < want:  # the least of two overlapping spans
         step = min(width, want - width)
         least = np.minimum(least[: len(least) - step], least[step:])
@@ -99,12 +83,29 @@ def super_kmers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return at[first], np.diff(np.append(first, len(at))), least[at[first]]
 
 
-def compressed(raw: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+def common_runs(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Of cells of hashes of runs, a level: 0, or by how many powers of two the super-k-mers of the cell's runs exceed the ``SHARE``-th part of a bucket.
 
+    Counted over all texts in an array of fixed size. A run that very many windows would
+    have as their minimiser would fill one bucket; with its level it comes after others in
+    the order, so that its windows go to the buckets of the runs beside it.
+    """
 
-def expanded(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, flat = np.zeros(CELLS, np.uint32), np.zeros(CELLS, np.uint8)
+        for batch in batches:
+            for texts in chunks(batch.column(0)):
+                words = Words(texts)
+                _, _, minimiser = super_kmers(words.hashes(), np.cumsum(words.counts), flat)
+                if len(minimiser):
+                    own += np.bincount((minimiser & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        yield from segments(own, lambda part: part.astype("<u8"))
+
+    counts = np.zeros(CELLS, np.uint64)
+    for k, part in added_up(rows.select("text").mapInArrow(releasing(run), ARRAYS), "<u8", total):
+        counts[k * SEGMENT : (k + 1) * SEGMENT] = part
+    fair = max(1, int(counts.sum()) // buckets // SHARE)
+    return np.where(counts > fair, np.minimum(63, 1 + np.floor(np.log2(np.maximum(counts, 1) / fair))), 0).astype(np.uint8)
 
 
 def pack(strings: list[bytes], lengths: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
@@ -113,40 +114,38 @@ def pack(strings: list[bytes], lengths: np.ndarray, rows: np.ndarray, starts: np
     return compressed(b"".join(x.tobytes() for x in head) + b" ".join(strings), level=3)
 
 
-def unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """As ``pack`` takes them, but for the words of all strings in one list."""
+def unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``pack`` takes them, but for the strings, which are one."""
     raw = expanded(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     lengths = np.frombuffer(raw, "<i4", n, 8)
     rows = np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 4 * n))
-    return raw[8 + 20 * n :].split(), lengths, rows, np.frombuffer(raw, "<i8", n, 8 + 12 * n)
+    return raw[8 + 20 * n :], lengths, rows, np.frombuffer(raw, "<i8", n, 8 + 12 * n)
 
 
 class Packer:
     """A map task: documents' words in, packed super-k-mers by bucket out, with the task's own repeats in buckets under 0."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.hashes = np.empty(0, np.uint64)
+    def __init__(self, buckets: int, levels: np.ndarray):
+        self.buckets, self.levels = buckets, levels
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.kept, self.seen, self.repeats, self.words = Codes(), {}, {}, [], 0
-        self.hashed = 0
-
-    def add(self, rows: list[int], texts: list[list[bytes]]) -> None:
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths)
-        words = [w for text in texts for w in text]
-        flat = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
-        first, count, minimiser = super_kmers(self.word_hashes()[flat], ends)
+        self.kept, self.seen, self.repeats, self.words = {}, {}, [], 0
+
+    def add(self, rows: np.ndarray, texts: pa.Array) -> None:
+        own = Words(texts)
+        ends = np.cumsum(own.counts)
+        first, count, minimiser = super_kmers(own.hashes(), ends, self.levels)
+        if not len(first):
+            return
         document = np.searchsorted(ends, first, side="right")
-        start = first - (ends - lengths)[document]
-        raw, stop = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        start = first - (ends - own.counts)[document]
+        raw = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own.words)], pa.int32()), own.words), " ")[0].as_buffer().to_pybytes()
+        stop = np.cumsum(pc.binary_length(own.words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         begin = np.append(0, stop[:-1])[first]
         end = stop[first + count + WINDOW - 2] - 1
-        row = np.array(rows, np.int64)[document]
-        for a, b, r, at, n, bucket in zip(begin.tolist(), end.tolist(), row.tolist(), start.tolist(), count.tolist(), (minimiser % np.uint64(self.buckets)).tolist(), strict=True):
+        for a, b, r, at, n, bucket in zip(begin.tolist(), end.tolist(), rows[document].tolist(), start.tolist(), count.tolist(), (minimiser % np.uint64(self.buckets)).tolist(), strict=True):
             string = raw[a:b]
             place = self.seen.get(string)
             if place is None:
@@ -159,15 +158,6 @@ class Packer:
             else:
                 self.repeats.append((r, at, n))
 
-    def word_hashes(self) -> np.ndarray:
-        """The hash of each code's word; it must not depend on the task."""
-        if len(self.codes) > self.hashed:
-            fresh = itertools.islice(self.codes, self.hashed, None)
-            digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh)
-            self.hashes = np.concatenate([self.hashes[: self.hashed], np.frombuffer(digests, "<u8").astype(np.uint64)])
-            self.hashed = len(self.codes)
-        return self.hashes
-
     def flush(self) -> pa.RecordBatch:
         out: list[tuple[int, bytes]] = []
         for bucket, strings in self.kept.items():
@@ -179,24 +169,18 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["bucket", "blob"])
 
 
-def packer(buckets: int):
+def packer(buckets: int, levels):
+    """levels: a broadcast."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Packer(buckets)
+        task = Packer(buckets, levels.value)
         for batch in batches:
-            rows, texts, words = [], [], 0
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words_of(text)
-                if len(own) >= WINDOW:
-                    rows.append(row)
-                    texts.append(own)
-                    words += len(own)
-                if words >= CHUNK_WORDS:
-                    task.add(rows, texts)
-                    rows, texts, words = [], [], 0
-                    if task.words >= PACK_WORDS or len(task.codes) >= VOCABULARY:
-                        yield task.flush()
-            if texts:
-                task.add(rows, texts)
+            rows, at = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for texts in chunks(batch.column(1)):
+                task.add(rows[at : at + len(texts)], texts)
+                at += len(texts)
+                if task.words >= PACK_WORDS:
+                    yield task.flush()
         if task.kept:
             yield task.flush()
 
@@ -248,11 +232,11 @@ def open_bucket(group: pa.Table) -> pa.Table:
     if group.column("bucket")[0].as_py() < 0:
         found = np.concatenate([np.frombuffer(expanded(b), "<i8").reshape(-1, 3) for b in blobs])
     else:
-        codes, parts = Codes(), []
-        for blob in blobs:
-            words, *rest = unpack(blob)
-            parts.append((np.fromiter(map(codes.__getitem__, words), np.int32, len(words)), *rest))
-        found = intervals(repeats_in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+        strings, *parts = zip(*(unpack(b) for b in blobs), strict=True)
+        lengths, rows, starts = (np.concatenate(x) for x in parts)
+        # Equal words have equal numbers in the whole bucket.
+        words = pa.concat_arrays([pc.ascii_split_whitespace(pa.array([s.decode()])).flatten() for s in strings]).dictionary_encode()
+        found = intervals(repeats_in_bucket(words.indices.to_numpy(zero_copy_only=False), lengths, rows, starts))
     return pa.table({"row": found[:, 0], "start": found[:, 1], "n": found[:, 2]})
 
 
@@ -274,9 +258,11 @@ def numbered(df: DataFrame, id_col: str, without: tuple[str, ...] = (), scratch:
 def repeat_intervals(rows: DataFrame) -> DataFrame:
     """rows: row (long, unique, in corpus order) and text. Returns row, start, n."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, chars // BUCKET_CHARS)
-    packed = rows.mapInArrow(packer(buckets), "bucket long, blob binary")
-    return packed.groupBy("bucket").applyInArrow(open_bucket, "row long, start long, n long")
+    # Buckets follow the width of shuffles, so that a task's strings are not too few for each.
+    buckets = max(1, -(-chars // FULL_BUCKET_CHARS), min(chars // BUCKET_CHARS, 4 * shuffle_width(rows.sparkSession)))
+    levels = rows.sparkSession.sparkContext.broadcast(common_runs(rows, buckets))
+    packed = rows.mapInArrow(releasing(packer(buckets, levels)), "bucket long, blob binary")
+    return packed.groupBy("bucket").applyInArrow(releasing_group(open_bucket), "row long, start long, n long")
 
 
 def cut(words: list[bytes], spans: list[tuple[int, int]] | None) -> list[bytes]:
