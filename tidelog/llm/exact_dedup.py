@@ -1,7 +1,8 @@
 """Exact deduplication: a two-pass Bloom filter, then a shuffle of possible repeats only.
 
-Pass one folds every row's digest into a pair of bitmaps, "seen" and "seen again", a
-pair per task, merged segment by segment on the executors. A digest whose slots are all
+Pass one folds every row's digest into a pair of bitmaps, "seen" and "seen again", of the
+segments that a task's rows touch, compressed and merged segment by segment on the
+executors, some tasks' first and then the rest. A digest whose slots are all
 in the merged "seen again" bitmap may be repeated; any other digest is certainly unique.
 Pass two sends only the possible repeats through a shuffle on the digest. A false
 positive costs a shuffled row and never changes a result.
@@ -24,18 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, boxed, staged, table, unboxed
+from tidelog.llm.common import Scratch, boxed, releasing, staged, table, unboxed
+from tidelog.llm.words import ARRAYS, LANES, SEGMENT, added_up, compressed
 
 #: Slots of the filter for each row, and slots that one digest sets.
 BITS_PER_ROW, PROBES = 16, 4
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
-#: Slots in one segment of a bitmap, the unit in which tasks' bitmaps are merged.
-SEGMENT_BITS = 1 << 16
-#: Tasks that build bitmaps at most, as each emits whole bitmaps.
-BUILDERS = 128
+#: Slots that a task holds before it folds them into bitmaps.
+HELD = 4_000_000
 
 DIGEST = "__digest"
 
@@ -69,36 +70,43 @@ def seen_again(digests: DataFrame, rows: int) -> tuple[int, bytes]:
     bits = MIN_BITS
     while bits < min(rows * BITS_PER_ROW, MAX_BITS):
         bits *= 2
-    segment = min(SEGMENT_BITS, bits)
+
+    def flushed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The segments that some rows touch, each as two packed bitmaps end to end: seen, and seen again."""
+        lane = TaskContext.get().partitionId() % LANES
+        hit, n = np.unique(np.concatenate(held), return_counts=True)
+        for k in np.unique(hit // SEGMENT).tolist():
+            own = slice(*np.searchsorted(hit, [k * SEGMENT, (k + 1) * SEGMENT]))
+            both = np.zeros(2 * SEGMENT, bool)
+            both[hit[own] - k * SEGMENT] = True
+            both[hit[own][n[own] > 1] - (k - 1) * SEGMENT] = True
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "lane": pa.array([lane], pa.int32()), "array": [compressed(np.packbits(both).tobytes())]})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
+        held: list[np.ndarray] = []
         for batch in batches:
             if batch.num_rows:
                 # A digest may hit a slot twice with two of its probes: that is one row still.
                 own = np.sort(slots(words_of(batch.column(0)), bits), axis=1)
                 fresh = np.ones(own.shape, bool)
                 fresh[:, 1:] = own[:, 1:] != own[:, :-1]
-                hit, n = np.unique(own[fresh], return_counts=True)
-                again[hit[(n > 1) | once[hit]]] = True
-                once[hit] = True
-        for k in range(bits // segment):
-            part = slice(k * segment, (k + 1) * segment)
-            if once[part].any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "once": [np.packbits(once[part]).tobytes()], "again": [np.packbits(again[part]).tobytes()]})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        once = again = np.zeros(segment // 8, np.uint8)
-        for a, b in zip(group["once"], group["again"], strict=True):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                held.append(own[fresh])
+            if sum(map(len, held)) >= HELD:
+                yield from flushed(held)
+                held = []
+        if held:
+            yield from flushed(held)
+
+    def merge(parts: list[np.ndarray]) -> np.ndarray:
+        once = again = np.zeros(SEGMENT // 8, np.uint8)
+        for part in parts:
+            a, b = part[: SEGMENT // 8], part[SEGMENT // 8 :]
             again, once = again | b | (once & a), once | a
-        return pd.DataFrame({"segment": group["segment"].iloc[:1], "again": [again.tobytes()]})
+        return np.concatenate([once, again])
 
-    parts = digests.select(DIGEST).coalesce(BUILDERS).mapInArrow(build, "segment int, once binary, again binary")
-    merged = parts.groupBy("segment").applyInPandas(merge, "segment int, again binary")
     whole = bytearray(bits // 8)
-    for row in merged.toLocalIterator():
-        whole[row.segment * segment // 8 : (row.segment + 1) * segment // 8] = row.again
+    for k, part in added_up(digests.select(DIGEST).mapInArrow(releasing(build), ARRAYS), "u1", merge):
+        whole[k * SEGMENT // 8 : (k + 1) * SEGMENT // 8] = part[SEGMENT // 8 :].tobytes()
     return bits, bytes(whole)
 
 
