@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.sources.staging import Scratch, shared_dir, staged
+from tidelog.sources import staging
+from tidelog.sources.staging import Scratch
 
-__all__ = ["Scratch", "shared_dir", "staged"]
+#: Bytes of a batch that goes to a Python worker, whose task holds several at once.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staged(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``staging.staged``; while ``df`` is written, batches to Python workers are small, as rows may hold long texts or sets."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_BYTES)
+    try:
+        return staging.staged(df, scratch)
+    finally:
+        conf.set(key, before)
+
+
 def boxed(df: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
     """The row, but for the columns in ``without``, as one column ``row``; and ``columns``: no name of ``df`` can clash with theirs."""
     names = [c for c in df.columns if c not in without]
