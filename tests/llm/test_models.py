@@ -268,6 +268,16 @@ def test_stale_entries_are_skipped():
     assert bpe.merged([], ranks, results) == []
 
 
+def test_old_pieces_come_back(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    codec = bpe.Codec(bpe.VOCABULARY)
+    words = "one two three four one two five six one seven one"
+    assert codec.encode(words) == bpe.Codec(bpe.VOCABULARY).encode(words) and codec.decode(codec.encode(words)) == words
+    assert len(codec.pieces) <= 3 and len(codec.pieces.old) <= 3
+    codec.pieces.forget()
+    assert not codec.pieces and not codec.pieces.old
+
+
 # Languages.
 
 

@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from tidelog.llm.common import boxed, release, table, unboxed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces whose ids a worker keeps, and the longest piece kept.
-CACHED, CACHED_LENGTH = 200_000, 48
+#: Pieces in a generation of a worker's cache, of which there are two, and the longest piece kept.
+CACHED, CACHED_LENGTH = 150_000, 48
 #: Rows that a worker holds at a time.
 SOME = 256
 
@@ -80,20 +80,27 @@ def merged(symbols: list[int], ranks: dict[int, int], results: list[int]) -> lis
 
 
 class Pieces(dict):
-    """A piece of text to its ids as bytes; filled on demand and emptied when full."""
+    """A piece of text to its ids as bytes, filled on demand. When full it becomes the old generation, whose pieces come back as they are asked for."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array.array("I", merged([*map(self.codec.byte_ids.__getitem__, piece.encode())], self.codec.ranks, self.codec.results)).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array.array("I", merged([*map(self.codec.byte_ids.__getitem__, piece.encode())], self.codec.ranks, self.codec.results)).tobytes()
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Codec:
     def __init__(self, path: str):
@@ -120,7 +127,7 @@ class Codec:
 
     def rest(self) -> None:
         """At a task's end: the worker may serve others next."""
-        self.pieces.clear()
+        self.pieces.forget()
         release()
 
     def encode(self, text: str) -> bytes:
