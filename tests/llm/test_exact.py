@@ -16,7 +16,7 @@ def test_matches_sql(spark, name):
     assert rows(QUERIES[name](spark, SF)) == rows(oracle(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_mix_sources"])
 def test_odd_rows_match_sql(spark, tables, name):
     sf = tables(documents=odd_documents(spark))
     assert rows(QUERIES[name](spark, sf)) == rows(oracle(ORACLES[name], sf))

@@ -66,8 +66,8 @@ def mix_by_hand(spark, docs):
     rings = {}
     for r in seen:
         rings.setdefault((r[0], r[1] % count[r[0]]), []).append(r)
-    starts = {(r.k, r.s): r.h for r in spark.createDataFrame(list(rings), "k string, s int").select("k", "s", mixing.seeded(F.lit("run"), "k", "s").alias("h")).collect()}
-    copy = {r.p: r.h % (1 << 20) / (1 << 20) for r in spark.createDataFrame([(r[2],) for r in seen], "p long").select("p", mixing.seeded(F.lit("copy"), "p").alias("h")).collect()}
+    starts = {(r.k, r.s): r.h for r in spark.createDataFrame(list(rings), "k string, s int").select("k", "s", mixing.seeded(F.lit("run"), F.col("k"), F.col("s")).alias("h")).collect()}
+    copy = {r.p: r.h % (1 << 20) / (1 << 20) for r in spark.createDataFrame([(r[2],) for r in seen], "p long").select("p", mixing.seeded(F.lit("copy"), F.col("p")).alias("h")).collect()}
     taken, copies = {}, {}
     for key in sizes:
         words = {s: sum(r[3] for r in own) for (k, s), own in sorted(rings.items()) if k == key}

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_jaccard": jaccard.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_url_filter": url_filter.SQL, "op4_mix_sources": mixing.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_jaccard": jaccard.SQL}

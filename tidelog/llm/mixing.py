@@ -52,8 +52,18 @@ ARCS = 200_000
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def seeded(*columns: Column | str) -> Column:
-    return F.xxhash64(F.lit(SEED), *columns)
+def digest(*columns: Column) -> Column:
+    """Nulls among the columns are left out."""
+    return F.md5(F.concat_ws("|", F.lit(str(SEED)), *[c.cast("string") for c in columns]))
+
+
+def sixty_bits(hexadecimal: Column, first: int = 1) -> Column:
+    """A long from 15 digits, ``first`` being 1 or 16."""
+    return F.conv(F.substring(hexadecimal, first, 15), 16, 10).cast("long")
+
+
+def seeded(*columns: Column) -> Column:
+    return sixty_bits(digest(*columns))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -114,11 +124,11 @@ def key_of(source: Column) -> Column:
 
 
 def deal_of(id_: Column, text: Column) -> Column:
-    return seeded(F.lit("shard"), id_, F.xxhash64(text))
+    return sixty_bits(digest(id_, text))
 
 
 def place_of(id_: Column, text: Column) -> Column:
-    return seeded(F.lit("order"), id_, F.xxhash64(text))
+    return sixty_bits(digest(id_, text), 16)
 
 
 def shard_of() -> Column:
@@ -132,7 +142,9 @@ class Plan:
         """rows, staged: key, deal, place and size, and others."""
         sums = staged(rows.groupBy("key").agg(F.sum("size").alias("source_size")), scratch)
         named = sums.withColumn("source", F.when(F.col("key").startswith("s"), F.substring("key", 2, 2**31 - 1)))
-        known = targets(named).withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / BLOCK_WORDS).cast("long"))
+        # What the targets add up to, by whole numbers, whose sum is the same in any order.
+        budget = F.sum("source_size").over(W.partitionBy()) * min(BUDGET_PERCENT / 100, float(MAX_EPOCHS))
+        known = targets(named).withColumn("blocks", F.round(budget / BLOCK_WORDS).cast("long"))
         # A source without words has no seats, but a size and a target.
         seated = apportion(known, [], "target", "seats", "blocks", ["position"]).select("key", "seats")
         shards = F.least(F.lit(SHARDS), F.greatest(F.lit(1), F.floor(F.col("source_size") / SHARD_WORDS)))
@@ -141,7 +153,7 @@ class Plan:
         words = dealt.groupBy("key", "shard").agg(F.sum("size").alias("ring")).where("ring > 0").join(self.sources.select("key", "seats"), "key")
         quotas = apportion(words, ["key"], "ring", "quota", "seats", ["shard"], F.ceil(F.col("ring") * MAX_EPOCHS / BLOCK_WORDS))
         run = F.least(F.col("quota") * BLOCK_WORDS, F.col("ring") * MAX_EPOCHS)
-        start = F.pmod(seeded(F.lit("run"), "key", "shard"), F.ceil(F.col("ring") / BLOCK_WORDS)) * BLOCK_WORDS
+        start = F.pmod(seeded(F.lit("run"), F.col("key"), F.col("shard")), F.ceil(F.col("ring") / BLOCK_WORDS)) * BLOCK_WORDS
         self.runs = staged(quotas.select("key", "shard", "ring", run.alias("run"), start.alias("start")), scratch)
         along = W.partitionBy("key", "shard").orderBy("place", "size").rowsBetween(W.unboundedPreceding, 0)
         self.laid = dealt.withColumn("from", F.sum("size").over(along) - F.col("size")).join(broadcast_up_to(self.runs, ARCS), ["key", "shard"], "left")
@@ -173,7 +185,7 @@ def arcs(plan: Plan) -> DataFrame:
     whole = [(F.col("size") > 0) & (F.col("from") >= a) & (upto <= b) for a, b in parts]
     covered = sum(F.greatest(F.lit(0), F.least(b, upto) - F.greatest(a, F.col("from"))) for a, b in parts)
     # Of a document that is covered in part, the part is the chance of one more copy.
-    chance = F.pmod(seeded(F.lit("copy"), "place"), F.lit(1 << 20)) / (1 << 20)
+    chance = F.pmod(seeded(F.lit("copy"), F.col("place")), F.lit(1 << 20)) / (1 << 20)
     cut = (F.col("size") > 0) & (covered > 0) & ~whole[0] & ~whole[1] & (covered / F.col("size") > chance)
     found = [f(F.when(w, F.col("place"))).alias(f"{name}_{i}") for i, w in enumerate(whole) for f, name in ((F.min, "low"), (F.max, "high"))]
     own = plan.laid.where("run is not null")
@@ -198,3 +210,24 @@ def mixed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Lists every quotient that could win a seat; the query lists two or so for each claim.
+SQL = rf"""
+with d as (select doc_id, coalesce('s' || source, 'n') as key, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}+')) as size, md5(concat_ws('|', '{SEED}', doc_id::varchar, text)) as h from documents),
+sized as (select source, key, sum(size)::bigint as source_size from d group by source, key),
+placed as (select *, row_number() over (order by source nulls last) - 1 as position from sized),
+weighed as (select *, [{", ".join(map(str, WEIGHTS))}][position % {len(WEIGHTS)} + 1]::double as weight, source_size * {MAX_EPOCHS}::double as cap, sum(source_size) over () * ({BUDGET_PERCENT} / 100::double) as budget from placed),
+filled as (select *, (budget - coalesce(sum(cap) over (order by cap / weight, position rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, position rows between current row and unbounded following) as level from weighed),
+aimed as (select *, least(cap, weight * (select level from filled where cap > weight * level order by cap / weight, position limit 1)) as target from filled),
+bids as (select key, position, target, budget, unnest(range(ceil(target / {BLOCK_WORDS})::bigint + (select count(*) from aimed))) as seat from aimed where target > 0),
+won as (select key, count(*) as seats from (select key, row_number() over (order by target / (2 * seat + 1) desc, position, seat) as n, round(budget / {BLOCK_WORDS}) as blocks from bids) where n <= blocks group by key),
+sources as (select key, source_size, target, coalesce(seats, 0) as seats, least({SHARDS}, greatest(1, source_size // {SHARD_WORDS})) as shards from aimed left join won using (key)),
+dealt as (select doc_id, key, size, source_size, target, seats, ('0x' || h[1:15])::bigint % shards as shard, ('0x' || h[16:30])::bigint as place from d join sources using (key)),
+rings as (select key, shard, any_value(seats) as seats, sum(size)::bigint as ring from dealt group by key, shard having sum(size) > 0),
+claims as (select *, unnest(range(ceil(ring * {MAX_EPOCHS} / {BLOCK_WORDS})::bigint)) as seat from rings),
+held as (select key, shard, count(*) filter (where n <= seats) as quota from (select key, shard, seats, row_number() over (partition by key order by ring / (2 * seat + 1) desc, shard, seat) as n from claims) group by key, shard),
+runs as (select key, shard, ring, least(quota * {BLOCK_WORDS}, ring * {MAX_EPOCHS}) as run, ('0x' || md5(concat_ws('|', '{SEED}', 'run', key, shard::varchar))[1:15])::bigint % ceil(ring / {BLOCK_WORDS})::bigint * {BLOCK_WORDS} as start from rings join held using (key, shard)),
+laid as (select dealt.*, ring, start, start + run as stop, (sum(size) over (partition by dealt.key, dealt.shard order by place, size rows unbounded preceding) - size)::bigint as behind from dealt left join runs on dealt.key = runs.key and dealt.shard = runs.shard)
+select doc_id, size, source_size, target, coalesce(stop // ring * size + least(size, greatest(0, stop % ring - behind)) - start // ring * size - least(size, greatest(0, start % ring - behind)), 0)::bigint as taken from laid
+"""
