@@ -3,6 +3,7 @@
 import random
 from collections import OrderedDict
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -139,9 +140,11 @@ def test_cache_of_64(spark):
     assert hits == [0] * 65 + [1] * 64 + [0]
 
 
-@pytest.mark.parametrize("chunk_bytes", [100, 1 << 28])
-def test_runs_by_bytes(spark, chunk_bytes):
-    ops = [(f"key{i % 7}", 0, "x" * (i * 37 % 50)) for i in range(200)]
+@pytest.mark.parametrize("chunk_bytes, fanout, long", [(100, 32, 0), (300, 3, 0), (90, 3, 1000), (1 << 28, 32, 0)])
+def test_runs_by_bytes(spark, monkeypatch, chunk_bytes, fanout, long):
+    monkeypatch.setattr(cutter, "FANOUT", fanout)
+    # Some values may be longer than a run and than chunks.
+    ops = [(f"key{i % 7}", 0, "x" * (i * 37 % 50 + (long if i % 23 == 0 else 0))) for i in range(200)]
     want, size, run = [], 0, 0
     for k, _, v in ops:
         if size > 150:
@@ -149,6 +152,27 @@ def test_runs_by_bytes(spark, chunk_bytes):
         size += len(k) + 9 + len(v)
         want.append(run)
     assert [r.run for r in cutter.byte_runs(log_of(spark, ops), 150, chunk_bytes).orderBy("seq").collect()] == want
+    assert cutter.byte_runs(log_of(spark, []), 150).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_steps_compose(seed):
+    rng = np.random.default_rng(seed)
+    begin = np.cumsum(np.concatenate([[0], rng.choice([9, 20, 300], 400, p=[0.5, 0.45, 0.05])]))
+    limit = int(rng.choice([8, 50, 400, 20_000]))
+    numbers = cutter.run_numbers(begin, limit, -1, 0)
+    stretches = np.split(begin, np.sort(rng.choice(np.arange(1, 400), 6, replace=False)))
+    steps = [cutter.Steps.of(s, limit) for s in stretches]
+    whole = steps[0]
+    for upto, one in enumerate(steps[1:], 2):
+        whole = whole.then(one, limit)
+        _, begun = whole.after(np.array([-1]), np.array([0]))
+        assert begun[0] - 1 == numbers[sum(map(len, stretches[:upto])) - 1]
+    # Any two ways of composing stretches do the same to any run that may be open.
+    left, right = steps[1].then(steps[2], limit).then(steps[3], limit), steps[1].then(steps[2].then(steps[3], limit), limit)
+    ends = np.arange(0, stretches[1][0] + limit)
+    for a, b in zip(left.after(ends, 0 * ends), right.after(ends, 0 * ends), strict=True):
+        assert (a == b).all()
 
 
 def test_running_sum(spark):

@@ -1,13 +1,20 @@
 """Cut a log into runs by bytes: a run ends with the entry that takes it over the limit.
 
-Where a run ends depends on where it began, so this is sequential by nature; keep it off
-hot paths. The log is dealt in chunks by its running size. The driver carries two numbers,
-where the open run began and how many are done, from chunk to chunk; then all chunks are
-numbered side by side. No task holds more than a chunk.
+Where a run ends depends on where it began, so a run's number follows from all before it.
+The log is dealt in chunks by its running size. What happens in a chunk is a function of
+one number, the size at which the open run ends, and a step function at that: only the
+entries of about one limit can be the first to begin a run there. All chunks' functions
+are found side by side, composed ``FANOUT`` at a time up a tree, and applied down it, which
+gives every chunk the open run that it begins with; then all are numbered side by side.
+
+No task holds more than a chunk, or the functions of ``FANOUT`` chunks, each of at most
+three numbers for each entry of one limit; jobs grow with the logarithm of the chunks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,20 +22,111 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.keys import entry_bytes
 from tidelog.operators.running import running_sum
-from tidelog.sources.staging import staged
+from tidelog.sources.staging import Scratch, staged
+
+#: Nodes of the tree that are composed in one task.
+FANOUT = 32
+
+
+@dataclass
+class Steps:
+    """What a stretch of the log does to (end, begun): the size beyond which the next run begins, and how many runs have begun."""
+
+    #: Sizes before the entries that may begin the first run; the end after that, and the runs begun.
+    heads: np.ndarray
+    ends: np.ndarray
+    begun: np.ndarray
+
+    @classmethod
+    def of(cls, begin: np.ndarray, limit: int) -> Steps:
+        """begin: the log's size before each entry, in order."""
+        n = len(begin)
+        after = np.searchsorted(begin, begin + limit, side="right")
+        last = np.where(after < n, after, np.arange(n))
+        jumps = (after < n).astype(np.int64)
+        # By doubling, each entry's chain of runs up to the last that begins here.
+        while (last[last] != last).any():
+            jumps, last = jumps + jumps[last], last[last]
+        return cls(begin, begin[last] + limit, jumps + 1).cut(limit)
+
+    def cut(self, limit: int) -> Steps:
+        """Without heads that no run open at the start can end at: it began before the first."""
+        upto = int(np.searchsorted(self.heads, self.heads[0] + limit)) + 1
+        return Steps(self.heads[:upto], self.ends[:upto], self.begun[:upto])
+
+    def then(self, other: Steps, limit: int) -> Steps:
+        end, begun = other.after(self.ends, self.begun)
+        joined = Steps(np.concatenate([self.heads, other.heads]), np.concatenate([end, other.ends]), np.concatenate([begun, other.begun]))
+        return joined.cut(limit)
+
+    def after(self, end: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.heads, end, side="right")
+        some, own = at < len(self.heads), np.minimum(at, len(self.heads) - 1)
+        return np.where(some, self.ends[own], end), begun + np.where(some, self.begun[own], 0)
+
+    def row(self, node: int) -> dict:
+        return {"node": [node], **{name: pa.array([getattr(self, name).astype("<i8").tobytes()], pa.binary()) for name in ("heads", "ends", "begun")}}
+
 
+STEPS, STATE = "node long, heads binary, ends binary, begun binary", "node long, end long, started long"
 
-def run_numbers(begin: np.ndarray, limit: int, first: int, done: int) -> tuple[np.ndarray, int]:
-    """begin: the log's size before each entry of a chunk, in order. The entries' run numbers, and where the last run began."""
+
+def steps_of(table: pa.Table) -> list[tuple[int, Steps]]:
+    """The nodes of a table and their functions, in order."""
+    columns = [table.column(name).to_pylist() for name in ("node", "heads", "ends", "begun")]
+    return [(node, Steps(*[np.frombuffer(raw, "<i8") for raw in raws])) for node, *raws in sorted(zip(*columns, strict=True))]
+
+
+def run_numbers(begin: np.ndarray, limit: int, end: int, begun: int) -> np.ndarray:
+    """begin: the log's size before each entry of a chunk, in order; end: beyond which the open run ends; begun: runs so far. The entries' run numbers."""
     runs, at = np.empty(len(begin), np.int64), 0
     while at < len(begin):
         # The memtable is tested before each write.
-        end = int(np.searchsorted(begin, first + limit, side="right"))
-        runs[at:end] = done
-        if end < len(begin):
-            first, done = int(begin[end]), done + 1
-        at = max(at, end)
-    return runs, first
+        upto = int(np.searchsorted(begin, end, side="right"))
+        runs[at:upto] = begun - 1
+        if upto < len(begin):
+            end, begun = int(begin[upto]) + limit, begun + 1
+        at = max(at, upto)
+    return runs
+
+
+def starts(chunked: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """chunked: __chunk and __begin. Of each chunk (``node``): where the run ends that is open at its start, and how many runs have begun."""
+    spark, last = chunked.sparkSession, chunked.agg(F.max("__chunk")).first()[0]
+
+    def of_chunk(group: pa.Table) -> pa.Table:
+        return pa.table(Steps.of(np.sort(group.column("__begin").to_numpy()), limit).row(group.column("__chunk")[0].as_py()))
+
+    def composed(group: pa.Table) -> pa.Table:
+        nodes = steps_of(group)
+        whole = nodes[0][1]
+        for _, steps in nodes[1:]:
+            whole = whole.then(steps, limit)
+        return pa.table(whole.row(nodes[0][0] // FANOUT))
+
+    def handed_down(group: pa.Table) -> pa.Table:
+        end, begun = np.array([group.column("end")[0].as_py()]), np.array([group.column("started")[0].as_py()])
+        rows = []
+        for node, steps in steps_of(group):
+            rows.append((node, int(end[0]), int(begun[0])))
+            end, begun = steps.after(end, begun)
+        return pa.table(dict(zip(("node", "end", "started"), map(pa.array, zip(*rows, strict=True)), strict=True)))
+
+    levels, parent = [], F.floor(F.col("node") / FANOUT)
+    while last:
+        if levels:
+            level = levels[-1].groupBy(parent).applyInArrow(composed, STEPS)
+        else:
+            level = chunked.select("__chunk", "__begin").groupBy("__chunk").applyInArrow(of_chunk, STEPS)
+        levels.append(staged(level, scratch))
+        last //= FANOUT
+    # No run is open before the log, so its first entry begins one.
+    state = spark.createDataFrame([(0, -1, 0)], STATE)
+    for level in reversed(levels):
+        above = state.withColumnRenamed("node", "parent")
+        below = level.withColumn("parent", parent).join(above, "parent").groupBy("parent").applyInArrow(handed_down, STATE)
+        state = staged(below, scratch)
+    return state
 
 
 def byte_runs(log: DataFrame, limit: int, chunk_bytes: int = 1 << 28) -> DataFrame:
@@ -36,28 +134,15 @@ def byte_runs(log: DataFrame, limit: int, chunk_bytes: int = 1 << 28) -> DataFra
     sized = log.withColumn("__bytes", entry_bytes(F.col("k"), F.col("v")))
     summed = running_sum(sized, ["seq"], "__bytes", "__upto").withColumn("__begin", F.col("__upto") - F.col("__bytes"))
     chunked = staged(summed.withColumn("__chunk", F.floor(F.col("__begin") / chunk_bytes)).drop("__bytes", "__upto"))
-    chunks = [r[0] for r in chunked.select("__chunk").distinct().orderBy("__chunk").collect()]
-
-    def close(first: int, done: int):
-        def run(group: pa.Table) -> pa.Table:
-            runs, last = run_numbers(np.sort(group.column("__begin").to_numpy()), limit, first, done)
-            return pa.table({"first": [last], "done": [int(runs[-1])]})
-
-        return run
-
-    columns, states, first, done = log.columns, [], 0, 0
-    for chunk in chunks:
-        states.append((chunk, first, done))
-        if chunk != chunks[-1]:
-            own = chunked.where(F.col("__chunk") == chunk).select("__chunk", "__begin")
-            first, done = own.groupBy("__chunk").applyInArrow(close(first, done), "first long, done long").first()
+    columns, scratch = log.columns, Scratch()
+    begun = staged(starts(chunked, limit, scratch).toDF("__chunk", "__end", "__started"))
+    scratch.drop()
 
     def number(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("__begin").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
-        runs, _ = run_numbers(group.column("__begin").to_numpy(), limit, group.column("__first")[0].as_py(), group.column("__done")[0].as_py())
+        runs = run_numbers(group.column("__begin").to_numpy(), limit, group.column("__end")[0].as_py(), group.column("__started")[0].as_py())
         return group.select(columns).append_column("run", pa.array(runs))
 
-    begun = log.sparkSession.createDataFrame(states, "__chunk long, __first long, __done long")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", run long"
     return chunked.join(begun, "__chunk").groupBy("__chunk").applyInArrow(number, schema)
