@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashing import content_id, crc32c
-from tidelog.functions.keys import packed, shared_prefix, unpacked
+from tidelog.functions.keys import packed, shared_prefix, shown, unpacked
 from tidelog.model import LOG
 from tidelog.operators import cache, cutter, lww, runs
 from tidelog.operators.running import running_sum
@@ -186,6 +186,8 @@ def test_running_sum(spark):
 
 def test_functions(spark):
     assert crc32c(b"123456789") == 0xE3069283
+    keys = spark.sql("select * from values ('ab', 258L, 1), ('', 0L, 0) as t(k, seq, op)")
+    assert [r[0] for r in keys.select(shown(F.col("k"), F.col("seq"), F.col("op"))).collect()] == ["ab @258 delete", " @0 put"]
     row = spark.sql("select 'ab' as k, 258L as seq, 1 as op").select(packed(F.col("k"), F.col("seq"), F.col("op")).alias("p")).first()
     assert bytes(row.p) == b"ab" + (258).to_bytes(8, "little") + b"\x01"
     back = spark.sql("select * from values ('ab', 258L, 1), ('', -2L, 0), ('é', 9223372036854775807L, 1) t(k, seq, op)").select("*", unpacked(packed(F.col("k"), F.col("seq"), F.col("op"))).alias("u")).collect()

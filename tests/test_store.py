@@ -1,6 +1,7 @@
 """The store: life cycle, recovery, merges, damage to its logs, and streams into it."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.model import LOG, Options, Status, StoreError
 from tidelog.operators import lww
 from tidelog.sources import wal
-from tidelog.sources.store import Store
+from tidelog.sources.store import Recent, Store
 from tidelog.streaming import upsert
 
 
@@ -300,12 +301,27 @@ def test_answers_are_kept(spark, path):
     assert [db.get(f"key{i}") for i in (1, 2, 9, 30)] == [newest(i) for i in (1, 2, 9, 30)]
     before = jobs()
     assert db.get("key30") == newest(30) and jobs() == before
-    assert len(db.answers) <= 8
+    assert len(db.answers.held) <= 8
     db.put("key30", "new")
     assert db.get("key30") == (Status.OK, "new")
     db.flush()  # four runs: they are merged
     assert db.get("key30") == (Status.OK, "new") and db.get("key1") == newest(1)
-    assert len(db.readers) <= db.options.open_runs
+    assert len(db.readers.held) <= db.options.open_runs
+
+
+def test_caches_are_shared_by_threads():
+    recent = Recent(3)
+
+    def use(seed):
+        rng = random.Random(seed)
+        for _ in range(20_000):
+            k = rng.randrange(6)
+            assert recent.get(k) in (None, -k)
+            recent.put(k, -k)
+
+    with ThreadPoolExecutor(4) as threads:
+        list(threads.map(use, range(4)))
+    assert len(recent.held) == 3
 
 
 def test_merges_in_the_background(spark, path):

@@ -40,6 +40,11 @@ def unpacked(key: Column) -> Column:
     return F.struct(F.substring(key, F.lit(1), n).alias("k"), seq.alias("seq"), F.conv(F.hex(F.substring(key, n + KEY_OVERHEAD, F.lit(1))), 16, 10).cast("int").alias("op"))
 
 
+def shown(k: Column, seq: Column, op: Column) -> Column:
+    """A version's key as text for people: user key, number and operation."""
+    return F.format_string("%s @%d %s", k.cast("string"), seq.cast("long"), F.when(op == 0, "put").otherwise("delete"))
+
+
 def shared_prefix(a: Column, b: Column) -> Column:
     """Length of the common start of two texts or byte strings, in bytes; 0 where one is null."""
     a, b = a.cast("binary"), b.cast("binary")

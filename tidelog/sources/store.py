@@ -25,7 +25,6 @@ import json
 import logging
 import threading
 from collections import OrderedDict
-from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -120,24 +119,29 @@ class Run:
         return json.dumps(self.__dict__, sort_keys=True, ensure_ascii=False)
 
 
-class Recent(OrderedDict):
-    """The ``most`` entries used last."""
+class Recent:
+    """The ``most`` entries used last. Reads and the merging thread may share one."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-
-    def take(self, key, make: Callable):
-        if key in self:
-            self.move_to_end(key)
-            return self[key]
-        self[key] = found = make()
-        self.trim()
-        return found
+        self.most, self.held, self.lock = most, OrderedDict(), threading.Lock()
+
+    def get(self, key):
+        """The entry, or None; it counts as used."""
+        with self.lock:
+            if key in self.held:
+                self.held.move_to_end(key)
+            return self.held.get(key)
+
+    def put(self, key, value) -> None:
+        with self.lock:
+            self.held[key] = value
+            self.held.move_to_end(key)
+            while len(self.held) > self.most:
+                self.held.popitem(last=False)
 
-    def trim(self) -> None:
-        while len(self) > self.most:
-            self.popitem(last=False)
+    def clear(self) -> None:
+        with self.lock:
+            self.held.clear()
 
 
 Key = str | bytes
@@ -221,8 +225,10 @@ class Store:
         self.sync()
         self.closed = True
         if self.worker:
-            self.merged()
-            self.worker.shutdown()
+            try:
+                self.merged()
+            finally:
+                self.worker.shutdown()
 
     def publish(self, runs: list[Run]) -> None:
         with self.publishing:
@@ -382,7 +388,11 @@ class Store:
 
     def opened(self, ssts: tuple[str, ...]) -> DataFrame:
         """The reader of some runs; those used last stay open, so that their files aren't listed again."""
-        return self.readers.take(ssts, lambda: self.spark.read.schema(self.schema).parquet(*[f"{self.root}/sst/{s}" for s in ssts]))
+        found = self.readers.get(ssts)
+        if found is None:
+            found = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/sst/{s}" for s in ssts])
+            self.readers.put(ssts, found)
+        return found
 
     def chosen(self, low: Key | None, high: Key | None) -> list[str]:
         """Runs whose keys can lie between ``low`` and ``high``."""
@@ -401,15 +411,16 @@ class Store:
         if mine:
             return self.told(max(mine, key=lambda e: (e[1], e[2]))[1:])
         asked = tuple(self.chosen(k, k))
-        known = {s: self.answers.take((s, k), lambda: None) for s in asked if (s, k) in self.answers}
+        kept = {s: self.answers.get((s, k)) for s in asked}
+        known = {s: answer[0] for s, answer in kept.items() if answer}
         if len(known) < len(asked):
             run = F.regexp_extract("_metadata.file_path", "sst/([0-9a-f]{64})/", 1).alias("sst")
             # All runs in one job, whichever are known.
             heads = self.opened(asked).where(F.col("k") == F.lit(k)).groupBy(run).agg(F.max_by(F.struct("seq", "op", "v"), newest()).alias("h"))
             known = dict.fromkeys(asked) | {r.sst: (r.h.seq, r.h.op, bytes(r.h.v) if self.options.binary else r.h.v) for r in heads.collect()}
             for sst, answer in known.items():
-                self.answers[sst, k] = answer
-            self.answers.trim()
+                # In a tuple, as that a run has no version of the key is an answer too.
+                self.answers.put((sst, k), (answer,))
         return self.told(max((a for a in known.values() if a), default=None))
 
     def told(self, version: tuple[int, int, Key] | None) -> tuple[Status, Key | None]:
