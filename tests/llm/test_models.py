@@ -1,4 +1,4 @@
-"""Operators that SQL can't express: against brute force, libraries, or held-out labels."""
+"""Operators against brute force, libraries, or held-out labels; the mix has SQL as well."""
 
 import hashlib
 import random
