@@ -155,6 +155,34 @@ def test_runs_by_bytes(spark, monkeypatch, chunk_bytes, fanout, long):
     assert cutter.byte_runs(log_of(spark, []), 150).count() == 0
 
 
+def test_runs_by_bytes_are_spread(spark):
+    log = spark.range(8000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("seq"), F.lit(0).alias("op"), F.lit("value").alias("v"))
+    tasks = cutter.byte_runs(log, 150).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 8000
+    # Of 8 tasks none has more than about its share.
+    assert max(r["count"] for r in tasks) <= 2000
+
+
+@pytest.mark.parametrize("parts, batch, fanout", [(1, 3, 2), (8, 1, 2), (8, 3, 3), (5, 10000, 2)])
+def test_runs_by_bytes_go_on_over_batches_and_ranges(spark, monkeypatch, parts, batch, fanout):
+    monkeypatch.setattr(cutter, "FANOUT", fanout)
+    # One value has no size and so no run.
+    ops = [(f"key{i % 7}", 0, None if i == 60 else "x" * (i * 37 % 50 + (700 if i % 41 == 0 else 0))) for i in range(300)]
+    begin = np.cumsum([0] + [len(k) + 9 + len(v) for k, _, v in ops if v is not None])[:-1]
+    log = spark.createDataFrame([(k, i, op, v) for i, (k, op, v) in enumerate(ops)], "k string, seq long, op int, v string")
+    names = {"spark.sql.shuffle.partitions": parts, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        found = cutter.byte_runs(log.repartition(3), 150, 1).orderBy("seq").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert [r.seq for r in found] == [i for i in range(300) if i != 60]
+    assert [r.run for r in found] == list(cutter.run_numbers(begin, 150, -1, 0))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_steps_compose(seed):
     rng = np.random.default_rng(seed)

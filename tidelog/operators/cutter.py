@@ -1,27 +1,31 @@
 """Cut a log into runs by bytes: a run ends with the entry that takes it over the limit.
 
 Where a run ends depends on where it began, so a run's number follows from all before it.
-The log is dealt in chunks by its running size. What happens in a chunk is a function of
-one number, the size at which the open run ends, and a step function at that: only the
-entries of about one limit can be the first to begin a run there. All chunks' functions
-are found side by side, composed ``FANOUT`` at a time up a tree, and applied down it, which
-gives every chunk the open run that it begins with; then all are numbered side by side.
-
-No task holds more than a chunk, or the functions of ``FANOUT`` chunks, each of at most
-three numbers for each entry of one limit; jobs grow with the logarithm of the chunks.
+The log is dealt in ranges of its order, one a shuffle partition. What happens in a range is
+a function of one number, the size at which the open run ends, and a step function at that:
+only the entries of about one limit can be the first to begin a run there. All ranges'
+functions are found side by side, composed ``FANOUT`` at a time up a tree, and applied down
+it, which gives every range the open run that it begins with; then all are numbered side by
+side. Sizes are counted from the start of each range.
+
+Ranges are sorted by Spark, which spills, and go through Python batch by batch. A worker holds
+a batch, the sizes of one stretch and its function, or the functions of ``FANOUT`` ranges, each
+of at most three numbers for each entry of one limit; jobs grow with the logarithm of the ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.keys import entry_bytes
-from tidelog.operators.running import running_sum
 from tidelog.sources.staging import Scratch, staged
 
 #: Nodes of the tree that are composed in one task.
@@ -64,21 +68,25 @@ class Steps:
         some, own = at < len(self.heads), np.minimum(at, len(self.heads) - 1)
         return np.where(some, self.ends[own], end), begun + np.where(some, self.begun[own], 0)
 
-    def row(self, node: int) -> dict:
-        return {"node": [node], **{name: pa.array([getattr(self, name).astype("<i8").tobytes()], pa.binary()) for name in ("heads", "ends", "begun")}}
+    def moved(self, by: int) -> Steps:
+        return Steps(self.heads + by, self.ends + by, self.begun)
 
+    def row(self, node: int, length: int) -> dict:
+        """length: the stretch's bytes, from where its function counts to where the next one's does."""
+        return {"node": pa.array([node], pa.int32()), "length": pa.array([length], pa.int64()), **{name: pa.array([getattr(self, name).astype("<i8").tobytes()], pa.binary()) for name in ("heads", "ends", "begun")}}
 
-STEPS, STATE = "node long, heads binary, ends binary, begun binary", "node long, end long, started long"
 
+STEPS, STATE = "node int, length long, heads binary, ends binary, begun binary", "node int, end long, started long"
 
-def steps_of(table: pa.Table) -> list[tuple[int, Steps]]:
-    """The nodes of a table and their functions, in order."""
-    columns = [table.column(name).to_pylist() for name in ("node", "heads", "ends", "begun")]
-    return [(node, Steps(*[np.frombuffer(raw, "<i8") for raw in raws])) for node, *raws in sorted(zip(*columns, strict=True))]
+
+def steps_of(table: pa.Table) -> list[tuple[int, int, Steps]]:
+    """The nodes of a table, their lengths and their functions, in order."""
+    columns = [table.column(name).to_pylist() for name in ("node", "length", "heads", "ends", "begun")]
+    return [(node, length, Steps(*[np.frombuffer(raw, "<i8") for raw in raws])) for node, length, *raws in sorted(zip(*columns, strict=True))]
 
 
 def run_numbers(begin: np.ndarray, limit: int, end: int, begun: int) -> np.ndarray:
-    """begin: the log's size before each entry of a chunk, in order; end: beyond which the open run ends; begun: runs so far. The entries' run numbers."""
+    """begin: the log's size before each entry of a stretch, in order; end: beyond which the open run ends; begun: runs so far. The entries' run numbers."""
     runs, at = np.empty(len(begin), np.int64), 0
     while at < len(begin):
         # The memtable is tested before each write.
@@ -90,59 +98,99 @@ def run_numbers(begin: np.ndarray, limit: int, end: int, begun: int) -> np.ndarr
     return runs
 
 
-def starts(chunked: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
-    """chunked: __chunk and __begin. Of each chunk (``node``): where the run ends that is open at its start, and how many runs have begun."""
-    spark, last = chunked.sparkSession, chunked.agg(F.max("__chunk")).first()[0]
+def measured(columns: list[str], limit: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For a range in order, with ``__bytes``: its rows with ``__begin``, their range's size before each, and one more row with the range's function. span: bytes of entries whose sizes are held."""
+
+    def of_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, size, held, whole, kinds = TaskContext.get().partitionId(), 0, [], None, []
+
+        def extended() -> Steps:
+            steps = Steps.of(np.concatenate(held), limit)
+            return whole.then(steps, limit) if whole else steps
+
+        for batch in batches:
+            n, sizes = batch.num_rows, batch.column("__bytes").to_numpy()
+            if not n:
+                continue
+            begin = size + np.cumsum(sizes) - sizes
+            size += int(sizes.sum())
+            held.append(begin)
+            if size - held[0][0] >= span:
+                whole, held = extended(), []
+            kinds = [batch.column(c).type for c in columns]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(begin), pa.array(np.full(n, node, np.int32)), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3], names)
+        if held:
+            whole = extended()
+        if whole:
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, kind) for kind in kinds], pa.nulls(1, pa.int64()), *whole.row(node, size).values()], names)
+
+    names = [*columns, "__begin", "__node", "__length", "__heads", "__ends", "__begun"]
+    return of_range
+
+
+def numbered(columns: list[str], limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For a range in order, with ``__begin`` and the ``__end`` and ``__started`` that it begins with: its rows with ``run``."""
 
-    def of_chunk(group: pa.Table) -> pa.Table:
-        return pa.table(Steps.of(np.sort(group.column("__begin").to_numpy()), limit).row(group.column("__chunk")[0].as_py()))
+    def of_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = begun = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if begun is None:
+                end, begun = batch.column("__end")[0].as_py(), batch.column("__started")[0].as_py()
+            begin = batch.column("__begin").to_numpy()
+            found = run_numbers(begin, limit, end, begun)
+            if found[-1] >= begun:
+                end, begun = int(begin[np.searchsorted(found, found[-1])]) + limit, int(found[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(found)], [*columns, "run"])
+
+    return of_range
+
+
+def starts(functions: DataFrame, last: int, limit: int, scratch: Scratch) -> DataFrame:
+    """functions: STEPS of nodes, ``last`` the greatest there may be. Of each node: where the run ends that is open at its start, and how many runs have begun."""
 
     def composed(group: pa.Table) -> pa.Table:
-        nodes = steps_of(group)
-        whole = nodes[0][1]
-        for _, steps in nodes[1:]:
-            whole = whole.then(steps, limit)
-        return pa.table(whole.row(nodes[0][0] // FANOUT))
+        (first, length, whole), *rest = steps_of(group)
+        for _, more, steps in rest:
+            whole, length = whole.then(steps.moved(length), limit), length + more
+        return pa.table(whole.row(first // FANOUT, length))
 
     def handed_down(group: pa.Table) -> pa.Table:
         end, begun = np.array([group.column("end")[0].as_py()]), np.array([group.column("started")[0].as_py()])
         rows = []
-        for node, steps in steps_of(group):
+        for node, length, steps in steps_of(group):
             rows.append((node, int(end[0]), int(begun[0])))
             end, begun = steps.after(end, begun)
-        return pa.table(dict(zip(("node", "end", "started"), map(pa.array, zip(*rows, strict=True)), strict=True)))
-
-    levels, parent = [], F.floor(F.col("node") / FANOUT)
-    while last:
-        if levels:
-            level = levels[-1].groupBy(parent).applyInArrow(composed, STEPS)
-        else:
-            level = chunked.select("__chunk", "__begin").groupBy("__chunk").applyInArrow(of_chunk, STEPS)
-        levels.append(staged(level, scratch))
-        last //= FANOUT
+            end = end - length
+        return pa.table(dict(zip(("node", "end", "started"), map(pa.array, zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64())), strict=True)))
+
+    levels, parent = [functions], F.floor(F.col("node") / FANOUT).cast("int")
+    while last := last // FANOUT:
+        levels.append(staged(levels[-1].groupBy(parent).applyInArrow(composed, STEPS), scratch))
     # No run is open before the log, so its first entry begins one.
-    state = spark.createDataFrame([(0, -1, 0)], STATE)
-    for level in reversed(levels):
+    state = functions.sparkSession.createDataFrame([(0, -1, 0)], STATE)
+    for depth in reversed(range(len(levels))):
         above = state.withColumnRenamed("node", "parent")
-        below = level.withColumn("parent", parent).join(above, "parent").groupBy("parent").applyInArrow(handed_down, STATE)
-        state = staged(below, scratch)
+        state = levels[depth].withColumn("parent", parent).join(above, "parent").groupBy("parent").applyInArrow(handed_down, STATE)
+        state = staged(state, scratch) if depth else state
     return state
 
 
-def byte_runs(log: DataFrame, limit: int, chunk_bytes: int = 1 << 28) -> DataFrame:
-    """The log with ``run``, counted from 0, for memtables that are frozen once they hold more than ``limit`` bytes."""
-    sized = log.withColumn("__bytes", entry_bytes(F.col("k"), F.col("v")))
-    summed = running_sum(sized, ["seq"], "__bytes", "__upto").withColumn("__begin", F.col("__upto") - F.col("__bytes"))
-    chunked = staged(summed.withColumn("__chunk", F.floor(F.col("__begin") / chunk_bytes)).drop("__bytes", "__upto"))
-    columns, scratch = log.columns, Scratch()
-    begun = staged(starts(chunked, limit, scratch).toDF("__chunk", "__end", "__started"))
+def byte_runs(log: DataFrame, limit: int, chunk_bytes: int = 1 << 22) -> DataFrame:
+    """The log with ``run``, counted from 0, for memtables that are frozen once they hold more than ``limit`` bytes. chunk_bytes: of entries whose sizes a task holds, but a limit at least."""
+    parts, columns = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.columns
+    kept = [T.StructField(f.name, f.dataType) for f in log.schema]
+    own = [T.StructField("__begin", T.LongType()), *[T.StructField(f"__{name}", kind) for name, kind in zip(("node", "length", "heads", "ends", "begun"), (T.IntegerType(), T.LongType(), *[T.BinaryType()] * 3), strict=True)]]
+    # Entries of no known size are in no run.
+    sized = log.withColumn("__bytes", entry_bytes(F.col("k"), F.col("v"))).where(F.col("__bytes").isNotNull())
+    ranges = sized.repartitionByRange(parts, "seq").sortWithinPartitions("seq")
+    # Written out, as all that follows must see the same ranges.
+    ranged, scratch = staged(ranges.mapInArrow(measured(columns, limit, max(limit, chunk_bytes)), T.StructType([*kept, *own]))), Scratch()
+    functions = ranged.where(F.col("__heads").isNotNull()).select(*[F.col(f"__{name}").alias(name) for name in ("node", "length", "heads", "ends", "begun")])
+    state = staged(starts(functions, parts - 1, limit, scratch).toDF("__node", "__end", "__started"))
     scratch.drop()
-
-    def number(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("__begin").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
-        runs = run_numbers(group.column("__begin").to_numpy(), limit, group.column("__end")[0].as_py(), group.column("__started")[0].as_py())
-        return group.select(columns).append_column("run", pa.array(runs))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", run long"
-    return chunked.join(begun, "__chunk").groupBy("__chunk").applyInArrow(number, schema)
+    # Each range goes to a task of its own; of the state there is one row a range.
+    rows = ranged.where(F.col("__heads").isNull()).select(*columns, "__begin", "__node").repartitionById(parts, "__node")
+    ordered = rows.join(F.broadcast(state), "__node").drop("__node").sortWithinPartitions("__begin")
+    return ordered.mapInArrow(numbered(columns, limit), T.StructType([*kept, T.StructField("run", T.LongType())]))
